@@ -10,6 +10,7 @@ from cartulary.functions.chunking import split_text
 from cartulary.functions.ids import chunk_id
 from cartulary.functions.text import primary_page, primary_paragraph
 from cartulary.operators.ordered import Carry, running
+from cartulary.session import settle
 
 
 def with_spans(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -18,14 +19,12 @@ def with_spans(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def section_offsets(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def section_offsets(spanned: DataFrame) -> DataFrame:
     """``(document_id, section_index, first_chunk_index)``: how many chunks the earlier sections produce.
 
     Only counts are shuffled, never text, and documents are scanned in blocks of sections.
     """
-    counts = with_spans(sections, settings).select(
-        "document_id", "section_index", F.size("spans").alias("n_chunks")
-    )
+    counts = spanned.select("document_id", "section_index", F.size("spans").alias("n_chunks"))
     return running(
         counts, ["document_id"], "section_index", [Carry("first_chunk_index", F.col("n_chunks"), "sum")]
     ).select("document_id", "section_index", F.col("first_chunk_index").cast("int").alias("first_chunk_index"))
@@ -57,7 +56,8 @@ def chunk_sections(
     if single_section:
         placed = base.withColumn("first_chunk_index", F.lit(0))
     else:
-        placed = base.join(section_offsets(sections, settings), ["document_id", "section_index"])
+        base = settle(base)
+        placed = base.join(section_offsets(base), ["document_id", "section_index"])
     exploded = placed.select("*", F.posexplode("spans").alias("span_no", "span")).drop("spans")
     index = (F.col("first_chunk_index") + F.col("span_no")).cast("int")
     return exploded.select(

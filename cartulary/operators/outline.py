@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +15,7 @@ from cartulary.functions.ids import node_id
 from cartulary.functions.text import collapse, strip
 from cartulary.operators.digest import document_frequency, keywords
 from cartulary.operators.ordered import Carry, running
+from cartulary.session import settle
 
 TITLE_CHARACTERS = 160
 KEY = ["document_id", "section_index"]
@@ -78,45 +77,43 @@ def subtree_ends(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     )
 
 
-def tree_failures(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Documents whose outline has more top-level sections than a node may have children."""
-    tops = outline_parents(sections.select("document_id", "section_index", "level"), settings).filter(
-        F.col("parent_index").isNull()
-    )
+def _too_wide(outlined: DataFrame, settings: Settings) -> DataFrame:
     return (
-        tops.groupBy("document_id")
+        outlined.filter(F.col("parent_index").isNull())
+        .groupBy("document_id")
         .agg(F.count("*").alias("top_level_sections"))
         .filter(F.col("top_level_sections") > settings.max_node_children)
     )
 
 
+def tree_failures(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Documents whose outline has more top-level sections than a node may have children."""
+    return _too_wide(outline_parents(sections.select("document_id", "section_index", "level"), settings), settings)
+
+
 def place_sections(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add position, path and depth; sections beyond the child cap, and all below them, are dropped.
 
     Works on the keys only; text columns should be joined afterwards.
     """
-    outlined = outline_parents(sections.select("document_id", "section_index", "level"), settings)
-    failed = tree_failures(sections, settings).select("document_id")
+    outlined = settle(outline_parents(sections.select("document_id", "section_index", "level"), settings))
     siblings = Window.partitionBy("document_id", "parent_index").orderBy("section_index")
     # A ranked filter is limited before the shuffle, so a parent with very many children costs 64 rows a task.
     placed = (
         outlined.withColumn("__rank", F.row_number().over(siblings))
         .filter(F.col("__rank") <= settings.max_node_children)
         .withColumn("position", (F.col("__rank") - 1).cast("int"))
-        .join(failed, "document_id", "left_anti")
+        .join(_too_wide(outlined, settings).select("document_id"), "document_id", "left_anti")
     )
-    chain = placed.select(*KEY, F.posexplode("ancestors").alias("step", "ancestor"))
-    positions = placed.select(
-        "document_id", F.col("section_index").alias("ancestor"), F.col("position").alias("at")
-    )
-    resolved = (
+    # Each section fetches the positions of its ancestors; a missing one means that the section is cut off.
+    chain = outlined.select(*KEY, F.explode("ancestors").alias("ancestor"))
+    positions = placed.select("document_id", F.col("section_index").alias("ancestor"), F.col("position").alias("at"))
+    steps = (
         chain.join(positions, ["document_id", "ancestor"])
         .groupBy(*KEY)
-        .agg(F.sort_array(F.collect_list(F.struct("step", "at"))).alias("steps"))
-    )
-    whole = placed.join(resolved, KEY, "left").filter(
-        F.size("ancestors") == F.coalesce(F.size("steps"), F.lit(0))
+        .agg(F.sort_array(F.collect_list(F.struct("ancestor", "at"))).alias("steps"))
     )
+    whole = placed.join(steps, KEY, "left").filter(F.size("ancestors") == F.coalesce(F.size("steps"), F.lit(0)))
     parts = F.concat(
         F.coalesce(F.transform("steps", lambda s: s["at"].cast("string")), F.array().cast("array<string>")),
         F.array(F.col("position").cast("string")),
@@ -159,7 +156,7 @@ def build_tree(sections: DataFrame, titles: DataFrame, settings: Settings = DEFA
 
     ``titles``: (document_id, title). Summaries and keywords are extractive.
     """
-    placed = place_sections(sections, settings)
+    placed = settle(place_sections(sections, settings))
     covered = covered_sections(placed, settings)
     body = collapse(F.coalesce("text", F.lit("")))
     texts = sections.select(
@@ -171,7 +168,7 @@ def build_tree(sections: DataFrame, titles: DataFrame, settings: Settings = DEFA
         F.when(has_content(F.col("text")), summarize(body)).alias("__digest"),
         F.substring(body, 1, KEYWORD_SOURCE_CHARACTERS).alias("__source"),
     )
-    nodes = placed.join(texts, KEY)
+    nodes = settle(placed.join(texts, KEY))
     below = (
         nodes.filter(F.col("parent_index").isNotNull())
         .groupBy("document_id", F.col("parent_index").alias("section_index"))
@@ -301,6 +298,3 @@ def document_digest(sections: DataFrame, documents: DataFrame, chunk_counts: Dat
         warnings.alias("warnings"),
     )
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

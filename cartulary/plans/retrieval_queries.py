@@ -15,6 +15,7 @@ from cartulary.plans.inputs import (
     source_sections,
     sql_spans,
 )
+from cartulary.session import settle
 from cartulary.sources.tables import read_table
 
 _SQL_WEIGHTS = """
@@ -126,9 +127,11 @@ _HIT_COLUMNS = ("question_id", "document_id", "chunk_index", "section_title", "s
 
 
 def _corpus(spark, folder):
-    chunks = chunk_sections(source_sections(spark, folder))
-    vectors = vector_records(chunks, family="md5").select("document_id", "chunk_id", "chunk_index", "embedding")
-    questions = embed(source_questions(spark, folder), family="md5")
+    chunks = settle(chunk_sections(source_sections(spark, folder)))
+    vectors = settle(
+        vector_records(chunks, family="md5").select("document_id", "chunk_id", "chunk_index", "embedding")
+    )
+    questions = settle(embed(source_questions(spark, folder), family="md5"))
     return chunks, vectors, questions
 
 
@@ -165,7 +168,7 @@ WHERE section_index NOT IN (SELECT doc_id FROM labels) GROUP BY document_id""",
 )
 def index_drift_query(spark, folder):
     """Chunks of unlabelled documents were deleted while their vectors stayed."""
-    chunks = chunk_sections(source_sections(spark, folder))
+    chunks = settle(chunk_sections(source_sections(spark, folder)))
     labelled = read_table(spark, folder, "labels").select(F.col("doc_id").cast("int").alias("section_index"))
     live = chunks.join(labelled, "section_index", "left_semi")
     return index_drift(chunks.select("chunk_id", "document_id"), live).groupBy("document_id").agg(

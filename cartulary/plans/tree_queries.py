@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cartulary.operators import evidence as E
 from cartulary.operators import outline as O
@@ -11,6 +12,7 @@ from cartulary.operators.chunks import chunk_sections, count_chunks
 from cartulary.plans.catalogue import query
 from cartulary.plans.inputs import SQL_CONVERSATION_SECTIONS, conversation_sections, sql_spans, sql_uuid5
 from cartulary.plans.sql_digest import sql_best_sentences, sql_collapse, sql_keywords
+from cartulary.session import settle
 from cartulary.sources.tables import read_table
 
 _NODE = sql_uuid5("document_id || '/node/' || path")
@@ -72,15 +74,15 @@ def _titles(sections):
 
 def conversation_tree(spark, folder):
     sections = conversation_sections(spark, folder)
-    return O.build_tree(sections, _titles(sections))
+    return settle(O.build_tree(sections, _titles(sections)))
 
 
 def _linked(spark, folder):
     sections = conversation_sections(spark, folder)
-    nodes = O.build_tree(sections, _titles(sections))
-    chunks = chunk_sections(sections)
+    nodes = settle(O.build_tree(sections, _titles(sections)))
+    chunks = settle(chunk_sections(sections))
     edges, links = E.link_evidence(nodes, chunks)
-    return nodes, chunks, edges, links
+    return nodes, chunks, edges, settle(links)
 
 
 @query(
@@ -336,8 +338,6 @@ SELECT document_id, path, row_number() OVER (PARTITION BY document_id ORDER BY d
 )
 def tree_order(spark, folder):
     nodes = T.with_preorder(conversation_tree(spark, folder))
-    from pyspark.sql.window import Window
-
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("depth", "position", "path"))
     return nodes.select(
         "document_id", "path", place.cast("bigint").alias("place"), F.col("preorder").alias("edited_preorder")
@@ -404,7 +404,7 @@ SELECT document_id, path FROM node n WHERE NOT EXISTS (
 def nodes_without_evidence(spark, folder):
     """As if only the turns of users and systems had been indexed."""
     sections = conversation_sections(spark, folder)
-    nodes = O.build_tree(sections, _titles(sections))
+    nodes = settle(O.build_tree(sections, _titles(sections)))
     roles = read_table(spark, folder, "conversations").filter("role <> 'assistant'").select(
         F.col("turn").cast("int").alias("source_section_index")
     ).distinct()
@@ -459,6 +459,7 @@ def map_summary_query(spark, folder):
 
 
 _FLAT = """'{"path":"' || path || '","title":"' || title || '","children":['"""
+_FLAT_K = """'{"path":"' || k.path || '","title":"' || k.title || '","children":['"""
 
 
 @query(
@@ -466,10 +467,10 @@ _FLAT = """'{"path":"' || path || '","title":"' || title || '","children":['"""
     f"""WITH RECURSIVE {_SQL_PLACED},
 k AS (SELECT *, {_PARENT_PATH} AS parent_path FROM node),
 d3 AS (SELECT document_id, parent_path, position, {_FLAT} || ']}}' AS j FROM k WHERE depth = 3),
-d2 AS (SELECT k.document_id, k.parent_path, k.position, {_FLAT.replace("path", "k.path").replace("'{\"k.path", "'{\"path")} ||
+d2 AS (SELECT k.document_id, k.parent_path, k.position, {_FLAT_K} ||
   coalesce((SELECT string_agg(j, ',' ORDER BY c.position) FROM d3 c WHERE c.document_id = k.document_id AND c.parent_path = k.path), '') || ']}}' AS j
   FROM k WHERE depth = 2),
-d1 AS (SELECT k.document_id, k.parent_path, k.position, {_FLAT.replace("path", "k.path").replace("'{\"k.path", "'{\"path")} ||
+d1 AS (SELECT k.document_id, k.parent_path, k.position, {_FLAT_K} ||
   coalesce((SELECT string_agg(j, ',' ORDER BY c.position) FROM d2 c WHERE c.document_id = k.document_id AND c.parent_path = k.path), '') || ']}}' AS j
   FROM k WHERE depth = 1)
 SELECT k.document_id, {_FLAT} ||

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +30,26 @@ def build_session(app_name: str = "cartulary", cores: int | str = "*", shuffle_p
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh temporary folder only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's ``spark.checkpoint.dir``; a fresh temporary folder only where it is unset, as in tests."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        existing = spark.sparkContext.getCheckpointDir()
-        if existing:
-            return existing
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def settle(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` as a table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage where a result is read more than once. The written table survives lost executors, and
+    its size tells the planner which joins may broadcast.
+    """
+    spark = frame.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cartulary-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
     """Broadcast hint only after counting that the frame really is below ``limit`` rows.
 
