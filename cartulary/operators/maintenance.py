@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.config import DEFAULTS, Settings
@@ -22,10 +22,17 @@ USER_MESSAGES = {
 FALLBACK_MESSAGE = "文档处理失败，请稍后重试。"
 
 
-def reap_documents(documents: DataFrame, now: datetime, settings: Settings = DEFAULTS) -> DataFrame:
+def _moment(now: datetime | Column) -> Column:
+    return now if isinstance(now, Column) else F.lit(now)
+
+
+def _deadline(now: datetime | Column, settings: Settings) -> Column:
+    return _moment(now) - F.make_dt_interval(secs=F.lit(settings.stale_job_timeout_seconds).cast("decimal(18,6)"))
+
+
+def reap_documents(documents: DataFrame, now: datetime | Column, settings: Settings = DEFAULTS) -> DataFrame:
     """Documents with stale indexing or tree building failed; ``reaped`` marks them."""
-    deadline = F.lit(now - timedelta(seconds=settings.stale_job_timeout_seconds))
-    stale = F.col("updated_at") < deadline
+    stale = F.col("updated_at") < _deadline(now, settings)
     indexing, building = stale & (F.col("status") == "indexing"), stale & (F.col("tree_status") == "building")
     return documents.select(
         *[c for c in documents.columns if c not in ("status", "tree_status", "error_code", "error_message", "tree_error")],
@@ -38,14 +45,13 @@ def reap_documents(documents: DataFrame, now: datetime, settings: Settings = DEF
     )
 
 
-def reap_questions(questions: DataFrame, now: datetime, settings: Settings = DEFAULTS) -> DataFrame:
-    deadline = F.lit(now - timedelta(seconds=settings.stale_job_timeout_seconds))
-    stale = (F.col("created_at") < deadline) & F.col("status").isin("queued", "running")
+def reap_questions(questions: DataFrame, now: datetime | Column, settings: Settings = DEFAULTS) -> DataFrame:
+    stale = (F.col("created_at") < _deadline(now, settings)) & F.col("status").isin("queued", "running")
     return questions.select(
         *[c for c in questions.columns if c not in ("status", "error_message", "answered_at")],
         F.when(stale, "failed").otherwise(F.col("status")).alias("status"),
         F.when(stale, STALE_MESSAGE).otherwise(F.col("error_message")).alias("error_message"),
-        F.when(stale, F.lit(now)).otherwise(F.col("answered_at")).alias("answered_at"),
+        F.when(stale, _moment(now)).otherwise(F.col("answered_at")).alias("answered_at"),
         F.coalesce(stale, F.lit(False)).alias("reaped"),
     )
 

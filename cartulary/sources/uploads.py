@@ -42,17 +42,15 @@ def validate_uploads(files: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     limit = settings.max_upload_size_bytes
     bad_pdf = (F.col("extension") == "pdf") & (F.substring("content", 1, 5) != F.lit(PDF_MAGIC))
     bad_docx = (F.col("extension") == "docx") & ~F.contains("content", F.lit(DOCX_MEMBER))
+    fail = lambda code, reason: F.struct(F.lit(code).alias("code"), F.lit(reason).alias("reason"))
     problem = (
-        F.when(F.coalesce("filename", F.lit("")) == "", F.struct(F.lit(422).alias("code"), F.lit("A filename is required.").alias("reason")))
-        .when(F.col("original_filename").isin("", ".", ".."), F.struct(F.lit(422), F.lit("The filename is invalid.")))
-        .when(F.col("media_type").isNull(), F.struct(F.lit(415), F.lit("Only PDF and DOCX files are supported.")))
-        .when(
-            F.col("size_bytes") > limit,
-            F.struct(F.lit(413), F.lit(f"File size exceeds the {limit // (1024 * 1024)} MB limit.")),
-        )
-        .when(F.col("size_bytes") == 0, F.struct(F.lit(422), F.lit("The uploaded file is empty.")))
-        .when(bad_pdf, F.struct(F.lit(422), F.lit("The file content is not a valid PDF.")))
-        .when(bad_docx, F.struct(F.lit(422), F.lit("The file content is not a valid DOCX document.")))
+        F.when(F.coalesce("filename", F.lit("")) == "", fail(422, "A filename is required."))
+        .when(F.col("original_filename").isin("", ".", ".."), fail(422, "The filename is invalid."))
+        .when(F.col("media_type").isNull(), fail(415, "Only PDF and DOCX files are supported."))
+        .when(F.col("size_bytes") > limit, fail(413, f"File size exceeds the {limit // (1024 * 1024)} MB limit."))
+        .when(F.col("size_bytes") == 0, fail(422, "The uploaded file is empty."))
+        .when(bad_pdf, fail(422, "The file content is not a valid PDF."))
+        .when(bad_docx, fail(422, "The file content is not a valid DOCX document."))
     )
     checked = sized.withColumn("__problem", problem)
     return checked.select(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from cartulary.config import DEFAULTS, Settings
 from cartulary.plans.jobs import Store, index_documents
 
-OUTCOME_SCHEMA = "job_id string, last_status string, last_ts timestamp, expired_at timestamp"
+OUTCOME_SCHEMA = "job_id string, last_status string, last_ts timestamp_ntz, expired_at timestamp_ntz"
 
 
 def index_stream(
@@ -38,46 +37,52 @@ def index_stream(
 
 
 def expiry_processor(timeout_seconds: int, terminal: tuple[str, ...]) -> StatefulProcessor:
-    """State machine per job: remember the last event, forget it at a terminal one, expire it on a timer."""
+    """State per job: its newest event. A terminal event forgets the job; silence beyond the timeout expires it.
+
+    Silence shows either as a gap before the next event or, when nothing follows, through the timer, so the
+    outcome does not depend on how events are cut into batches. A batch holds what one trigger admits.
+    """
+    limit = pd.Timedelta(seconds=timeout_seconds)
+
+    def row(job: str, status: str, at: pd.Timestamp) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"job_id": [job], "last_status": [status], "last_ts": [at], "expired_at": [at + limit]}
+        )
 
     class Expire(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "status string, ts timestamp")
-
-        def _clear_timers(self) -> None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            # The event time is kept in microseconds, which no time zone can shift.
+            self.last = handle.getValueState("last", "status string, at bigint")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            newest = None
+            current = None
             if self.last.exists():
-                status, ts = self.last.get()
-                newest = (pd.Timestamp(ts), status)
-            for frame in rows:
-                for ts, status in zip(frame["ts"], frame["status"], strict=True):
-                    if newest is None or pd.Timestamp(ts) >= newest[0]:
-                        newest = (pd.Timestamp(ts), status)
-            self._clear_timers()
-            if newest is None:
-                return iter(())
-            if newest[1] in terminal:
+                status, at = self.last.get()
+                current = (pd.Timestamp(at, unit="us"), status)
+            arrived = pd.concat([frame[["at", "status"]] for frame in rows]).sort_values("at", kind="stable")
+            for at, status in zip(arrived["at"], arrived["status"], strict=True):
+                stamp = pd.Timestamp(int(at), unit="us")
+                if current is not None:
+                    if stamp < current[0]:
+                        continue
+                    if stamp - current[0] > limit:
+                        yield row(key[0], current[1], current[0])
+                current = None if status in terminal else (stamp, status)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if current is None:
                 self.last.clear()
             else:
-                self.last.update((newest[1], newest[0].to_pydatetime()))
-                stamp = newest[0] if newest[0].tzinfo else newest[0].tz_localize("UTC")
-                self.handle.registerTimer(int(stamp.timestamp() * 1000) + timeout_seconds * 1000)
-            return iter(())
+                micros = current[0].value // 1000
+                self.last.update((current[1], micros))
+                self.handle.registerTimer(micros // 1000 + timeout_seconds * 1000)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            if not self.last.exists():
-                return iter(())
-            status, ts = self.last.get()
-            self.last.clear()
-            at = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, timezone.utc).replace(tzinfo=None)
-            yield pd.DataFrame(
-                {"job_id": [key[0]], "last_status": [status], "last_ts": [ts], "expired_at": [at]}
-            )
+            if self.last.exists():
+                status, at = self.last.get()
+                self.last.clear()
+                yield row(key[0], status, pd.Timestamp(at, unit="us"))
 
         def close(self) -> None:
             pass
@@ -93,9 +98,9 @@ def expired_jobs(
     ``events``: job_id string, status string, ts timestamp. State is one row per open job, ended by a terminal
     event or by the timer. Needs the RocksDB state store.
     """
+    timed = events.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
     return (
-        events.withWatermark("ts", lateness)
-        .groupBy("job_id")
+        timed.groupBy("job_id")
         .transformWithStateInPandas(
             statefulProcessor=expiry_processor(settings.stale_job_timeout_seconds, terminal),
             outputStructType=OUTCOME_SCHEMA,
