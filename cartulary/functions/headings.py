@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,9 +123,10 @@ def is_noise_line(text: Column) -> Column:
     )
 
 
-def looks_like_contents_entry(text: Column) -> Column:
+def looks_like_contents_entry(text: Column, level: Column | None = None) -> Column:
     line = strip(text)
-    pointed = line.rlike(_u(PAGE_REFERENCE)) & heading_level(line).isNotNull()
+    numbered = (heading_level(line) if level is None else level).isNotNull()
+    pointed = line.rlike(_u(PAGE_REFERENCE)) & numbered
     return (F.length(line) >= 3) & (line.rlike(DOT_LEADER) | pointed)
 
 
@@ -271,10 +269,8 @@ def is_numbered_section(text: Column) -> Column:
     return text.rlike(_u(NUMBERED_SECTION))
 
 
-def could_open_chapter(text: Column) -> Column:
-    return (
-        (F.length(text) <= OPENER_CHARACTERS) & ~ends_with_any(text, OPENER_ENDINGS) & heading_level(text).isNull()
-    )
+def could_open_chapter(text: Column, level: Column) -> Column:
+    return (F.length(text) <= OPENER_CHARACTERS) & ~ends_with_any(text, OPENER_ENDINGS) & level.isNull()
 
 
 def looks_like_document_title(text: Column) -> Column:
@@ -317,6 +313,3 @@ def numbering_prefix(title: Column) -> Column:
 def found_markers(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.contains(m), F.lit(m)) for m in PROBE_MARKERS]))
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions)

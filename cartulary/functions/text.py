@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The code points for which str.isspace() holds.
@@ -36,6 +36,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_once(frame: DataFrame, keep: list, array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element, where ``array`` is costly to compute and its elements are not null.
+
+    For a plain ``explode`` the optimizer infers filters on the array's size and nullness and pushes them
+    down, so that the array is computed three times per row, partly in the scan. It infers none for an outer one.
+    """
+    if position is None:
+        rows = frame.select(*keep, F.explode_outer(array).alias(name))
+    else:
+        rows = frame.select(*keep, F.posexplode_outer(array).alias(position, name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARACTERS))
 

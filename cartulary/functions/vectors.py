@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from cartulary.functions.text import let
 
@@ -45,12 +47,12 @@ def _digest_function(family: str):
 def hash_vector(dimensions: int, family: str = "blake2b"):
     """Arrow UDF: ``array<string>`` of tokens to a unit vector ``array<double>``.
 
-    The built-in functions have no blake2b. The UDF runs inside the scan stage without a shuffle; a token is
-    hashed once per worker while it stays in a bounded cache, and weights are summed in numpy per batch.
+    The built-in functions have no blake2b. The UDF runs inside the scan stage without a shuffle. Tokens are
+    dictionary-encoded per batch, so each distinct token is hashed once, and the rest is numpy over the batch.
     """
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         digest = _digest_function(family)
 
         @lru_cache(maxsize=1 << 20)
@@ -58,22 +60,32 @@ def hash_vector(dimensions: int, family: str = "blake2b"):
             raw = digest(token.encode("utf-8"))
             return int.from_bytes(raw[:4], "big") % dimensions, 1.0 if raw[4] % 2 == 0 else -1.0
 
-        for tokens in batches:
-            vectors = np.zeros((len(tokens), dimensions))
-            for row, words in enumerate(tokens):
-                if words is None or len(words) == 0:
-                    continue
-                counts: dict[str, int] = {}
-                for word in words:
-                    counts[word] = counts.get(word, 0) + 1
-                places = [place(word) for word in counts]
-                weights = 1.0 + np.log(np.fromiter(counts.values(), dtype=float, count=len(counts)))
-                signs = np.fromiter((sign for _, sign in places), dtype=float, count=len(places))
-                buckets = np.fromiter((bucket for bucket, _ in places), dtype=int, count=len(places))
-                vectors[row] = np.bincount(buckets, weights=weights * signs, minlength=dimensions)
-            norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-            norms[norms == 0.0] = 1.0
-            yield pd.Series(list(vectors / norms))
+        def vectors(lists: pa.Array) -> np.ndarray:
+            rows = len(lists)
+            sizes = np.nan_to_num(np.asarray(pc.list_value_length(lists), dtype=float)).astype(np.int64)
+            words = pc.dictionary_encode(lists.flatten())
+            if len(words) == 0:
+                return np.zeros((rows, dimensions))
+            places = [place(token) for token in words.dictionary.to_pylist()]
+            bucket = np.array([p[0] for p in places], dtype=np.int64)
+            sign = np.array([p[1] for p in places])
+            owner = np.repeat(np.arange(rows, dtype=np.int64), sizes)
+            pair, count = np.unique(owner * len(places) + np.asarray(words.indices), return_counts=True)
+            row, code = pair // len(places), pair % len(places)
+            cells = np.bincount(
+                row * dimensions + bucket[code],
+                weights=sign[code] * (1.0 + np.log(count)),
+                minlength=rows * dimensions,
+            ).reshape(rows, dimensions)
+            norms = np.sqrt((cells * cells).sum(axis=1, keepdims=True))
+            return cells / np.where(norms == 0.0, 1.0, norms)
+
+        for batch in batches:
+            # Slices bound the dense buffer, whatever the batch size of the session.
+            parts = [vectors(batch.slice(at, 1024)) for at in range(0, len(batch), 1024)]
+            dense = np.concatenate(parts) if parts else np.zeros((0, dimensions))
+            offsets = pa.array(np.arange(len(dense) + 1, dtype=np.int32) * dimensions)
+            yield pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()))
 
     return embed
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartulary.config import DEFAULTS, Settings
 from cartulary.functions.chunking import split_text
 from cartulary.functions.ids import chunk_id
-from cartulary.functions.text import primary_page, primary_paragraph
+from cartulary.functions.text import explode_once, primary_page, primary_paragraph
 from cartulary.operators.ordered import Carry, running
 from cartulary.session import settle
 
@@ -58,7 +58,8 @@ def chunk_sections(
     else:
         base = settle(base)
         placed = base.join(section_offsets(base), ["document_id", "section_index"])
-    exploded = placed.select("*", F.posexplode("spans").alias("span_no", "span")).drop("spans")
+    kept = [c for c in placed.columns if c != "spans"]
+    exploded = explode_once(placed, kept, F.col("spans"), "span", "span_no")
     index = (F.col("first_chunk_index") + F.col("span_no")).cast("int")
     return exploded.select(
         chunk_id(F.col("document_id"), index).alias("chunk_id"),

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.digest import KEYWORDS, length_penalty, select_keywords, summarize, terms
+from cartulary.functions.text import explode_once
 
 
 def document_frequency(sections: DataFrame, text: str = "text") -> DataFrame:
     """``(document_id, term, df)``: a section counts each of its terms once."""
     return (
-        sections.select("document_id", F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+        explode_once(sections, ["document_id"], F.array_distinct(terms(F.col(text))), "term")
         .groupBy("document_id", "term")
         .agg(F.count("*").alias("df"))
     )
@@ -20,7 +21,7 @@ def document_frequency(sections: DataFrame, text: str = "text") -> DataFrame:
 def term_frequency(sections: DataFrame, text: str = "text") -> DataFrame:
     """``(document_id, section_index, term, tf, first_position)``."""
     return (
-        sections.select("document_id", "section_index", F.posexplode(terms(F.col(text))).alias("position", "term"))
+        explode_once(sections, ["document_id", "section_index"], terms(F.col(text)), "term", "position")
         .groupBy("document_id", "section_index", "term")
         .agg(F.count("*").alias("tf"), F.min("position").alias("first_position"))
     )

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.config import DEFAULTS, Settings
+from cartulary.functions.text import explode_once
 from cartulary.functions.vectors import embedding_tokens, hash_vector, model_name
 
 
 def token_weights(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``(key, token, occurrences, weight)`` with weight ``1 + ln(occurrences)``."""
     return (
-        texts.select(*key, F.explode(embedding_tokens(F.col(text))).alias("token"))
+        explode_once(texts, key, embedding_tokens(F.col(text)), "token")
         .groupBy(*key, "token")
         .agg(F.count("*").alias("occurrences"))
         .withColumn("weight", 1.0 + F.log("occurrences"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartulary.config import DEFAULTS, Settings
 from cartulary.functions import headings as H
 from cartulary.functions.chunking import split_lines
-from cartulary.functions.text import strip
+from cartulary.functions.text import explode_once, strip
 from cartulary.operators.ordered import neighbour
 
 PAGE = ["document_id", "page_number"]
@@ -33,10 +33,8 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     pending = neighbour(marked, PAGE, "line_no", F.col("__marker"), "__pending")
     body = F.when(F.col("__marker").isNotNull(), H.without_trailing_marker(F.col("text"))).otherwise(F.col("text"))
     moved = pending.withColumn("text", strip(F.concat_ws(" ", "__pending", body)))
-    split = moved.select(
-        *[F.col(c) for c in lines.columns if c != "text"],
-        F.posexplode(H.split_inline_items(F.col("text"))).alias("part", "text"),
-    )
+    kept = [F.col(c) for c in lines.columns if c != "text"]
+    split = explode_once(moved, kept, H.split_inline_items(F.col("text")), "line", "part").withColumnRenamed("line", "text")
     return split.filter(~H.is_noise_line(F.col("text")))
 
 
@@ -70,32 +68,38 @@ def prepare_pages(
     own = lines.join(merged.filter(~F.col("from_ocr")).select(*PAGE), PAGE, "left_semi").select(
         *PAGE, "line_no", "text", "size", F.lit(False).alias("from_ocr")
     )
-    read = merged.filter("from_ocr").select(
+    read = explode_once(
+        merged.filter("from_ocr"), PAGE, split_lines(F.col("text")), "line", "line_no"
+    ).select(
         *PAGE,
-        F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"),
+        "line_no",
+        F.col("line").alias("text"),
         F.lit(None).cast("double").alias("size"),
         F.lit(True).alias("from_ocr"),
-    ).withColumnRenamed("line", "text")
+    )
     every = own.unionByName(read.withColumn("line_no", F.col("line_no").cast(dict(own.dtypes)["line_no"])))
     return merged, clean_lines(every)
 
 
-def contents_pages(lines: DataFrame) -> DataFrame:
-    """Pages with at least three lines of three characters, half of them contents entries."""
+def contents_pages(lines: DataFrame, level: Column | None = None) -> DataFrame:
+    """Pages with at least three lines of three characters, half of them contents entries.
+
+    ``level`` is the lines' numbering level where it is known already.
+    """
     long_enough = lines.filter(F.length(strip(F.col("text"))) >= 3)
     return (
         long_enough.groupBy(*PAGE)
         .agg(
             F.count("*").alias("line_count"),
-            F.count_if(H.looks_like_contents_entry(F.col("text"))).alias("entry_count"),
+            F.count_if(H.looks_like_contents_entry(F.col("text"), level)).alias("entry_count"),
         )
         .filter((F.col("line_count") >= 3) & (F.col("entry_count") / F.col("line_count") >= CONTENTS_SHARE))
     )
 
 
-def body_sizes(lines: DataFrame) -> DataFrame:
+def body_sizes(lines: DataFrame, order: str = "line_no") -> DataFrame:
     """Most frequent font size per document, rounded to 0.1; the size seen first wins a tie."""
-    position = F.struct("page_number", "line_no")
+    position = F.struct("page_number", order)
     counted = (
         lines.filter(F.col("size") > 0)
         .groupBy("document_id", F.bround("size", 1).alias("body_size"))
@@ -106,19 +110,20 @@ def body_sizes(lines: DataFrame) -> DataFrame:
     return counted.groupBy("document_id").agg(best.alias("body_size"))
 
 
-def chapter_openers(lines: DataFrame, order: str) -> DataFrame:
+def chapter_openers(lines: DataFrame, order: str, level: Column | None = None) -> DataFrame:
     """``(document_id, page_number, opener)``: a short line before numbered sections near the page's top.
 
     Eight candidates and six lines after each can matter, so only the first lines of a page are windowed.
     """
     top = Window.partitionBy(*PAGE).orderBy(order)
-    head = lines.select(*PAGE, order, "text").withColumn("__n", F.row_number().over(top)).filter(F.col("__n") <= 15)
+    level = H.heading_level(F.col("text")) if level is None else level
+    head = lines.select(*PAGE, order, "text", level.alias("__level")).withColumn("__n", F.row_number().over(top)).filter(F.col("__n") <= 15)
     numbered = F.when(H.is_numbered_section(F.col("text")), 1).otherwise(0)
     seen = head.withColumn("__next", F.lead(numbered).over(top)).withColumn(
         "__ahead", F.sum(numbered).over(top.rowsBetween(1, 6))
     )
     fit = (
-        (F.col("__n") <= 8) & (F.col("__next") == 1) & (F.col("__ahead") >= 2) & H.could_open_chapter(F.col("text"))
+        (F.col("__n") <= 8) & (F.col("__next") == 1) & (F.col("__ahead") >= 2) & H.could_open_chapter(F.col("text"), F.col("__level"))
     )
     return seen.filter(fit).groupBy(*PAGE).agg(F.min_by("text", "__n").alias("opener"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartulary.functions import headings as H
-from cartulary.functions.text import collapse, strip
+from cartulary.functions.text import collapse, explode_once, strip
 from cartulary.operators import pages as P
 from cartulary.operators.ordered import Carry, neighbour, running
 from cartulary.session import settle
@@ -83,55 +83,45 @@ def repair_labels(events: DataFrame) -> DataFrame:
         F.aggregate("events", identity, lambda acc, e: F.transform(acc, lambda s: step(s, e))).alias("effect"),
     )
     start = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<block:bigint,state:int>>").alias("starts"))
-    entries = (
-        effects.groupBy("document_id")
-        .agg(F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("effects"))
-        .select(
-            "document_id",
-            F.explode(
-                F.aggregate(
-                    "effects",
-                    start,
-                    lambda acc, b: F.struct(
-                        F.get(b["effect"], acc["state"]).alias("state"),
-                        F.array_append(
-                            acc["starts"], F.struct(b["block"].alias("block"), acc["state"].alias("state"))
-                        ).alias("starts"),
-                    ),
-                    lambda acc: acc["starts"],
-                )
-            ).alias("entry"),
-        )
-        .select("document_id", "entry.block", "entry.state")
-    )
+    chained = F.aggregate(
+        "effects",
+        start,
+        lambda acc, b: F.struct(
+            F.get(b["effect"], acc["state"]).alias("state"),
+            F.array_append(
+                acc["starts"], F.struct(b["block"].alias("block"), acc["state"].alias("state"))
+            ).alias("starts"),
+        ),
+        lambda acc: acc["starts"],
+    )
+    per_document = effects.groupBy("document_id").agg(
+        F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("effects")
+    )
+    entries = explode_once(per_document, DOC, chained, "entry").select("document_id", "entry.block", "entry.state")
     begin = F.struct(
         F.col("state").alias("state"), F.array().cast("array<struct<seq:bigint,label:int>>").alias("out")
     )
-    replayed = blocks.join(entries, ["document_id", "block"]).select(
-        "document_id",
-        F.explode(
-            F.aggregate(
-                "events",
-                begin,
-                lambda acc, e: F.struct(
-                    step(acc["state"], e).alias("state"),
-                    F.when(
-                        e["code"] >= 4,
-                        F.array_append(
-                            acc["out"],
-                            F.struct(
-                                e["seq"].alias("seq"),
-                                F.get(F.get(_table(repair), e["code"]), acc["state"]).alias("label"),
-                            ),
-                        ),
-                    )
-                    .otherwise(acc["out"])
-                    .alias("out"),
+    decided = F.aggregate(
+        "events",
+        begin,
+        lambda acc, e: F.struct(
+            step(acc["state"], e).alias("state"),
+            F.when(
+                e["code"] >= 4,
+                F.array_append(
+                    acc["out"],
+                    F.struct(
+                        e["seq"].alias("seq"),
+                        F.get(F.get(_table(repair), e["code"]), acc["state"]).alias("label"),
+                    ),
                 ),
-                lambda acc: acc["out"],
             )
-        ).alias("o"),
+            .otherwise(acc["out"])
+            .alias("out"),
+        ),
+        lambda acc: acc["out"],
     )
+    replayed = explode_once(blocks.join(entries, ["document_id", "block"]), DOC, decided, "o")
     names = F.array(*[F.lit(label) for label in H.LABEL_SEQUENCE])
     return replayed.select(
         "document_id",
@@ -144,14 +134,25 @@ def repair_labels(events: DataFrame) -> DataFrame:
 
 
 def _classify(lines: DataFrame) -> DataFrame:
-    """Per line: opener flag, label split, garbled-label split and level."""
+    """Per line: opener flag, label split, garbled-label split and level.
+
+    The numbering level of a line decides four things, so it is computed once and stored.
+    """
     part = F.col("part") if "part" in lines.columns else F.lit(0)
-    content = lines.join(P.contents_pages(lines).select(*P.PAGE), P.PAGE, "left_anti").withColumn(
-        "seq", F.col("page_number").cast("long") * _PAGE_STEP + F.col("line_no") * _LINE_STEP + part
-    )
-    content = content.withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
-    sized = content.join(P.body_sizes(content), DOC, "left")
-    opened = sized.join(P.chapter_openers(content, "seq"), P.PAGE, "left")
+    numbered = settle(
+        lines.select(
+            *P.PAGE,
+            (F.col("page_number").cast("long") * _PAGE_STEP + F.col("line_no") * _LINE_STEP + part).alias("seq"),
+            strip(F.col("text")).alias("text"),
+            "size",
+            "from_ocr",
+            H.heading_level(F.col("text")).alias("numbered"),
+        ).filter(F.col("text") != "")
+    )
+    level = F.col("numbered")
+    content = numbered.join(P.contents_pages(numbered, level).select(*P.PAGE), P.PAGE, "left_anti")
+    sized = content.join(P.body_sizes(content, "seq"), DOC, "left")
+    opened = sized.join(P.chapter_openers(content, "seq", level), P.PAGE, "left")
     body = F.when(~F.col("from_ocr"), F.col("body_size"))
     return opened.select(
         *P.PAGE,
@@ -160,7 +161,7 @@ def _classify(lines: DataFrame) -> DataFrame:
         F.coalesce(F.col("text") == F.col("opener"), F.lit(False)).alias("opens"),
         H.split_label(F.col("text")).alias("label"),
         H.split_noise_label(F.col("text")).alias("noise"),
-        H.detect_level(F.col("text"), F.col("size"), body).alias("level"),
+        F.coalesce("numbered", H.visual_level(F.col("text"), F.col("size"), body)).alias("level"),
     )
 
 
@@ -231,9 +232,13 @@ def heading_sections(lines: DataFrame) -> DataFrame:
     ``lines``: document_id, page_number, line_no, text, size, from_ocr and optionally part.
     """
     read = settle(_classify(lines))
-    repaired = repair_labels(_label_events(read))
+    # Garbled labels and unlabelled chapter openers are rare; their work is planned only where they occur.
+    if read.filter(F.col("noise").isNotNull()).isEmpty():
+        repaired = read.withColumn("repaired", F.lit(None).cast("string"))
+    else:
+        repaired = read.join(repair_labels(_label_events(read)), ["document_id", "seq"], "left")
     known = settle(
-        read.join(repaired, ["document_id", "seq"], "left").withColumn(
+        repaired.withColumn(
             "kind",
             F.when(F.col("opens"), "opener")
             .when(F.col("label").isNotNull() | F.col("repaired").isNotNull(), "label")
@@ -251,7 +256,10 @@ def heading_sections(lines: DataFrame) -> DataFrame:
     kind = F.when(item & ~F.coalesce("in_block", F.lit(False)), F.lit(None)).otherwise(F.col("kind"))
     staged = staged.withColumn("kind", kind).withColumn("heads", F.col("kind").isNotNull().cast("int"))
     cut = settle(running(staged, DOC, "seq", [Carry("section_no", F.col("heads"), "sum")], inclusive=True, block_rows=_LINE_BLOCK))
-    titled = cut.join(_chapter_titles(cut), ["document_id", "seq"], "left")
+    if cut.filter(F.col("kind") == "opener").isEmpty():
+        titled = cut.withColumn("chapter_title", F.lit(None).cast("string"))
+    else:
+        titled = cut.join(_chapter_titles(cut), ["document_id", "seq"], "left")
 
     point = H.numbered_item(F.col("text"))
     is_item = (F.col("kind") == "heading") & (F.col("level") == H.ITEM_LEVEL)

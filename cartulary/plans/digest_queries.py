@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartulary.functions.digest import has_content, split_sentences
-from cartulary.functions.text import collapse, location_label, quote_excerpt, shorten
+from cartulary.functions.text import collapse, explode_once, location_label, quote_excerpt, shorten
 from cartulary.operators.digest import document_frequency, keywords, summaries, term_frequency
 from cartulary.plans.catalogue import query
 from cartulary.plans.inputs import (
@@ -41,7 +41,7 @@ FROM pieces, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)""",
 )
 def sentences_query(spark, folder):
     table = read_table(spark, folder, "documents", heavy=True)
-    return table.select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("position", "sentence"))
+    return explode_once(table, ["doc_id"], split_sentences(F.col("text")), "sentence", "position")
 
 
 @query(

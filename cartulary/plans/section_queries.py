@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartulary.functions import headings as H
+from cartulary.functions.text import explode_once
 from cartulary.operators import maintenance as M
 from cartulary.operators import pages as P
 from cartulary.operators import sections as S
@@ -21,10 +22,8 @@ _DIGITS = "一二三四五六七八九"
 def _raw_lines(spark, folder):
     """Lines of the documents; colons and semicolons become commas so that no line reads like a label."""
     table = read_table(spark, folder, "documents", heavy=True)
-    return table.select(
-        F.col("doc_id").cast("string").alias("document_id"),
-        F.posexplode(F.split(F.translate("text", ":;", ",,"), "\n")).alias("i", "raw"),
-    )
+    lines = F.split(F.translate("text", ":;", ",,"), "\n")
+    return explode_once(table, [F.col("doc_id").cast("string").alias("document_id")], lines, "raw", "i")
 
 
 def _numbered_lines(spark, folder):
@@ -269,10 +268,8 @@ SELECT document_id, CAST(i AS INTEGER) AS line_no, part, text FROM parts""",
 def clean_lines(spark, folder):
     """Every fourth line ends in a marker that belongs to the next one; every fourth holds inline items."""
     table = read_table(spark, folder, "documents", heavy=True)
-    raw = table.select(
-        F.col("doc_id").cast("string").alias("document_id"),
-        F.posexplode(F.split(F.translate("text", ":;()", ",,[]"), "\n")).alias("line_no", "raw"),
-    )
+    pieces = F.split(F.translate("text", ":;()", ",,[]"), "\n")
+    raw = explode_once(table, [F.col("doc_id").cast("string").alias("document_id")], pieces, "raw", "line_no")
     base = F.trim(F.substring("raw", 1, 40))
     text = (
         F.when(
