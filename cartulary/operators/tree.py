@@ -32,8 +32,9 @@ def ancestor_paths_with_root(path: Column) -> Column:
 
 
 def preorder_key(path: Column) -> Column:
-    """Text that sorts paths in preorder."""
-    return F.array_join(F.transform(F.split(path, r"\."), lambda p: F.lpad(p, 6, "0")), ".")
+    """Text that sorts paths in preorder; the root's is empty, so it comes first."""
+    padded = F.array_join(F.transform(F.split(path, r"\."), lambda p: F.lpad(p, 6, "0")), ".")
+    return F.when(path == "", F.lit("")).otherwise(padded)
 
 
 def with_preorder(nodes: DataFrame) -> DataFrame:
