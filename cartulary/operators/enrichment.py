@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cartulary.functions.headings import numbering_prefix
 from cartulary.functions.similarity import matching_ratio
 from cartulary.functions.text import collapse, is_blank, strip
+from cartulary.operators.ordered import Carry, running
 from cartulary.session import settle
 
 # Limits and prompt texts.
@@ -46,14 +46,10 @@ def targets(nodes: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def batches(found: DataFrame) -> DataFrame:
-    """Add ``chapter`` and ``batch``: at most 24 targets of one top-level chapter.
-
-    A chapter holds at most as many nodes as its tree allows, so its window is small.
-    """
-    order = Window.partitionBy("document_id", "chapter").orderBy("preorder")
-    return found.withColumn("chapter", F.split("path", r"\.")[0].cast("int")).withColumn(
-        "batch", F.floor((F.row_number().over(order) - 1) / F.lit(TARGETS_PER_BATCH)).cast("int")
-    )
+    """Add ``chapter`` and ``batch``: at most 24 targets of one top-level chapter."""
+    keyed = found.withColumn("chapter", F.split("path", r"\.")[0].cast("int"))
+    placed = running(keyed, ["document_id", "chapter"], "preorder", [Carry("__before", F.lit(1), "sum")])
+    return placed.withColumn("batch", F.floor(F.col("__before") / F.lit(TARGETS_PER_BATCH)).cast("int")).drop("__before")
 
 
 def enrichment_prompts(batched: DataFrame) -> DataFrame:

@@ -251,11 +251,20 @@ def heading_sections(lines: DataFrame) -> DataFrame:
         .when(F.col("kind") == "opener", False)
         .when((F.col("kind") == "heading") & (F.col("level") < H.ITEM_LEVEL), False)
     )
-    staged = running(known, DOC, "seq", [Carry("in_block", active, "last")], block_rows=_LINE_BLOCK)
+    # Both scans read keys only; the text of the lines is joined once afterwards.
+    lean = known.select("document_id", "seq", "kind", "level")
+    staged = running(lean, DOC, "seq", [Carry("in_block", active, "last")], block_rows=_LINE_BLOCK)
     item = F.coalesce((F.col("kind") == "heading") & (F.col("level") == H.ITEM_LEVEL), F.lit(False))
     kind = F.when(item & ~F.coalesce("in_block", F.lit(False)), F.lit(None)).otherwise(F.col("kind"))
     staged = staged.withColumn("kind", kind).withColumn("heads", F.col("kind").isNotNull().cast("int"))
-    cut = settle(running(staged, DOC, "seq", [Carry("section_no", F.col("heads"), "sum")], inclusive=True, block_rows=_LINE_BLOCK))
+    counted = running(
+        staged, DOC, "seq", [Carry("section_no", F.col("heads"), "sum")], inclusive=True, block_rows=_LINE_BLOCK
+    )
+    cut = settle(
+        known.drop("kind").join(
+            counted.select("document_id", "seq", "kind", "heads", "section_no"), ["document_id", "seq"]
+        )
+    )
     if cut.filter(F.col("kind") == "opener").isEmpty():
         titled = cut.withColumn("chapter_title", F.lit(None).cast("string"))
     else:
@@ -329,7 +338,6 @@ def dedupe_sections(sections: DataFrame) -> DataFrame:
 def fold_mis_styled(sections: DataFrame, *, keep_text: bool) -> DataFrame:
     """Long unnumbered titles after a numbered item of the same level are its body text, not headings."""
     block = _LINE_BLOCK
-    sections = settle(sections)
     base = neighbour_level(sections.select("document_id", "order", "title", "level"), block)
     numbered = H.heading_level(F.col("title")).isNotNull()
     changed = F.coalesce(F.col("__before") != F.col("level"), F.lit(True))

@@ -31,16 +31,38 @@ def ancestor_paths_with_root(path: Column) -> Column:
     )
 
 
-def preorder_key(path: Column) -> Column:
-    """Text that sorts paths in preorder; the root's is empty, so it comes first."""
-    padded = F.array_join(F.transform(F.split(path, r"\."), lambda p: F.lpad(p, 6, "0")), ".")
-    return F.when(path == "", F.lit("")).otherwise(padded)
-
-
 def with_preorder(nodes: DataFrame) -> DataFrame:
-    """Number the nodes of edited trees, root first."""
-    order = Window.partitionBy("document_id").orderBy(preorder_key(F.col("path")))
-    return nodes.drop("preorder").withColumn("preorder", F.row_number().over(order) - 1)
+    """Number the nodes of edited trees in preorder, root first.
+
+    A node comes one place after its parent plus all nodes below its earlier siblings, so the number is a sum
+    along the path; no group is larger than the children of one node or the depth of one path.
+    """
+    earlier = (
+        Window.partitionBy("document_id", "__parent").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    steps = (
+        nodes.filter(F.col("path") != "")
+        .select("document_id", "path", "position", parent_path(F.col("path")).alias("__parent"))
+        .join(subtree_sizes(nodes).drop("leaf_count"), ["document_id", "path"])
+        .select(
+            "document_id",
+            F.col("path").alias("__step"),
+            (1 + F.coalesce(F.sum("node_count").over(earlier), F.lit(0))).alias("__offset"),
+        )
+    )
+    chain = nodes.select(
+        "document_id", "path", F.explode(F.array_append(ancestor_paths(F.col("path")), F.col("path"))).alias("__step")
+    )
+    numbers = (
+        chain.join(steps, ["document_id", "__step"])
+        .groupBy("document_id", "path")
+        .agg(F.sum("__offset").alias("preorder"))
+    )
+    return (
+        nodes.drop("preorder")
+        .join(numbers, ["document_id", "path"], "left")
+        .withColumn("preorder", F.coalesce("preorder", F.lit(0)).cast("int"))
+    )
 
 
 def tree_order(nodes: DataFrame) -> DataFrame:
