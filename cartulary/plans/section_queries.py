@@ -322,6 +322,43 @@ def bookmark_sections(spark, folder):
     )
 
 
+@query(
+    "prepared_pages",
+    """WITH p AS (
+  SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn + 1 AS INTEGER) AS page_number, conv_id, role, text,
+    trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations),
+thin AS (SELECT *, CASE WHEN role = 'assistant' THEN '' ELSE t END AS own FROM p),
+fit AS (
+  SELECT document_id, page_number FROM thin WHERE length(own) < 12 AND conv_id % 2 = 0 AND t <> ''
+  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY page_number) <= 50)
+SELECT document_id, page_number, f.page_number IS NOT NULL AS from_ocr,
+  length(CASE WHEN f.page_number IS NULL THEN own ELSE text END) AS characters
+FROM thin LEFT JOIN fit f USING (document_id, page_number) WHERE f.page_number IS NOT NULL OR own <> ''""",
+)
+def prepared_pages(spark, folder):
+    """Replies lost their text layer; even conversations have another reading of them."""
+    pages = _conversation_pages(spark, folder)
+    layered = pages.withColumn("text", F.when(F.col("role") == "assistant", "").otherwise(F.col("text")))
+    versions = pages.filter((F.col("role") == "assistant") & (F.col("document_id").cast("bigint") % 2 == 0)).select(
+        "document_id", "page_number", F.lit(0).alias("version"), "text"
+    )
+    short = pages.filter((F.length(F.trim("text")) < 12) & (F.col("document_id").cast("bigint") % 2 == 0)).filter(
+        "role <> 'assistant'"
+    )
+    versions = versions.unionByName(short.select("document_id", "page_number", F.lit(0).alias("version"), "text"))
+    lines = layered.select(
+        "document_id",
+        "page_number",
+        F.lit(0).alias("line_no"),
+        F.substring("text", 1, 60).alias("text"),
+        F.lit(12.0).alias("size"),
+    )
+    merged, _ = P.prepare_pages(layered, lines, versions)
+    return merged.select(
+        "document_id", "page_number", "from_ocr", F.length("text").cast("bigint").alias("characters")
+    )
+
+
 @query(
     "page_sections",
     """SELECT CAST(conv_id AS VARCHAR) AS document_id, 'Page ' || CAST(turn + 1 AS VARCHAR) AS title, 1 AS level, text,
