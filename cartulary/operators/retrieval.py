@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from cartulary.config import DEFAULTS, Settings
 from cartulary.functions.text import location_label
+from cartulary.session import settle
 
 SCOPE_NODE_EVIDENCE = "node_evidence"
 SCOPE_DOCUMENT = "document"
@@ -165,9 +166,10 @@ def retrieve(
     k = top_k or settings.retrieval_top_k
     floor = settings.retrieval_min_score if min_score is None else min_score
     lift = settings.node_evidence_boost if boost is None else boost
-    candidates = scoped_candidates(
-        questions, vectors, settings, limit=k * settings.retrieval_candidate_multiplier if k > 0 else 0, floor=floor
-    ).drop("rank")
+    cut = k * settings.retrieval_candidate_multiplier if k > 0 else 0
+    # A few rows per question. Written down, their true size lets the planner broadcast them to the chunk and
+    # evidence tables instead of shuffling those.
+    candidates = settle(scoped_candidates(questions, vectors, settings, limit=cut, floor=floor).drop("rank"))
     live = candidates.drop("chunk_index", "document_id").join(
         chunks.select(
             "chunk_id",
@@ -184,15 +186,18 @@ def retrieve(
     if node_evidence is None:
         scoped = live.withColumn("__in_scope", F.lit(False))
     else:
+        asked = questions.select("question_id", "node_id")
+        pairs = candidates.join(asked, "question_id").select("node_id", "chunk_id").distinct()
         marks = (
-            questions.select("question_id", "node_id")
-            .join(node_evidence.select("node_id", "chunk_id"), "node_id")
-            .select("question_id", "chunk_id")
+            node_evidence.select("node_id", "chunk_id")
+            .join(pairs, ["node_id", "chunk_id"], "left_semi")
             .distinct()
             .withColumn("__mark", F.lit(True))
         )
-        scoped = live.join(marks, ["question_id", "chunk_id"], "left").withColumn(
-            "__in_scope", F.col("__mark").isNotNull()
+        scoped = (
+            live.join(asked, "question_id")
+            .join(marks, ["node_id", "chunk_id"], "left")
+            .withColumn("__in_scope", F.col("__mark").isNotNull())
         )
     ranked = scoped.select(
         "question_id",
