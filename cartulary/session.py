@@ -1,4 +1,4 @@
-"""Session helpers: a tuned builder, the shared checkpoint folder and size-checked broadcasts."""
+"""Session helpers: a tuned builder and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_LIMIT_ROWS = 200_000
 
 
 def build_session(app_name: str = "cartulary", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -30,12 +27,19 @@ def build_session(app_name: str = "cartulary", cores: int | str = "*", shuffle_p
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh temporary folder only where it is unset, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder in ``spark.checkpoint.dir``.
+
+    Only a one-machine session without the setting gets a temporary folder; a cluster without it is an error,
+    because executors could not read what others wrote.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def settle(frame: DataFrame) -> DataFrame:
@@ -48,11 +52,3 @@ def settle(frame: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/cartulary-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
-
-
-def broadcast_if_small(frame: DataFrame, limit: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
-    """Broadcast hint only after counting that the frame really is below ``limit`` rows.
-
-    The probe stops at ``limit + 1`` rows. Larger frames are returned as they are and join by shuffle.
-    """
-    return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
