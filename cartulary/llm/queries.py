@@ -17,7 +17,15 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-RUNNERS = (op6_minhash_neardup,)
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cartulary.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+RUNNERS = (op2_best_fit_packing, op6_minhash_neardup,)
 SQL: dict[str, str] = {}
 
 
