@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm.neardup import near_duplicates
 
@@ -25,7 +31,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-RUNNERS = (op2_best_fit_packing, op6_minhash_neardup,)
+RUNNERS = (op2_best_fit_packing, op5_suffix_array_dedup, op6_minhash_neardup,)
 SQL: dict[str, str] = {}
 
 
