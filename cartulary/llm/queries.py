@@ -23,6 +23,12 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,7 +37,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-RUNNERS = (op2_best_fit_packing, op5_suffix_array_dedup, op6_minhash_neardup,)
+def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op5_suffix_array_dedup, op6_minhash_neardup, op8_bm25_decontamination)
 SQL: dict[str, str] = {}
 
 
