@@ -43,9 +43,16 @@ def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op5_suffix_array_dedup, op6_minhash_neardup, op8_bm25_decontamination)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op5_suffix_array_dedup, op6_minhash_neardup, op8_bm25_decontamination, pipeline)
 SQL: dict[str, str] = {}
 
 
 def load_llm_queries() -> dict[str, Query]:
+    import corpus_pipeline  # noqa: F401  a missing pipeline removes all queries of the subpackage
     return {run.__name__: Query(run, SQL.get(run.__name__)) for run in RUNNERS}

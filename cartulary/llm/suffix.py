@@ -31,11 +31,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from cartulary.llm.neardup_sketch import mix64
 from cartulary.session import settle
 
-_PRIME = np.uint64(0x100000001B3)
+_PRIME = 0x100000001B3
 SLAB = 1 << 20
 
 
@@ -64,8 +65,8 @@ def trigger_of_start(data: np.ndarray, parsing: Parsing) -> np.ndarray:
         rolled, size = mix64(part.astype(np.uint64) + np.uint64(1)), 1
         factor = _PRIME
         while size < parsing.trigger:
-            rolled = rolled[:-size] * factor + rolled[size:]
-            factor, size = factor * factor, size * 2
+            rolled = rolled[:-size] * np.uint64(factor) + rolled[size:]
+            factor, size = factor * factor % 2**64, size * 2
         # the low bits carry the position, so that equal hashes give the leftmost
         least = (mix64(rolled) & ~np.uint64(2 * SLAB - 1)) | np.arange(len(rolled), dtype=np.uint64)
         span = 1
@@ -89,12 +90,19 @@ def entries_of(text: bytes, parsing: Parsing) -> Iterator[tuple[int, int, int]]:
         )
 
 
+_KEYED = StructType([StructField("row_key", LongType()), StructField("doc_id", LongType()), StructField("packed", BinaryType())])
 _ENTRY = "row_key long, first int, last int, at int, near binary, whole binary"
 _digest = xxhash.xxh3_128_digest
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _carried(docs: DataFrame, names: tuple[str, ...]) -> list[StructField]:
+    """Fields of the columns that only pass through, under names that cannot clash."""
+    return [StructField(f"carried_{i}", docs.schema[name].dataType) for i, name in enumerate(names)]
+
+
+def _packed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows with a key of their own and their text compressed, so that it moves cheaply."""
+    fields = _carried(docs, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, nth = zstandard.ZstdCompressor(level=3), 0
@@ -105,11 +113,16 @@ def _packed(docs: DataFrame) -> DataFrame:
                 keys = pa.array(np.arange(nth, nth + block.num_rows) + (part << 40))
                 nth += block.num_rows
                 texts = [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in block["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([keys, block["doc_id"], pa.array(texts, pa.binary())], ["row_key", "doc_id", "packed"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "row_key long, doc_id long, packed binary"
+                passed = [block[f.name] for f in fields]
+                yield pa.RecordBatch.from_arrays(
+                    [keys, block["doc_id"], pa.array(texts, pa.binary()), *passed], ["row_key", "doc_id", "packed", *(f.name for f in fields)]
+                )
+
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        *(docs[name].alias(f.name) for name, f in zip(carry, fields)),
     )
+    return own.mapInArrow(run, StructType([*_KEYED.fields, *fields]))
 
 
 def _parse(packed: DataFrame, parsing: Parsing) -> DataFrame:
@@ -211,33 +224,51 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-_CUT = "row_key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
-
-def remove_repeats(docs: DataFrame, parsing: Parsing = Parsing(), with_text: bool = False, whole_characters: bool = False) -> DataFrame:
-    """Per row: sizes, number of removed runs and digest of what is left; ``kept`` (bytes) with ``with_text``.
-
-    ``whole_characters`` lets a removed run grow to the characters that it touches, so that ``kept`` stays UTF-8.
-    """
+def _cut(packed: DataFrame, ranges: DataFrame, parsing: Parsing, whole_characters: bool, schema: StructType) -> DataFrame:
+    """Rows with sizes, digest and the bytes that are left, and whatever else ``packed`` carries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 block, rows = batch.slice(at, 1000), []
-                for key, doc, data, ranges in zip(*(block[c].to_pylist() for c in ("row_key", "doc_id", "packed", "ranges"))):
+                for data, ranges in zip(block["packed"].to_pylist(), block["ranges"].to_pylist()):
                     text = unpack.decompress(data)
                     spans = merged_spans(ranges or [], parsing.length)
                     if whole_characters:
                         spans = [_grown(text, s) for s in spans]
                     kept = cut_out(text, spans)
-                    rows.append((key, doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-                yield _arrow(rows, _CUT)
+                    rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
+                made = _arrow(rows, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                made = {n: c for n, c in zip(made.schema.names, made.columns)}
+                yield pa.RecordBatch.from_arrays([made[n] if n in made else block[n] for n in schema.names], list(schema.names))
+
+    return packed.join(ranges, "row_key", "left").mapInArrow(run, schema)
 
+
+def _grouped(packed: DataFrame, parsing: Parsing) -> DataFrame:
+    return repeated_starts(packed, parsing).groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+
+
+def remove_repeats(docs: DataFrame, parsing: Parsing = Parsing()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs(doc_id, text)``."""
     packed = settle(_packed(docs))
-    ranges = repeated_starts(packed, parsing).groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    out = packed.join(ranges, "row_key", "left").select("row_key", "doc_id", "packed", "ranges").mapInArrow(run, _CUT)
-    return out.drop("row_key") if with_text else out.drop("row_key", "kept")
+    counts = [StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+    return _cut(packed, _grouped(packed, parsing), parsing, False, StructType([*counts, StructField("kept_sha256", StringType())]))
+
+
+def without_repeats(docs: DataFrame, parsing: Parsing) -> DataFrame:
+    """The rows of ``docs`` with the text that is left; a removed run grows to the characters that it touches.
+
+    A null text stays null, other columns are unchanged.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    packed = settle(_packed(docs.withColumn("no_text", F.col("text").isNull()), (*others, "no_text")))
+    fields = [StructField("doc_id", LongType()), StructField("kept", BinaryType())]
+    kept = _cut(packed, _grouped(packed, parsing), parsing, True, StructType([*fields, *(f for f in packed.schema if f.name.startswith("carried_"))]))
+    text = F.when(~F.col(f"carried_{len(others)}"), F.col("kept").cast("string")).alias("text")
+    names = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"carried_{i}").alias(c) for i, c in enumerate(others)}
+    return kept.select(*(names[c] for c in docs.columns))
 
 
 def _grown(text: bytes, span: tuple[int, int]) -> tuple[int, int]:

@@ -4,7 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
-from cartulary.llm.suffix import Parsing, remove_repeats
+from cartulary.llm.suffix import Parsing, remove_repeats, without_repeats
 
 SCHEMA = "doc_id long, text string, kept int, packed int"
 
@@ -41,6 +41,9 @@ def test_equals_brute_force(spark):
     for length in (400, 200):
         found = Counter(tuple(r) for r in remove_repeats(frame, Parsing(length=length)).collect())
         assert found == _brute(rows, length)
-    kept = remove_repeats(frame, Parsing(length=200), with_text=True, whole_characters=True).collect()
-    assert all(r["kept"].decode("utf-8") is not None for r in kept) and len(kept) == len(rows)
-    assert remove_repeats(frame.limit(0)).count() == 0
+    kept = without_repeats(frame, Parsing(length=200))
+    assert kept.columns == frame.columns and kept.count() == len(rows)
+    assert kept.where("text is null").count() == 1 and kept.where("kept = 1 and packed = 2").count() == len(rows)
+    again = Counter(r["text"][i : i + 200] for r in kept.collect() if r["text"] for i in range(len(r["text"]) - 199))
+    assert sum(len(r["text"] or "") for r in kept.collect()) < sum(len(t or "") for _, t in rows) and again
+    assert remove_repeats(frame.limit(0)).count() == without_repeats(frame.limit(0), Parsing()).count() == 0
