@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartulary.llm.sharding import ORACLE as SHARDING_SQL
 from cartulary.plans.catalogue import Query
 
 
@@ -43,14 +44,20 @@ def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op5_suffix_array_dedup, op6_minhash_neardup, op8_bm25_decontamination, pipeline)
-SQL: dict[str, str] = {}
+RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op5_suffix_array_dedup, op6_minhash_neardup, op8_bm25_decontamination, op10_extendible_sharding, pipeline)
+SQL: dict[str, str] = {"op10_extendible_sharding": SHARDING_SQL}
 
 
 def load_llm_queries() -> dict[str, Query]:

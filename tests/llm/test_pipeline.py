@@ -10,10 +10,11 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").select("doc_id", "quality")
     names, rows = docs.columns, docs.count()
     rng = random.Random(4)
     passage = " ".join(f"passage{rng.randint(0, 10**6)}" for _ in range(52))
-    base = [r for r in docs.where("doc_id in (1, 2, 4, 6, 7)").collect()]
+    base = [r for r in docs.join(labels, "doc_id").where("n_chars between 400 and 900 and lang = 'en' and quality = 1").select(docs.columns).orderBy("doc_id").collect()]
     item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first()["text"]
     mixed = base[2]["text"].split()
     rng.shuffle(mixed)
