@@ -39,7 +39,7 @@ class NearDupSettings:
     rows: int = 5
     sketch_bits: int = 1024
     slack: float = 0.10
-    block: int = 256
+    block: int = 2048
 
 
 def sign(docs: DataFrame, settings: NearDupSettings) -> DataFrame:
