@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartulary.llm.sharding import ORACLE as SHARDING_SQL
+from cartulary.llm.topk import ORACLE as TOPK_SQL
 from cartulary.plans.catalogue import Query
 
 
@@ -12,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.sitetree import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm.suffix import remove_repeats
 
@@ -56,8 +69,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op5_suffix_array_dedup, op6_minhash_neardup, op8_bm25_decontamination, op10_extendible_sharding, pipeline)
-SQL: dict[str, str] = {"op10_extendible_sharding": SHARDING_SQL}
+RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op8_bm25_decontamination, op10_extendible_sharding, pipeline)
+SQL: dict[str, str] = {"op3_nra_topk": TOPK_SQL, "op10_extendible_sharding": SHARDING_SQL}
 
 
 def load_llm_queries() -> dict[str, Query]:
