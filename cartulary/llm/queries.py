@@ -51,6 +51,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.lm import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm.decontam import leaks
 
@@ -69,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op8_bm25_decontamination, op10_extendible_sharding, pipeline)
+RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op7_log_bilinear_lm, op8_bm25_decontamination, op10_extendible_sharding, pipeline)
 SQL: dict[str, str] = {"op3_nra_topk": TOPK_SQL, "op10_extendible_sharding": SHARDING_SQL}
 
 
