@@ -63,6 +63,18 @@ def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from cartulary.llm.rollup import bpe_counter, documents_history, word_counter
+    from cartulary.session import ensure_checkpoint_dir
+
+    encoders = {"words-1": word_counter, "bytes-bpe-50k": bpe_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
+    return documents_history(table(spark, sf_dir, "documents"), encoders, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+
+
 def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm.sharding import assign_shards
 
@@ -75,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op7_log_bilinear_lm, op8_bm25_decontamination, op10_extendible_sharding, pipeline)
+RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op7_log_bilinear_lm, op8_bm25_decontamination, op9_token_rollup, op10_extendible_sharding, pipeline)
 SQL: dict[str, str] = {"op3_nra_topk": TOPK_SQL, "op10_extendible_sharding": SHARDING_SQL}
 
 
