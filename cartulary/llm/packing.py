@@ -27,52 +27,81 @@ from cartulary.session import settle
 
 CAPACITY = 2048
 CLOSING_ID = (0).to_bytes(4, "little")
-_STEM_AND_MARKS = re.compile(r"([^\W_]+)([!-/:-@\[-^`{-~]+)")
 _UNUSUAL_SPACE = re.compile("[\x1c-\x1f]")
+_MARKS_AT_END = re.compile(r"(?<=[^\W_])([!-/:-@\[-^`{-~]+)(?!\S)")
+_TOGETHER = 200
 
 
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer ends every token at white space, so words are encoded once and kept. A word of letters or digits
-    that ends in ASCII marks is split there, where the tokenizer splits too. Texts with the four separators that
-    only Python calls white space are encoded whole. The kept words are dropped beyond ``limit``.
+    The tokenizer ends every token at white space, and between a letter or digit and ASCII marks that end a word, so
+    such words and marks are encoded once and kept; an ASCII text is lower-cased first, as the tokenizer does. The
+    first ``limit`` words met are kept, which hold the frequent ones; others are encoded again in each block. Words of
+    letters alone are encoded many at a time and told apart by the tokens that end a word. Texts with the four
+    separators that only Python calls white space are encoded whole.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 600_000) -> None:
+    def __init__(self, tokenizer_file: str, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.known: dict[str, bytes] = {}
         self.limit = limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        splits = {w: m.groups() for w in words if (m := _STEM_AND_MARKS.fullmatch(w))}
-        needed = {x for w in words for x in splits.get(w, (w,)) if x not in self.known}
-        needed = list(needed)
-        for word, found in zip(needed, self.tokenizer.encode_batch_fast(needed, add_special_tokens=False)):
-            self.known[word] = self._pack(found.ids)
-        for word, (stem, marks) in splits.items():
-            self.known[word] = self.known[stem] + self.known[marks]
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w.isalpha()]
+        groups = [plain[at : at + _TOGETHER] for at in range(0, len(plain), _TOGETHER)]
+        rest, out = [w for w in words if not w.isalpha()], {}
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
+                rest += group
+                continue
+            packed, start = ids.tobytes(), 0
+            for word, end in zip(group, ends.tolist()):
+                out[word], start = packed[start:end], end
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[word] = self._pack(found.ids)
+        return out
+
+    def _words(self, text: str) -> list[str] | None:
+        if _UNUSUAL_SPACE.search(text):
+            return None
+        split = _MARKS_AT_END.sub(r" \1", text)
+        return (split.lower() if split.isascii() else split).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNUSUAL_SPACE.search(t) else t.split() for t in texts]
-        known = self.known
+        split, known = [self._words(t) for t in texts], self.known
         missing = {w for words in split if words for w in words if w not in known}
         if missing:
-            self._learn(list(missing))
-            missing = {w for words in split if words for w in words if w not in known}
-            if missing:
-                self._learn(list(missing))
-        return [
-            self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(known.__getitem__, words))
-            for t, words in zip(texts, split)
-        ]
+            fresh = self._encoded(list(missing))
+            if len(known) + len(fresh) <= self.limit:
+                known.update(fresh)
+            else:
+                fetch = fresh.get
+                return [self._whole(t) if words is None else b"".join([known[w] if w in known else fetch(w) for w in words]) for t, words in zip(texts, split)]
+        return [self._whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
+
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_file: str) -> WordIds:
+    """The worker's encoder; tasks that follow each other in a worker share its words."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = WordIds(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -82,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     """Pieces of every row with the writing task's number and the piece's number among those of its length there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordIds(tokenizer_file), np.zeros(capacity + 1, np.int64)
+        encoder, seen = word_ids(tokenizer_file), np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
