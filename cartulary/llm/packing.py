@@ -39,7 +39,7 @@ class WordIds:
     such words and marks are encoded once and kept; an ASCII text is lower-cased first, as the tokenizer does. The
     first ``limit`` words met are kept, which hold the frequent ones; others are encoded again in each block. Words of
     letters alone are encoded many at a time and told apart by the tokens that end a word. Texts with the four
-    separators that only Python calls white space are encoded whole.
+    separators that only Python calls white space, or that may hold a special token, are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str, limit: int = 250_000) -> None:
@@ -73,7 +73,7 @@ class WordIds:
         return out
 
     def _words(self, text: str) -> list[str] | None:
-        if _UNUSUAL_SPACE.search(text):
+        if _UNUSUAL_SPACE.search(text) or ("<|" in text and "|>" in text):
             return None
         split = _MARKS_AT_END.sub(r" \1", text)
         return (split.lower() if split.isascii() else split).split()

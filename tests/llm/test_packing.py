@@ -15,7 +15,7 @@ FILE = public_tokenizers.path("word_bpe_49k.json")
 
 def test_word_ids_equal_whole_encoding():
     texts = ["", " ", "It's a test., of Thé́ ABC_9,x!? <|endoftext|> a<|endoftext|>b", "İstanbul ΑΣ. ﬁ ²³ 12,5 ### a²!",
-             "é. é ñ,̃ ́x", "a\x1cb \x85c\xa0d e\n\tz", "don't we'll THEY'RE !! ... ,. x'", "日本語。 テスト!"]
+             "é. é ñ,̃ ́x", "a\x1cb \x85c\xa0d e\n\tz", "A <|ENDOFTEXT|> b, <|endoftext|>, c", "don't we'll THEY'RE !! ... ,. x'", "日本語。 テスト!"]
     whole = Tokenizer.from_file(FILE)
     assert [np.frombuffer(x, "<u4").tolist() for x in WordIds(FILE).encode(texts)] == [
         whole.encode(t, add_special_tokens=False).ids for t in texts
