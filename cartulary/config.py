@@ -25,7 +25,6 @@ class Settings:
     root_evidence_chunks: int = 50
     max_node_children: int = 64
     max_evidence_sections: int = 24
-    max_outline_level: int = 9
     context_max_characters: int = 6000
     context_children: int = 8
     context_siblings: int = 6

@@ -148,9 +148,9 @@ def extractive_quotes(evidence: Column, budget: int) -> Column:
 
 
 def resolve_labels(labels: Column, evidence: Column) -> Column:
-    """Chunk ids of the cited labels that exist, first mention only."""
+    """Chunk ids of the cited labels that exist, first mention only; a missing list cites nothing."""
     found = F.transform(
-        F.transform(labels, lambda x: F.lower(F.trim(x))),
+        F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.lower(strip(x))),
         lambda x: F.get(F.filter(evidence, lambda e: e["label"] == x), F.lit(0))["chunk_id"],
     )
     return F.array_distinct(F.array_compact(found))

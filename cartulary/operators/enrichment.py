@@ -121,7 +121,7 @@ def accepted_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Model rows that pass the guards: known node, summary of sane length, at most six keywords.
 
     ``rows``: document_id, node_id (the path), summary, keywords, corrected_title. A repeated node keeps the
-    row that sorts last by ``row_no`` when there is one.
+    row that sorts last by ``row_no`` when there is one, then by its content.
     """
     known = rows.join(
         found.select("document_id", F.col("path").alias("node_id"), F.col("title").alias("title")), ["document_id", "node_id"]
@@ -134,7 +134,7 @@ def accepted_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     latest = (
         fine.withColumn("keywords", F.coalesce(kept, F.array().cast("array<string>")))
         .groupBy("document_id", "node_id", "title")
-        .agg(F.max_by(F.struct("summary", "keywords", "corrected_title"), order).alias("r"))
+        .agg(F.max_by(F.struct("summary", "keywords", "corrected_title"), F.struct(order, "summary", "keywords", "corrected_title")).alias("r"))
         .select("document_id", "node_id", "title", "r.summary", "r.keywords", "r.corrected_title")
     )
     latest = settle(latest)

@@ -21,8 +21,16 @@ TITLE_CHARACTERS = 160
 KEY = ["document_id", "section_index"]
 
 
-def _level(settings: Settings) -> Column:
-    return F.greatest(F.lit(1), F.least(F.col("level"), F.lit(settings.max_outline_level))).cast("int")
+def _leveled(sections: DataFrame) -> tuple[DataFrame, range]:
+    """Sections with ``__rank``, the number of their level among the document's levels, and all ranks there are.
+
+    Only the order of levels matters for an outline, so levels may be of any size and have gaps.
+    """
+    leveled = sections.withColumn("level", F.greatest(F.lit(1), F.col("level")).cast("int"))
+    order = Window.partitionBy("document_id").orderBy("level")
+    kinds = leveled.select("document_id", "level").distinct().withColumn("__rank", F.dense_rank().over(order))
+    most = kinds.agg(F.max("__rank")).first()[0] or 1
+    return leveled.join(kinds, ["document_id", "level"]), range(1, most + 1)
 
 
 def _greatest(columns: list[Column]) -> Column:
@@ -35,15 +43,14 @@ def outline_parents(sections: DataFrame, settings: Settings = DEFAULTS) -> DataF
     The parent is the nearest earlier section of a smaller level. One scan carries the last section of every
     level; a level's last section is an ancestor when it is later than that of every smaller level.
     """
-    levels = range(1, settings.max_outline_level + 1)
-    leveled = sections.withColumn("level", _level(settings))
+    leveled, levels = _leveled(sections)
     scanned = running(
         leveled,
         ["document_id"],
         "section_index",
-        [Carry(f"__l{k}", F.when(F.col("level") == k, F.col("section_index")), "max") for k in levels],
+        [Carry(f"__l{k}", F.when(F.col("__rank") == k, F.col("section_index")), "max") for k in levels],
     )
-    seen = {k: F.when(F.col("level") > k, F.col(f"__l{k}")) for k in levels}
+    seen = {k: F.when(F.col("__rank") > k, F.col(f"__l{k}")) for k in levels}
     parent = _greatest([seen[k] for k in levels])
 
     def on_path(k: int) -> Column:
@@ -62,18 +69,17 @@ def outline_parents(sections: DataFrame, settings: Settings = DEFAULTS) -> DataF
 
 def subtree_ends(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add ``subtree_end``: index of the first later section that is not below this one, null at the end."""
-    levels = range(1, settings.max_outline_level + 1)
-    leveled = sections.withColumn("level", _level(settings))
+    leveled, levels = _leveled(sections)
     scanned = running(
         leveled,
         ["document_id"],
         "section_index",
-        [Carry(f"__e{k}", F.when(F.col("level") == k, F.col("section_index")), "min") for k in levels],
+        [Carry(f"__e{k}", F.when(F.col("__rank") == k, F.col("section_index")), "min") for k in levels],
         reverse=True,
     )
-    ends = [F.when(F.col("level") >= k, F.col(f"__e{k}")) for k in levels]
+    ends = [F.when(F.col("__rank") >= k, F.col(f"__e{k}")) for k in levels]
     return scanned.select(
-        *[F.col(c) for c in sections.columns if c != "level"], "level", F.least(*ends).cast("int").alias("subtree_end")
+        *[F.col(c) for c in sections.columns if c != "level"], "level", (F.least(*ends) if len(ends) > 1 else ends[0]).cast("int").alias("subtree_end")
     )
 
 
@@ -91,6 +97,20 @@ def tree_failures(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     return _too_wide(outline_parents(sections.select("document_id", "section_index", "level"), settings), settings)
 
 
+def tree_status(titles: DataFrame, sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Per document: ``ready`` with the number of kept sections, or ``failed`` with a code where it is too wide."""
+    wide = tree_failures(sections, settings)
+    kept = place_sections(sections, settings).groupBy("document_id").agg(F.count(F.lit(1)).alias("kept_sections"))
+    failed = F.col("top_level_sections").isNotNull()
+    return titles.select("document_id").join(wide, "document_id", "left").join(kept, "document_id", "left").select(
+        "document_id",
+        F.when(failed, "failed").otherwise("ready").alias("status"),
+        F.coalesce("kept_sections", F.lit(0)).alias("kept_sections"),
+        F.when(failed, "too_many_children").alias("error_code"),
+        F.when(failed, F.concat(F.col("top_level_sections").cast("string"), F.lit(" top-level sections"))).alias("error_message"),
+    )
+
+
 def place_sections(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add position, path and depth; sections beyond the child cap, and all below them, are dropped.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartulary.config import DEFAULTS, Settings
+from cartulary.functions.text import strip
 from cartulary.operators.evidence import node_sections
 from cartulary.operators.ordered import neighbour
 
@@ -165,7 +166,7 @@ def search(nodes: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> D
 
     ``queries``: (query_id, document_id, query). A blank query finds nothing.
     """
-    needles = queries.select("query_id", "document_id", F.lower(F.trim("query")).alias("needle")).filter(
+    needles = queries.select("query_id", "document_id", F.lower(strip(F.col("query"))).alias("needle")).filter(
         F.col("needle") != ""
     )
     order = Window.partitionBy("query_id").orderBy("preorder")

@@ -18,7 +18,7 @@ from cartulary.operators import enrichment as R
 from cartulary.operators.chunks import chunk_sections, chunks_aligned
 from cartulary.operators.embedding import vector_records
 from cartulary.operators.evidence import TARGET_ANSWER, TARGET_EDGE, TARGET_NODE, link_evidence
-from cartulary.operators.outline import build_tree
+from cartulary.operators.outline import build_tree, tree_status
 from cartulary.operators.tree import map_json
 from cartulary.session import settle
 from cartulary.sources.store import append_states, delete_documents, read_store, replace_documents
@@ -67,6 +67,8 @@ def build_trees(
 ) -> DataFrame:
     """Outline, optional enrichment, evidence and map model; returns the tree nodes.
 
+    ``tree_status`` holds a row per document: a document that is too wide for a tree is stored as failed.
+
     Documents whose stored chunks no longer match the sections are indexed again first.
     """
     spark = titles.sparkSession
@@ -85,6 +87,7 @@ def build_trees(
     edges, links = link_evidence(nodes, chunks, settings)
     links = settle(links)
     replace_documents(nodes, store.path("nodes"), documents)
+    replace_documents(tree_status(titles, sections, settings), store.path("tree_status"), documents)
     replace_documents(edges, store.path("edges"), documents)
     replace_documents(
         links,
@@ -100,13 +103,20 @@ def answer(
     questions: DataFrame, store: Store, drafts: DataFrame | None = None, settings: Settings = DEFAULTS,
     *, family: str = "blake2b", model: str | None = None,
 ) -> DataFrame:
-    """Context, reply, citations and final state of every question; returns the replies."""
+    """Context, reply, citations and final state of every question; returns the replies.
+
+    A question on a node that does not exist gets the state ``failed``.
+    """
     spark: SparkSession = questions.sparkSession
     nodes, links = read_store(spark, store.path("nodes")), read_store(spark, store.path("evidence"))
     chunks, vectors = read_store(spark, store.path("chunks")), read_store(spark, store.path("vectors"))
     contexts = settle(A.node_contexts(questions, nodes, links, chunks, vectors, settings, family=family))
     replies = settle(A.answer_questions(contexts, drafts, settings))
     states, answer_links = A.persist_answers(replies, model)
+    unknown = questions.join(nodes.select("node_id"), "node_id", "left_anti").select(
+        "question_id", "node_id", "question", "intent", F.lit("failed").alias("status"), F.lit("The node does not exist.").alias("refusal_reason")
+    )
+    states = states.unionByName(unknown, allowMissingColumns=True)
     append_states(states.withColumn("at", F.current_timestamp()), store.path("question_states"))
     answered = replies.select("document_id").distinct()
     asked = settle(replies.select(F.col("question_id").alias("target_id")))

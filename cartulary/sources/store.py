@@ -6,10 +6,12 @@ or the removed documents fall into, and writes the same rows again when it is re
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.window import Window
 
 from cartulary.session import settle
@@ -27,8 +29,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All rows with their bucket. The schema is kept beside the table, so a table without rows can be read."""
+    kept = StructType.fromJson(json.loads(spark.read.text(f"{path}.schema").first()[0]))
+    return spark.read.schema(kept.add(BUCKET, IntegerType())).parquet(path)
+
+
+def _keep_schema(rows: DataFrame, path: str) -> None:
+    spark = rows.sparkSession
+    spark.createDataFrame([(rows.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.schema")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
+    return _stored(spark, path).drop(BUCKET)
 
 
 def _rewrite(rows: DataFrame, touched: DataFrame, path: str, buckets: int) -> None:
@@ -63,13 +78,14 @@ def replace_documents(
     their old ones.
     """
     spark = rows.sparkSession
-    if not _exists(spark, path):
+    if not _exists(spark, f"{path}.schema"):
+        _keep_schema(rows, path)
         _rewrite(rows, rows, path, buckets)
         return
     rows = settle(rows)
     gone = settle((rows if documents is None else documents).select("document_id").distinct())
     touched = gone.select(_bucket(buckets).alias(BUCKET)).distinct()
-    stored = spark.read.parquet(path).join(touched, BUCKET, "left_semi").drop(BUCKET)
+    stored = _stored(spark, path).join(touched, BUCKET, "left_semi").drop(BUCKET)
     marked = stored.join(gone.withColumn("__gone", F.lit(True)), "document_id", "left")
     replaced = F.coalesce("__gone", F.lit(False))
     if where is not None:
@@ -90,7 +106,7 @@ def _drop_emptied(spark: SparkSession, path: str, touched: DataFrame, merged: Da
 
 
 def delete_documents(spark: SparkSession, path: str, documents: DataFrame, *, buckets: int = BUCKETS) -> None:
-    if _exists(spark, path):
+    if _exists(spark, f"{path}.schema"):
         schema = read_store(spark, path).schema
         replace_documents(spark.createDataFrame([], schema), path, documents, buckets=buckets)
 
@@ -98,7 +114,7 @@ def delete_documents(spark: SparkSession, path: str, documents: DataFrame, *, bu
 def upsert(rows: DataFrame, path: str, key: str, *, buckets: int = BUCKETS) -> None:
     """Insert rows or replace those of the same ``key``; other rows of the document stay."""
     spark = rows.sparkSession
-    if _exists(spark, path):
+    if _exists(spark, f"{path}.schema"):
         documents = rows.select("document_id").distinct()
         untouched = (
             read_store(spark, path)
@@ -128,8 +144,8 @@ def current_states(log: DataFrame, key: str = "question_id", status: str = "stat
     return found.select(key, F.coalesce("__end", "__last").alias("s")).select(key, "s.*")
 
 
-def list_recent(frame: DataFrame, limit: int = 20, by: str = "created_at") -> DataFrame:
-    return frame.orderBy(F.desc(by)).limit(limit)
+def list_recent(frame: DataFrame, limit: int = 20, by: str = "created_at", tie: str | None = None) -> DataFrame:
+    return frame.orderBy(F.desc(by), *([F.desc(tie)] if tie else [])).limit(limit)
 
 
 def list_recent_per(frame: DataFrame, key: str, limit: int = 20, by: str = "created_at", tie: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from cartulary.config import DEFAULTS, Settings
 from cartulary.plans.jobs import Store, index_documents
+from cartulary.session import settle
+from cartulary.sources.store import read_store, upsert
 
 OUTCOME_SCHEMA = "job_id string, last_status string, last_ts timestamp_ntz, expired_at timestamp_ntz"
 
@@ -19,14 +21,22 @@ OUTCOME_SCHEMA = "job_id string, last_status string, last_ts timestamp_ntz, expi
 def index_stream(
     sections: DataFrame, store: Store, checkpoint: str, settings: Settings = DEFAULTS, *, family: str = "blake2b"
 ) -> StreamingQuery:
-    """Index the documents of every micro-batch. Ids are derived from names and rows replaced per document,
-    so a batch that is delivered twice changes nothing."""
+    """Index the documents of every micro-batch.
 
-    def index(batch: DataFrame, _: int) -> None:
-        documents = batch.select("document_id").distinct()
-        index_documents(documents, batch, store, settings, family=family).write.mode("append").parquet(
-            store.path("index_log")
-        )
+    Sections are stored by document and index first; every touched document is then indexed from all its stored
+    sections, so a document may arrive over several batches, and a batch that is delivered twice changes nothing but
+    its own entry of the log, which is overwritten.
+    """
+
+    def index(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        key = F.concat_ws("/", F.col("document_id").cast("string"), F.col("section_index").cast("string"))
+        arrived = settle(batch.withColumn("section_key", key).dropDuplicates(["section_key"]))
+        upsert(arrived, store.path("sections"), "section_key")
+        documents = arrived.select("document_id").distinct()
+        whole = read_store(spark, store.path("sections")).join(documents, "document_id", "left_semi").drop("section_key")
+        logged = index_documents(documents, whole, store, settings, family=family)
+        logged.write.mode("overwrite").parquet(f"{store.path('index_log')}/batch={number}")
 
     return (
         sections.writeStream.foreachBatch(index)
