@@ -248,7 +248,7 @@ def version_report(spark, folder):
 @query(
     "clean_lines",
     """WITH raw AS (
-  SELECT CAST(doc_id AS VARCHAR) AS document_id, i - 1 AS i, trim(substr(l[i], 1, 40), ' ' || chr(9) || chr(13)) AS raw
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, i - 1 AS i, trim(l[i], ' ' || chr(9) || chr(13)) AS raw
   FROM (SELECT doc_id, string_split(translate(text, ':;()', ',,[]'), chr(10)) AS l FROM documents),
   LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
 noisy AS (
@@ -270,7 +270,7 @@ def clean_lines(spark, folder):
     table = read_table(spark, folder, "documents", heavy=True)
     pieces = F.split(F.translate("text", ":;()", ",,[]"), "\n")
     raw = explode_once(table, [F.col("doc_id").cast("string").alias("document_id")], pieces, "raw", "line_no")
-    base = F.trim(F.substring("raw", 1, 40))
+    base = F.trim("raw")
     text = (
         F.when(
             F.col("line_no") % 4 == 1, F.concat(base, F.lit(", ( "), (F.col("line_no") % 90).cast("string"), F.lit(" ) "))
@@ -350,7 +350,7 @@ def prepared_pages(spark, folder):
         "document_id",
         "page_number",
         F.lit(0).alias("line_no"),
-        F.substring("text", 1, 60).alias("text"),
+        "text",
         F.lit(12.0).alias("size"),
     )
     merged, _ = P.prepare_pages(layered, lines, versions)
@@ -547,7 +547,7 @@ def document_titles(spark, folder):
 
 
 def _html_pages(spark, folder):
-    visible = F.trim(F.regexp_replace(F.regexp_extract("html", "<h1>(.*?)</h1>", 1), "<[^>]*>", ""))
+    visible = F.trim(F.regexp_replace("html", "<[^>]*>", ""))
     return read_table(spark, folder, "pages", heavy=True).select(
         (F.col("page_id") % 50).cast("string").alias("document_id"),
         F.col("page_id").alias("page_number"),
@@ -560,7 +560,7 @@ def _html_pages(spark, folder):
 _SQL_COVERAGE = """
 p AS (
   SELECT page_id % 50 AS d, CASE WHEN page_id % 50 < 10 THEN ''
-      ELSE trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) END AS text,
+      ELSE trim(regexp_replace(html, '<[^>]*>', '', 'g')) END AS text,
     len(regexp_extract_all(html, '<a ')) AS links, url FROM pages),
 c AS (
   SELECT CAST(d AS VARCHAR) AS document_id, count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS characters,

@@ -105,7 +105,8 @@ def stored_chunks(spark, folder):
 
 @query(
     "stored_vectors",
-    """SELECT label AS document_id, vec_id, CASE WHEN vec_id % 2 = 0 THEN 0.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS value
+    """SELECT label AS document_id, vec_id, array_to_string(list_transform(embedding, lambda x:
+  CASE WHEN vec_id % 2 = 0 THEN 0 ELSE CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) END), ',') AS millionths
 FROM embeddings WHERE label <> 3""",
 )
 def stored_vectors(spark, folder):
@@ -114,12 +115,14 @@ def stored_vectors(spark, folder):
     vectors = read_table(spark, folder, "embeddings").select(
         F.col("label").alias("document_id"),
         "vec_id",
-        F.round(F.col("embedding")[0].cast("double"), 6).alias("value"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
     )
+    zeros = F.transform("embedding", lambda x: F.lit(0.0))
     S.upsert(vectors, path, "vec_id", buckets=8)
-    S.upsert(vectors.filter("vec_id % 2 = 0").withColumn("value", F.lit(0.0)), path, "vec_id", buckets=8)
+    S.upsert(vectors.filter("vec_id % 2 = 0").withColumn("embedding", zeros), path, "vec_id", buckets=8)
     S.delete_documents(spark, path, vectors.filter("document_id = 3"), buckets=8)
-    return S.read_store(spark, path)
+    millionths = F.transform("embedding", lambda x: F.floor(x * 1000000).cast("string"))
+    return S.read_store(spark, path).select("document_id", "vec_id", F.array_join(millionths, ",").alias("millionths"))
 
 
 def _status(event_type):

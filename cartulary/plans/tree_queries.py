@@ -492,3 +492,38 @@ def map_json(spark, folder):
 def tree_json(spark, folder):
     nodes, _, _, links = _linked(spark, folder)
     return T.tree_json(nodes, links)
+
+
+_DEEP = "CAST(doc_id * 7 % 23 * 2 + 1 AS INTEGER)"
+
+
+@query(
+    "deep_outline",
+    f"""WITH s AS (SELECT source AS document_id, doc_id AS section_index, {_DEEP} AS level FROM documents)
+SELECT s.document_id, s.section_index, s.level, CAST(max(p.section_index) AS INTEGER) AS parent_index
+FROM s LEFT JOIN s p ON p.document_id = s.document_id AND p.section_index < s.section_index AND p.level < s.level
+GROUP BY ALL""",
+)
+def deep_outline(spark, folder):
+    """Sections of each source with 23 levels up to 45."""
+    sections = read_table(spark, folder, "documents").select(
+        F.col("source").alias("document_id"), F.col("doc_id").alias("section_index"), F.expr(_DEEP).alias("level")
+    )
+    return O.outline_parents(sections).drop("ancestors")
+
+
+@query(
+    "tree_status",
+    """SELECT lang || ' ' || CAST(doc_id % 4 AS VARCHAR) AS document_id, CASE WHEN count(*) > 64 THEN 'failed' ELSE 'ready' END AS status,
+  CASE WHEN count(*) > 64 THEN 0 ELSE count(*) END AS kept_sections,
+  CASE WHEN count(*) > 64 THEN 'too_many_children' END AS error_code,
+  CASE WHEN count(*) > 64 THEN CAST(count(*) AS VARCHAR) || ' top-level sections' END AS error_message
+FROM documents GROUP BY 1""",
+)
+def tree_status(spark, folder):
+    """A language's quarter is a document of one level; the wide ones have no tree."""
+    name = F.concat(F.col("lang"), F.lit(" "), (F.col("doc_id") % 4).cast("string"))
+    sections = read_table(spark, folder, "documents").select(
+        name.alias("document_id"), F.col("doc_id").alias("section_index"), F.lit(1).alias("level")
+    )
+    return O.tree_status(sections.select("document_id").distinct(), sections)
