@@ -200,19 +200,28 @@ class Index:
 
 
 def shards(items: DataFrame) -> Iterator[Index]:
-    """Indexes of at most ``SHARD`` items each, in order of ``item_id``; statistics are of all items."""
+    """Indexes of at most ``SHARD`` segments each (or one longer item), in order of ``item_id``; statistics are of all
+    items. Items pass the driver in turn; tasks get one shard at a time."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").toLocalIterator()]
     rows = [r for r in rows if words(r[1])]
     frequency: Counter = Counter()
     total = segments = 0
-    for _, text in rows:
-        found = words(text)
-        for at in range(0, len(found), SEGMENT):
-            frequency.update(set(found[at : at + SEGMENT]))
-            segments, total = segments + 1, total + len(found[at : at + SEGMENT])
-    for at in range(0, len(rows), SHARD):
-        yield Index(rows[at : at + SHARD], segments, frequency, total / segments)
+    groups: list[list[tuple[int, str]]] = []
+    room = 0
+    for row in rows:
+        found = words(row[1])
+        cuts = [found[at : at + SEGMENT] for at in range(0, len(found), SEGMENT)]
+        for cut in cuts:
+            frequency.update(set(cut))
+        segments, total = segments + len(cuts), total + len(found)
+        if room < len(cuts):
+            groups.append([])
+            room = SHARD
+        groups[-1].append(row)
+        room -= len(cuts)
+    for group in groups:
+        yield Index(group, segments, frequency, total / segments)
 
 
 _LEAK = "doc_id long, item_id long, bm25_share double, question_overlap double, answer_overlap double"

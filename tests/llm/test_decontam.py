@@ -2,6 +2,7 @@
 
 import random
 
+from cartulary.llm import decontam
 from cartulary.llm.decontam import Index, OVERLAP, THRESHOLD, clean_rows, grams, leaks, question_and_answer, words
 
 SCHEMA = "doc_id long, text string, item_id long, score string"
@@ -51,6 +52,14 @@ def test_leaks_equal_brute_force(spark):
     assert clean_rows(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_shards_find_the_same(spark, monkeypatch):
+    items, rows = _world()
+    monkeypatch.setattr(decontam, "SHARD", 15)
+    docs = spark.createDataFrame([(d, t, 1, "z") for d, t in rows], SCHEMA)
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, benchmark).collect()} == _brute(items, rows)
+
+
 def test_wand_equals_full_scoring():
     items, rows = _world()
     kept = [(i, t) for i, t in items if t and words(t)]
