@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from cartulary.session import settle
 
 CAPACITY = 2048
+KEPT_GAPS = (2048, 32, 16, 8, 4, 2, 1)
 CLOSING_ID = (0).to_bytes(4, "little")
 _UNUSUAL_SPACE = re.compile("[\x1c-\x1f]")
 _MARKS_AT_END = re.compile(r"(?<=[^\W_])([!-/:-@\[-^`{-~]+)(?!\S)")
@@ -235,10 +237,24 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
                 runs.append(Run(step, heads, capacity - sum(heads)))
                 times -= step
         left = [pair for pool in merged.values() for pair in pool if pair[1]]
-    rest: dict[int, int] = {s: n for s, n in histogram.items() if n and s <= small}
+    rest: Counter = Counter({s: n for s, n in histogram.items() if n and s <= small})
     for size, count in left:
-        rest[size] = rest.get(size, 0) + count
-    return _best_fit(runs, rest, capacity)
+        rest[size] += count
+    # small documents may not suffice for the gaps that rounding leaves: the configurations that stay are those whose
+    # actual lengths fill them best, and the documents of the others are best-fit as well
+    best: list[Run] | None = None
+    for gap in KEPT_GAPS:
+        again, kept = rest.copy(), []
+        for run in runs:
+            if run.gap <= gap:
+                kept.append(Run(run.count, run.lengths, run.gap))
+            else:
+                for size in run.lengths:
+                    again[size] += run.count
+        packed = _best_fit(kept, again, capacity)
+        if best is None or sum(r.count for r in packed) < sum(r.count for r in best):
+            best = packed
+    return best or []
 
 
 def _take(pool: list[list[int]], count: int) -> int:
