@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ SHARD = 2_000
 BLOCK = 8
 WIDTH = 5
 K1, B = 1.2, 0.75
+FLOOR = THRESHOLD - 1e-9
+_END = 2**62
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?]\s+|\n")
 
@@ -107,55 +110,56 @@ class Index:
         return out
 
     @cached_property
-    def block_maxima(self) -> list[dict[int, float]]:
-        out: list[dict[int, float]] = []
+    def by_block(self) -> list[dict[int, tuple[float, list[tuple[int, float]]]]]:
+        """word -> block -> (greatest weight, postings) of the block."""
+        out: list[dict[int, tuple[float, list[tuple[int, float]]]]] = []
         for held in self.postings:
-            best: dict[int, float] = {}
-            for segment, weight in held:
-                best[segment // BLOCK] = max(best.get(segment // BLOCK, 0.0), weight)
-            out.append(best)
+            own: dict[int, list[tuple[int, float]]] = {}
+            for posting in held:
+                own.setdefault(posting[0] // BLOCK, []).append(posting)
+            out.append({block: (max(x for _, x in part), part) for block, part in own.items()})
         return out
 
-    def wand(self, query: list[int]) -> list[int]:
-        """Segments whose score over the distinct words of ``query`` reaches the threshold."""
-        lists = [[w, 0, max(x for _, x in self.postings[w])] for w in query]
+    def wand(self, query: list[int], blocks: Iterable[int] | None = None) -> list[int]:
+        """Segments whose score over the distinct words of ``query`` reaches the threshold, block by block."""
+        found: list[int] = []
+        for block in range(self.blocks) if blocks is None else blocks:
+            lists = [part for w in query if (part := self.by_block[w].get(block))]
+            if sum(most for most, _ in lists) >= FLOOR:  # else the block's maxima cannot reach it
+                found += self._walk([[held[0][0], most, held, 0] for most, held in lists])
+        return found
+
+    def _walk(self, cursors: list[list]) -> list[int]:
+        """WAND order: lists by their next segment; the pivot is the first place whose maxima reach the threshold."""
         found = []
-        floor = THRESHOLD - 1e-9
         while True:
-            lists = [c for c in lists if c[1] < len(self.postings[c[0]])]
-            lists.sort(key=lambda c: self.postings[c[0]][c[1]][0])
+            cursors.sort(key=itemgetter(0))
             total, pivot = 0.0, None
-            for place, (word, at, most) in enumerate(lists):
-                total += most
-                if total >= floor:
+            for place, cursor in enumerate(cursors):
+                total += cursor[1]
+                if total >= FLOOR:
                     pivot = place
                     break
             if pivot is None:
                 return found
-            target = self.postings[lists[pivot][0]][lists[pivot][1]][0]
-            while pivot + 1 < len(lists) and self.postings[lists[pivot + 1][0]][lists[pivot + 1][1]][0] == target:
-                pivot += 1
-            block = target // BLOCK
-            bound = sum(self.block_maxima[c[0]].get(block, 0.0) for c in lists[: pivot + 1])
-            if bound < floor:  # nothing in this block before the next list's head can qualify
-                stop = (block + 1) * BLOCK
-                if pivot + 1 < len(lists):
-                    stop = min(stop, self.postings[lists[pivot + 1][0]][lists[pivot + 1][1]][0])
-                self._advance(lists[: pivot + 1], max(stop, target + 1))
-                continue
-            if self.postings[lists[0][0]][lists[0][1]][0] == target:
-                score = sum(self.postings[c[0]][c[1]][1] for c in lists[: pivot + 1])
-                if score >= floor:
+            target = cursors[pivot][0]
+            if cursors[0][0] == target:
+                score = 0.0
+                for cursor in cursors:
+                    if cursor[0] != target:
+                        break
+                    score += cursor[2][cursor[3]][1]
+                if score >= FLOOR:
                     found.append(target)
-                self._advance(lists[: pivot + 1], target + 1)
-            else:
-                self._advance(lists[: pivot + 1], target)
-
-    def _advance(self, cursors: list[list], to: int) -> None:
-        for cursor in cursors:
-            held = self.postings[cursor[0]]
-            while cursor[1] < len(held) and held[cursor[1]][0] < to:
-                cursor[1] += 1
+                target += 1
+            left = []
+            for cursor in cursors:
+                while cursor[0] < target:
+                    cursor[3] += 1
+                    cursor[0] = cursor[2][cursor[3]][0] if cursor[3] < len(cursor[2]) else _END
+                if cursor[0] != _END:
+                    left.append(cursor)
+            cursors = left
 
     def leaks(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """Item number -> (score, question overlap, answer overlap) of the leaks in a text."""
@@ -178,7 +182,7 @@ class Index:
         ends = np.append(edges[1:], len(word))
         for row in np.flatnonzero(bounds.max(axis=1) >= THRESHOLD - 1e-6):
             query = word[edges[row] : ends[row]].tolist()
-            for segment in self.wand(query):
+            for segment in self.wand(query, np.flatnonzero(bounds[row] >= THRESHOLD - 1e-6).tolist()):
                 item = self.owner[segment]
                 if item in out:
                     continue
