@@ -28,7 +28,7 @@ from cartulary.session import settle
 SCALE = 64
 K = 20
 QUERY_STEP = 20
-VECTOR_BLOCK = 4096
+VECTOR_BLOCK = 2048
 QUERY_BLOCK = 1024
 _EXACT = 2**53
 
