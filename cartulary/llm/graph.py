@@ -40,3 +40,25 @@ def components(links: DataFrame) -> DataFrame:
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         before = state
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups(node, component)`` after more ``links(a, b)``; nodes that are in no group stand for themselves.
+
+    Only links between different groups count, so where there are few of them the work is small.
+    """
+    named = groups.select("node", "component")
+    ends = links
+    for end in ("a", "b"):
+        own = named.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+        ends = ends.join(own, end, "left").withColumn(f"{end}_component", F.coalesce(f"{end}_component", end))
+    contracted = settle(
+        ends.where("a_component <> b_component").select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    )
+    if contracted.isEmpty():
+        return groups
+    joined = components(contracted).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    moved = named.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    # a group's own name is a node of it; lone nodes come in through the links
+    lone = joined.select(F.col("component").alias("node"), F.col("least").alias("component")).join(named, "node", "left_anti")
+    return settle(moved.unionByName(lone))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.graph import components
+from cartulary.llm.graph import components, merged
 from cartulary.llm.neardup_sketch import Signer, WordHashes, shingles, sketch_similarity, words_of
 from cartulary.session import settle
 
@@ -161,8 +161,9 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
         fresh = settle(fresh)
         if fresh.isEmpty():
             continue
-        tried = tried.unionByName(_confirm(fresh, texts, settings))
-        groups = components(tried.where("linked").select("a", "b"))
+        confirmed = _confirm(fresh, texts, settings)
+        tried = tried.unionByName(confirmed)
+        groups = merged(groups, confirmed.where("linked").select("a", "b"))
     named = classes.join(groups, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("class")).alias("class"))
     out = out.join(named, "class", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
