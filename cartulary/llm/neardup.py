@@ -38,7 +38,7 @@ class NearDupSettings:
     bands: int = 24
     rows: int = 5
     sketch_bits: int = 1024
-    slack: float = 0.10
+    slack: float = 0.08
     block: int = 2048
 
 
@@ -100,8 +100,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, settings: NearDupSettings) -> D
 def _plausible(buckets: DataFrame, settings: NearDupSettings, first: int, last: int | None) -> DataFrame:
     """Untied pairs of open buckets whose sketches allow a link, by each member's partner rank in [first, last).
 
-    Buckets are cut into blocks of about ``block`` members; a task holds two blocks. ``bucket`` rows carry key,
-    node, component, sketch and the number of blocks.
+    Buckets are cut into blocks of about ``block`` members; a task holds two blocks. ``buckets`` rows carry key,
+    node, component, sketch, bands and the number of blocks.
     """
     floor = settings.share / 100.0 - settings.slack
     samples, bits = settings.bands * settings.rows, settings.sketch_bits
@@ -110,6 +110,7 @@ def _plausible(buckets: DataFrame, settings: NearDupSettings, first: int, last:
         nodes, groups = rows["node"].to_numpy(), rows["component"].to_numpy()
         own, met = rows["home"].to_numpy(), rows["other"].to_numpy()
         marks = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
         left = np.flatnonzero(own <= met) if (own == met).all() else np.flatnonzero(own < met)
         right = left if (own == met).all() else np.flatnonzero(own > met)
         found: list[np.ndarray] = []
@@ -120,6 +121,9 @@ def _plausible(buckets: DataFrame, settings: NearDupSettings, first: int, last:
             order = order[(close[order] >= floor) & (nodes[right[order]] != nodes[x])][first:last]
             order = right[order]
             order = order[groups[order] != groups[x]]
+            if len(order):  # a pair that shares several bands is named in the first of them alone
+                first_shared = (bands[order] == bands[x]).argmax(axis=1)
+                order = order[bands[x][first_shared] == _key[0]]
             found.append(np.stack([np.full(len(order), nodes[x]), nodes[order]], axis=1))
         pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs.min(axis=1, initial=2**63 - 1), "b": pairs.max(axis=1, initial=-(2**63))})
@@ -142,7 +146,7 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     buckets = settle(keys.join(shared, "key").select("key", "node", "pivot", "members"))
     texts = settle(
         rows.where("doc_id = node").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["class"])
-        .select("node", "sketch", "packed")
+        .select("node", "sketch", "bands", "packed")
     )
     tried = _confirm(
         buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts, settings
@@ -153,10 +157,10 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
         several = placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
         ).where(F.col("low") < F.col("high")).where(F.col("size") > first + 1)
-        open_rows = placed.join(several.select("key", "size"), "key").join(texts.select("node", "sketch"), "node")
+        open_rows = placed.join(several.select("key", "size"), "key").join(texts.select("node", "sketch", "bands"), "node")
         blocks = F.ceil(F.col("size") / settings.block).cast("long")
         fresh = _plausible(
-            open_rows.select("key", "node", "component", "sketch", blocks.alias("blocks")), settings, first, last
+            open_rows.select("key", "node", "component", "sketch", "bands", blocks.alias("blocks")), settings, first, last
         ).join(tried.select("a", "b"), ["a", "b"], "left_anti")
         fresh = settle(fresh)
         if fresh.isEmpty():
