@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 from cartulary.llm.queries import op9_token_rollup
-from cartulary.llm.rollup import Rollup, bpe_counter, count_tokens, word_counter
+from cartulary.llm.rollup import Rollup, bpe_counter, count_tokens, documents_history, word_counter
 
 CHANGES = "doc_id long, tokenizer string, source string, lang string, n_tokens long, action string, change long, extra string"
 
@@ -57,3 +57,26 @@ def test_query_equals_recount(spark):
 def test_odd_documents(spark):
     docs = spark.createDataFrame([(1, None, None, None, 3), (None, "a b", "s", "en", 3), (2, "", "s", "en", 3)], "doc_id long, text string, source string, lang string, n_tokens long")
     assert sorted(r["n_tokens"] for r in count_tokens(docs, "w", word_counter).collect()) == [0, 0, 2]
+
+
+def test_history_ends_with_every_row(spark, tmp_path):
+    rows = [(n, "a b c"[: 1 + n % 5], "s" if n % 3 else None, "en") for n in range(-6, 13)]
+    rows += [(None, "a b", "s", "en"), (None, None, "s", "en"), (2, "a b c d", "s", "en"), (2, "a b c d", "s", "en"), (4, "a", "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    expected = Counter()
+    for _, text, source, lang in rows:
+        for name in ("v1", "v2"):
+            expected[(source, lang, name, "docs")] += 1
+            expected[(source, lang, name, "tokens")] += len((text or "").split())
+    found = Counter()
+    for r in documents_history(docs, {"v1": word_counter, "v2": word_counter}, str(tmp_path / "book")).collect():
+        found[(r["source"], r["lang"], r["tokenizer"], "docs")] += r["n_docs"]
+        found[(r["source"], r["lang"], r["tokenizer"], "tokens")] += r["n_tokens"]
+    assert found == expected
+
+
+def test_query_counts_the_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    expected = {(r["source"], r["lang"]): r["count"] for r in spark.read.parquet(f"{folder}/documents.parquet").groupBy("source", "lang").count().collect()}
+    for name in ("words-1", "bytes-bpe-50k"):
+        assert {(r["source"], r["lang"]): r["n_docs"] for r in op9_token_rollup(spark, folder).collect() if r["tokenizer"] == name} == expected
