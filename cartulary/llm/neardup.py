@@ -31,14 +31,15 @@ _SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch
 
 @dataclass(frozen=True)
 class NearDupSettings:
-    """``share`` percent of the union must be common. A link at 0.85 misses all 24 bands of 5 with 8e-7."""
+    """``share`` percent of the union must be common. A link at 0.85 misses all 24 bands of 5 with 8e-7; its odd sketch
+    lies more than ``slack`` below with 2e-7."""
 
     width: int = 3
     share: int = 85
     bands: int = 24
     rows: int = 5
     sketch_bits: int = 1024
-    slack: float = 0.08
+    slack: float = 0.20
     block: int = 2048
 
 
@@ -100,15 +101,15 @@ def _confirm(pairs: DataFrame, texts: DataFrame, settings: NearDupSettings) -> D
 def _plausible(buckets: DataFrame, settings: NearDupSettings, first: int, last: int | None) -> DataFrame:
     """Untied pairs of open buckets whose sketches allow a link, by each member's partner rank in [first, last).
 
-    Buckets are cut into blocks of about ``block`` members; a task holds two blocks. ``buckets`` rows carry key,
-    node, component, sketch, bands and the number of blocks.
+    Sets whose sizes alone forbid a link are no partners. Buckets are cut into blocks of about ``block`` members; a task
+    holds two blocks. ``buckets`` rows carry key, node, component, n_shingles, sketch, bands and the number of blocks.
     """
     floor = settings.share / 100.0 - settings.slack
     samples, bits = settings.bands * settings.rows, settings.sketch_bits
 
     def run(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         nodes, groups = rows["node"].to_numpy(), rows["component"].to_numpy()
-        own, met = rows["home"].to_numpy(), rows["other"].to_numpy()
+        own, met, sizes = rows["home"].to_numpy(), rows["other"].to_numpy(), rows["n_shingles"].to_numpy()
         marks = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
         bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
         left = np.flatnonzero(own <= met) if (own == met).all() else np.flatnonzero(own < met)
@@ -118,8 +119,10 @@ def _plausible(buckets: DataFrame, settings: NearDupSettings, first: int, last:
             differing = np.bitwise_count(marks[right] ^ marks[x]).sum(axis=1)
             close = sketch_similarity(differing, samples, bits)
             order = np.argsort(-close, kind="stable")
-            order = order[(close[order] >= floor) & (nodes[right[order]] != nodes[x])][first:last]
+            order = order[(close[order] >= floor) & (nodes[right[order]] != nodes[x])]
             order = right[order]
+            least, most = np.minimum(sizes[order], sizes[x]), np.maximum(sizes[order], sizes[x])
+            order = order[100 * least >= settings.share * most][first:last]
             order = order[groups[order] != groups[x]]
             if len(order):  # a pair that shares several bands is named in the first of them alone
                 first_shared = (bands[order] == bands[x]).argmax(axis=1)
@@ -146,7 +149,7 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     buckets = settle(keys.join(shared, "key").select("key", "node", "pivot", "members"))
     texts = settle(
         rows.where("doc_id = node").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["class"])
-        .select("node", "sketch", "bands", "packed")
+        .select("node", "n_shingles", "sketch", "bands", "packed")
     )
     tried = _confirm(
         buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts, settings
@@ -157,10 +160,10 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
         several = placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
         ).where(F.col("low") < F.col("high")).where(F.col("size") > first + 1)
-        open_rows = placed.join(several.select("key", "size"), "key").join(texts.select("node", "sketch", "bands"), "node")
+        open_rows = placed.join(several.select("key", "size"), "key").join(texts.select("node", "n_shingles", "sketch", "bands"), "node")
         blocks = F.ceil(F.col("size") / settings.block).cast("long")
         fresh = _plausible(
-            open_rows.select("key", "node", "component", "sketch", "bands", blocks.alias("blocks")), settings, first, last
+            open_rows.select("key", "node", "component", "n_shingles", "sketch", "bands", blocks.alias("blocks")), settings, first, last
         ).join(tried.select("a", "b"), ["a", "b"], "left_anti")
         fresh = settle(fresh)
         if fresh.isEmpty():

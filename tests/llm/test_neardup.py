@@ -2,7 +2,12 @@
 
 import random
 
-from cartulary.llm.neardup import near_duplicates
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from cartulary.llm.neardup import NearDupSettings, _plausible, near_duplicates
+from cartulary.llm.neardup_sketch import Signer, sketch_similarity
 
 SCHEMA = "doc_id long, text string, class string, node string"
 
@@ -53,3 +58,24 @@ def test_empty_and_null(spark):
     rows = [(None, "a b c d", None, None), (7, "a b c d", None, None), (7, "a b c d", None, None)]
     found = sorted((str(r[0]), r[2]) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert found == [("7", 7), ("7", 7), ("None", None)]
+
+
+@pytest.mark.parametrize("settings", [NearDupSettings(), corpus_pipeline.NEAR])
+def test_links_with_low_sketches_stay(spark, settings):
+    random, signer = np.random.default_rng(1), Signer(settings.bands, settings.rows, settings.sketch_bits)
+    buckets, pairs, node = [], set(), 0
+    for _ in range(1500):  # sets of 200 of which the share is common
+        common = -(-2 * 200 * settings.share // (100 + settings.share))
+        items = random.integers(0, 2**64, 400 - common, np.uint64)
+        samples = [signer.samples(np.sort(part)) for part in (items[:200], items[200 - common :])]
+        sketches, bands = [signer.sketch(x) for x in samples], [signer.keys(x) for x in samples]
+        differing = np.bitwise_count(np.frombuffer(sketches[0], np.uint64) ^ np.frombuffer(sketches[1], np.uint64)).sum()
+        shared = np.flatnonzero(bands[0] == bands[1])
+        if len(shared) and sketch_similarity(differing, settings.bands * settings.rows, settings.sketch_bits) < settings.share / 100 - 0.08:
+            for own in (0, 1):
+                buckets.append((int(bands[0][shared[0]]), node + own, node + own, 200, sketches[own], bands[own].tolist(), 1))
+            pairs.add((node, node + 1))
+            node += 2
+    assert len(pairs) > 3
+    frame = spark.createDataFrame(buckets, "key long, node long, component long, n_shingles long, sketch binary, bands array<long>, blocks long")
+    assert {tuple(r) for r in _plausible(frame, settings, 0, None).collect()} == pairs
