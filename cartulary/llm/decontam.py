@@ -6,10 +6,11 @@ segment lies whole in some passage. Impacts are BM25 weights divided by the segm
 share of a segment's weight that a passage holds. Every segment at or above ``THRESHOLD`` is retrieved: passages are
 first bounded by block maxima, and those that may qualify walk the posting lists in WAND order and skip blocks whose
 maxima cannot reach the threshold. A retrieved item is a leak when the passage's document holds at least 0.8 of the
-five-word shingles of its question and of its answer (shorter parts: the part as one shingle).
+five-word shingles of its question and of its answer (shorter parts: the part as one shingle), or of the whole item,
+so that one changed word in a short last sentence hides no copy.
 
 The index is broadcast in shards of at most ``SHARD`` segments; more items mean more shards, each queried by every
-passage.
+passage. Words are counted by Spark; the driver holds the items and word counts of one shard at a time.
 
 Defined cases: null and empty texts have no passages; null or wordless items are not indexed; repeated items are found
 each; a null ``doc_id`` is reported as null; no items or no rows give no leaks; other columns are ignored.
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.session import settle
+
 SEGMENT = 96
 THRESHOLD = 0.5
 OVERLAP = 0.8
@@ -189,43 +192,69 @@ class Index:
                 if held is None:
                     held = set(zip(*(found[k:] for k in range(WIDTH))))
                 shares = []
-                for part in self.parts[item]:
+                for part in (*self.parts[item], sum(self.parts[item], [])):
                     needed = grams(part)
                     if part and len(part) < WIDTH:
                         wanted = next(iter(needed))
                         shares.append(float(any(tuple(found[i : i + len(part)]) == wanted for i in range(len(found)))))
                     else:
                         shares.append(len(needed & held) / len(needed) if needed else 1.0)
-                if min(shares) >= OVERLAP:
+                if min(shares[:2]) >= OVERLAP or shares[2] >= OVERLAP:
                     inside = set(query)
                     score = sum(x for w in inside for s, x in self.postings[w] if s == segment)
                     out[item] = (float(score), shares[0], shares[1])
         return out
 
 
+def _segments(text: str) -> list[list[str]]:
+    found = words(text)
+    return [found[at : at + SEGMENT] for at in range(0, len(found), SEGMENT)]
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items that have words, with their numbers of words and segments."""
+    for batch in batches:
+        rows = [(i, t, len(words(t)), len(_segments(t))) for i, t in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist())]
+        columns = list(zip(*(r for r in rows if r[2]))) or [[]] * 4
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["item_id", "text", "n_words", "n_segments"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): in how many segments of the batch each word occurs."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for text in batch["text"].to_pylist():
+            for cut in _segments(text):
+                counts.update(set(cut))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+
 def shards(items: DataFrame) -> Iterator[Index]:
     """Indexes of at most ``SHARD`` segments each (or one longer item), in order of ``item_id``; statistics are of all
-    items. Items pass the driver in turn; tasks get one shard at a time."""
+    items. The driver takes the items partition by partition, and of the word counts those of one shard."""
+    spark = items.sparkSession
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").toLocalIterator()]
-    rows = [r for r in rows if words(r[1])]
-    frequency: Counter = Counter()
-    total = segments = 0
-    groups: list[list[tuple[int, str]]] = []
+    sized = settle(own.mapInArrow(_sized, "item_id long, text string, n_words long, n_segments long"))
+    total, segments = sized.agg(F.sum("n_words"), F.sum("n_segments")).first()
+    if not segments:
+        return
+    counted = settle(sized.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+    def index(group: list[tuple[int, str]]) -> Index:
+        wanted = spark.createDataFrame([(w,) for w in sorted({w for _, text in group for w in words(text)})], "word string")
+        return Index(group, segments, {r["word"]: r["n"] for r in counted.join(wanted, "word").collect()}, total / segments)
+
+    group: list[tuple[int, str]] = []
     room = 0
-    for row in rows:
-        found = words(row[1])
-        cuts = [found[at : at + SEGMENT] for at in range(0, len(found), SEGMENT)]
-        for cut in cuts:
-            frequency.update(set(cut))
-        segments, total = segments + len(cuts), total + len(found)
-        if room < len(cuts):
-            groups.append([])
-            room = SHARD
-        groups[-1].append(row)
-        room -= len(cuts)
-    for group in groups:
-        yield Index(group, segments, frequency, total / segments)
+    for row in sized.orderBy("item_id", "text").toLocalIterator():
+        if room < row["n_segments"]:
+            if group:
+                yield index(group)
+            group, room = [], SHARD
+        group.append((row["item_id"], row["text"]))
+        room -= row["n_segments"]
+    yield index(group)
 
 
 _LEAK = "doc_id long, item_id long, bm25_share double, question_overlap double, answer_overlap double"

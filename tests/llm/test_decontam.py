@@ -76,3 +76,25 @@ def test_wand_equals_full_scoring():
             for segment, weight in index.postings[w]:
                 totals[segment] = totals.get(segment, 0.0) + weight
         assert sorted(index.wand(query)) == sorted(s for s, x in totals.items() if x >= THRESHOLD - 1e-9)
+
+
+def test_near_copies_with_a_changed_last_sentence(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD", 15)
+    items, rows = _world()
+    rng, long = random.Random(1), [(i, t) for i, t in items if t and len(words(t)) > 40]
+    for number, (_, text) in enumerate(long):
+        copy = text.split()
+        copy[-rng.randint(1, 3)] = "changed"
+        rows.append((1000 + number, " ".join(copy)))
+
+    def share(part, text):
+        held = {tuple(text[i : i + min(5, len(part))]) for i in range(len(text))}
+        return len(grams(part) & held) / len(grams(part)) if part else 1.0
+
+    expected = {(d, i) for d, t in rows for i, source in items if source and words(source) and share(words(source), words(t)) >= OVERLAP} | _brute(items, rows)
+    assert len(expected - _brute(items, rows)) > 5
+    docs = spark.createDataFrame([(d, t, 1, "z") for d, t in rows], SCHEMA)
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, benchmark).collect()} == expected
+    dirty = {d for d, _ in expected}
+    assert {r["doc_id"] for r in clean_rows(docs, benchmark).collect()} == {d for d, _ in rows} - dirty
