@@ -21,7 +21,8 @@ other row; repeated rows repeat each other's strings; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -224,7 +225,13 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _cut(packed: DataFrame, ranges: DataFrame, parsing: Parsing, whole_characters: bool, schema: StructType) -> DataFrame:
+def n_words(run: bytes) -> int:
+    """Words of a byte run, parted by white space or by whatever is no letter or digit, whichever are more."""
+    text = run.decode("utf-8", "ignore")
+    return max(len(text.split()), len(re.findall(r"\w+", text)))
+
+
+def _cut(packed: DataFrame, ranges: DataFrame, parsing: Parsing, whole_characters: bool, schema: StructType, goes: Callable[[bytes], bool] | None = None) -> DataFrame:
     """Rows with sizes, digest and the bytes that are left, and whatever else ``packed`` carries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +241,7 @@ def _cut(packed: DataFrame, ranges: DataFrame, parsing: Parsing, whole_character
                 block, rows = batch.slice(at, 1000), []
                 for data, ranges in zip(block["packed"].to_pylist(), block["ranges"].to_pylist()):
                     text = unpack.decompress(data)
-                    spans = merged_spans(ranges or [], parsing.length)
+                    spans = [s for s in merged_spans(ranges or [], parsing.length) if goes is None or goes(text[slice(*s)])]
                     if whole_characters:
                         spans = [_grown(text, s) for s in spans]
                     kept = cut_out(text, spans)
@@ -257,15 +264,17 @@ def remove_repeats(docs: DataFrame, parsing: Parsing = Parsing()) -> DataFrame:
     return _cut(packed, _grouped(packed, parsing), parsing, False, StructType([*counts, StructField("kept_sha256", StringType())]))
 
 
-def without_repeats(docs: DataFrame, parsing: Parsing) -> DataFrame:
+def without_repeats(docs: DataFrame, parsing: Parsing, goes: Callable[[bytes], bool] | None = None) -> DataFrame:
     """The rows of ``docs`` with the text that is left; a removed run grows to the characters that it touches.
 
+    ``goes`` decides which repeated runs are removed, else all.
+
     A null text stays null, other columns are unchanged.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     packed = settle(_packed(docs.withColumn("no_text", F.col("text").isNull()), (*others, "no_text")))
     fields = [StructField("doc_id", LongType()), StructField("kept", BinaryType())]
-    kept = _cut(packed, _grouped(packed, parsing), parsing, True, StructType([*fields, *(f for f in packed.schema if f.name.startswith("carried_"))]))
+    kept = _cut(packed, _grouped(packed, parsing), parsing, True, StructType([*fields, *(f for f in packed.schema if f.name.startswith("carried_"))]), goes)
     text = F.when(~F.col(f"carried_{len(others)}"), F.col("kept").cast("string")).alias("text")
     names = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"carried_{i}").alias(c) for i, c in enumerate(others)}
     return kept.select(*(names[c] for c in docs.columns))

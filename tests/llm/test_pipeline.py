@@ -41,3 +41,16 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+def test_passage_of_51_short_words(spark):
+    rng = random.Random(9)
+    fill = lambda n: " ".join(f"{rng.randint(0, 10**9)}" for _ in range(n))
+    letters = " ".join(rng.choice("abcdefghij") for _ in range(51))
+    phrase = " ".join(f"phrase{rng.randint(10**5, 10**6)}" for _ in range(9))
+    assert len(letters) == 101 and 101 < len(phrase) < 200
+    texts = [f"{fill(20)} {part} {fill(30)}" for part in (letters, letters, phrase, phrase, fill(3))]
+    docs = spark.createDataFrame([(n, t, "en", "s", len(t)) for n, t in enumerate(texts)], spark.read.parquet(f"{FOLDER}/documents.parquet").schema)
+    kept = {r["doc_id"]: r for r in corpus_pipeline.repeated_passages(spark, docs, FOLDER).collect()}
+    assert all(letters not in kept[n]["text"] and kept[n]["n_chars"] == len(kept[n]["text"]) < len(texts[n]) - 100 for n in (0, 1))
+    assert [kept[n]["text"] for n in (2, 3, 4)] == texts[2:]
