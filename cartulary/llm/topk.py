@@ -30,6 +30,8 @@ K = 20
 QUERY_STEP = 20
 VECTOR_BLOCK = 2048
 QUERY_BLOCK = 1024
+#: Shares of the lists that are read one after the other, until the bounds decide.
+DEPTHS = (0.25, 0.5, 0.75, 0.9, 1.0)
 _EXACT = 2**53
 
 
@@ -56,9 +58,10 @@ def bounded_top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
     lists = np.sort(real, axis=0)
     low, high = lists[0], lists[-1]
     waiting = np.arange(len(asked))
-    depth = max(4 * k, len(real) // 4)
-    while len(waiting):
-        depth = min(depth, len(real))
+    for share in DEPTHS:
+        if not len(waiting):
+            break
+        depth = min(max(4 * k, int(len(real) * share)), len(real))
         whole = depth == len(real)
         top, bottom = lists[len(real) - depth], lists[depth - 1]  # values at the depth, read from either end
         if whole:
@@ -80,7 +83,7 @@ def bounded_top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
                 yield own, *_best(real[alive] @ asked[number], ids[alive], own, k)
             else:
                 rest.append(number)
-        waiting, depth = np.array(rest, int), len(real)
+        waiting = np.array(rest, int)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:

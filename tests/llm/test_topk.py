@@ -41,3 +41,18 @@ def test_bounds_end_early():
         full = vectors @ vectors[own]
         order = sorted((-full[i], i) for i in ids if i != own)[:20]
         assert [(-s, i) for s, i in order] == [(int(s), i) for s, i in zip(scores, found)]
+
+
+def test_lists_are_deepened_in_steps(monkeypatch):
+    import numpy as np
+
+    from cartulary.llm import topk
+
+    random, met, best = np.random.default_rng(6), [], topk._best
+    vectors, ids = random.integers(-20, 21, (2000, 64)), np.arange(2000)
+    monkeypatch.setattr(topk, "_best", lambda scores, *rest: met.append(len(scores)) or best(scores, *rest))
+    found = {q: (list(i), list(s)) for q, i, s in topk.bounded_top(vectors[:50], ids[:50], vectors, ids, 20)}
+    assert len(met) == 50 and max(met) <= 160
+    for q in range(50):
+        ranked = sorted((-int(vectors[i] @ vectors[q]), i) for i in range(2000) if i != q)[:20]
+        assert found[q] == ([i for _, i in ranked], [-s for s, _ in ranked])
