@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartulary.llm.codes import ORACLE as CODES_SQL
 from cartulary.llm.sharding import ORACLE as SHARDING_SQL
 from cartulary.llm.topk import ORACLE as TOPK_SQL
 from cartulary.plans.catalogue import Query
@@ -81,14 +82,20 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.codes import product_codes
+
+    return product_codes(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op7_log_bilinear_lm, op8_bm25_decontamination, op9_token_rollup, op10_extendible_sharding, pipeline)
-SQL: dict[str, str] = {"op3_nra_topk": TOPK_SQL, "op10_extendible_sharding": SHARDING_SQL}
+RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op7_log_bilinear_lm, op8_bm25_decontamination, op9_token_rollup, op10_extendible_sharding, op12_vector_codes, pipeline)
+SQL: dict[str, str] = {"op3_nra_topk": TOPK_SQL, "op10_extendible_sharding": SHARDING_SQL, "op12_vector_codes": CODES_SQL}
 
 
 def load_llm_queries() -> dict[str, Query]:
