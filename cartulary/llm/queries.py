@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartulary.llm.codes import ORACLE as CODES_SQL
 from cartulary.llm.sharding import ORACLE as SHARDING_SQL
 from cartulary.llm.topk import ORACLE as TOPK_SQL
+from cartulary.llm.trie import ORACLE as TRIE_SQL
 from cartulary.plans.catalogue import Query
 
 
@@ -88,14 +89,20 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op7_log_bilinear_lm, op8_bm25_decontamination, op9_token_rollup, op10_extendible_sharding, op12_vector_codes, pipeline)
-SQL: dict[str, str] = {"op3_nra_topk": TOPK_SQL, "op10_extendible_sharding": SHARDING_SQL, "op12_vector_codes": CODES_SQL}
+RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op7_log_bilinear_lm, op8_bm25_decontamination, op9_token_rollup, op10_extendible_sharding, op12_vector_codes, op13_conversation_trie, pipeline)
+SQL: dict[str, str] = {"op3_nra_topk": TOPK_SQL, "op10_extendible_sharding": SHARDING_SQL, "op12_vector_codes": CODES_SQL, "op13_conversation_trie": TRIE_SQL}
 
 
 def load_llm_queries() -> dict[str, Query]:
