@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartulary.llm.automata import ORACLE as AUTOMATA_SQL
 from cartulary.llm.codes import ORACLE as CODES_SQL
 from cartulary.llm.sharding import ORACLE as SHARDING_SQL
 from cartulary.llm.topk import ORACLE as TOPK_SQL
@@ -83,6 +84,12 @@ def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm.automata import remove_repeated_windows
+
+    return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm.codes import product_codes
 
@@ -101,8 +108,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op7_log_bilinear_lm, op8_bm25_decontamination, op9_token_rollup, op10_extendible_sharding, op12_vector_codes, op13_conversation_trie, pipeline)
-SQL: dict[str, str] = {"op3_nra_topk": TOPK_SQL, "op10_extendible_sharding": SHARDING_SQL, "op12_vector_codes": CODES_SQL, "op13_conversation_trie": TRIE_SQL}
+RUNNERS = (op1_quality_ranking, op2_best_fit_packing, op3_nra_topk, op4_site_style_tree, op5_suffix_array_dedup, op6_minhash_neardup, op7_log_bilinear_lm, op8_bm25_decontamination, op9_token_rollup, op10_extendible_sharding, op11_suffix_automata, op12_vector_codes, op13_conversation_trie, pipeline)
+SQL: dict[str, str] = {"op3_nra_topk": TOPK_SQL, "op10_extendible_sharding": SHARDING_SQL, "op11_suffix_automata": AUTOMATA_SQL, "op12_vector_codes": CODES_SQL, "op13_conversation_trie": TRIE_SQL}
 
 
 def load_llm_queries() -> dict[str, Query]:
