@@ -12,11 +12,14 @@ null; repeated rows are packed each; no rows give no rows; other columns are ign
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +33,34 @@ CAPACITY = 2048
 KEPT_GAPS = (2048, 32, 16, 8, 4, 2, 1)
 CLOSING_ID = (0).to_bytes(4, "little")
 _UNUSUAL_SPACE = re.compile("[\x1c-\x1f]")
-_MARKS_AT_END = re.compile(r"(?<=[^\W_])([!-/:-@\[-^`{-~]+)(?!\S)")
+_MARKS_AT_END = re.compile(r"(?<=[0-9A-Za-z])([!-/:-@\[-^`{-~]+)(?!\S)")
+_MARKS_AFTER_OTHERS = re.compile(r"([^\W_\x00-\x7f])([!-/:-@\[-^`{-~]+)(?!\S)")
 _TOGETHER = 200
+#: Words that the tokenizer gets at once, and characters of the texts that are split at once.
+_WORDS_AT_ONCE, _CHARACTERS_AT_ONCE = 4000, 1_000_000
+
+
+@cache
+def _stays_letter(character: str) -> bool:
+    """Whether a letter or digit still ends in one after the tokenizer's NFC and lower-casing; else marks join its end."""
+    return unicodedata.category(unicodedata.normalize("NFC", character).lower()[-1])[0] in "LN"
+
+
+def _parted(found: re.Match) -> str:
+    return f"{found[1]} {found[2]}" if _stays_letter(found[1]) else found[0]
 
 
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer ends every token at white space, and between a letter or digit and ASCII marks that end a word, so
-    such words and marks are encoded once and kept; an ASCII text is lower-cased first, as the tokenizer does. The
+    The tokenizer ends every token at white space, and between a letter or digit and ASCII marks that end a word (unless
+    its normal form ends in a combining mark), so such words and marks are encoded once and kept; an ASCII text is lower-cased first, as the tokenizer does. The
     first ``limit`` words met are kept, which hold the frequent ones; others are encoded again in each block. Words of
     letters alone are encoded many at a time and told apart by the tokens that end a word. Texts with the four
     separators that only Python calls white space, or that may hold a special token, are encoded whole.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 250_000) -> None:
+    def __init__(self, tokenizer_file: str, limit: int = 50_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -78,13 +94,26 @@ class WordIds:
         if _UNUSUAL_SPACE.search(text) or ("<|" in text and "|>" in text):
             return None
         split = _MARKS_AT_END.sub(r" \1", text)
-        return (split.lower() if split.isascii() else split).split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        return (split.lower() if split.isascii() else _MARKS_AFTER_OTHERS.sub(_parted, split)).split()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; as many texts are split at once as their characters allow."""
+        at = 0
+        while at < len(texts):
+            end, room = at + 1, _CHARACTERS_AT_ONCE - len(texts[at])
+            while end < len(texts) and len(texts[end]) <= room:
+                room -= len(texts[end])
+                end += 1
+            yield from self._block(texts[at:end])
+            at = end
+
+    def _block(self, texts: list[str]) -> list[bytes]:
         split, known = [self._words(t) for t in texts], self.known
         missing = {w for words in split if words for w in words if w not in known}
         if missing:
-            fresh = self._encoded(list(missing))
+            listed, fresh = list(missing), {}
+            for at in range(0, len(listed), _WORDS_AT_ONCE):
+                fresh |= self._encoded(listed[at : at + _WORDS_AT_ONCE])
             if len(known) + len(fresh) <= self.limit:
                 known.update(fresh)
             else:
@@ -102,6 +131,7 @@ _ENCODERS: dict[str, WordIds] = {}
 def word_ids(tokenizer_file: str) -> WordIds:
     """The worker's encoder; tasks that follow each other in a worker share its words."""
     if tokenizer_file not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores; threads would each hold memory
         _ENCODERS[tokenizer_file] = WordIds(tokenizer_file)
     return _ENCODERS[tokenizer_file]
 

@@ -1,6 +1,7 @@
 """Packing: exact token ids, gapless sequences, and few of them."""
 
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from cartulary.llm import packing
 from cartulary.llm.packing import WordIds, pack, plan_runs
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +24,26 @@ def test_word_ids_equal_whole_encoding():
     ]
 
 
+def _differing(texts):
+    whole = Tokenizer.from_file(FILE).encode_batch_fast(texts, add_special_tokens=False)
+    return [t for t, own, found in zip(texts, WordIds(FILE).encode(texts), whole) if np.frombuffer(own, "<u4").tolist() != found.ids]
+
+
+def test_word_ids_after_every_letter_and_digit():
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LN"]
+    assert _differing([c + "," for c in letters]) == []
+    assert _differing(["x क़, y", "x ड़. y", "שׁ.", "İ,"]) == []
+
+
+def test_word_ids_of_random_strings(monkeypatch):
+    monkeypatch.setattr(packing, "_WORDS_AT_ONCE", 50)
+    monkeypatch.setattr(packing, "_CHARACTERS_AT_ONCE", 200)
+    rng = random.Random(11)
+    kinds = ["ab Z9", ".,!?'-_", "éñßİΣς", "क़ड़ि शׁב", "\u0301\u0308\u200d", "日本가각ㄱ", "½²٣Ⅷ", " \t\n", "😀…—"]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 12))) for _ in range(6000)] + ["word, " * 3000]
+    assert _differing(texts) == []
+
+
 def test_plan_holds_every_piece_once():
     rng = random.Random(1)
     for lengths in ([], [2047], [1] * 5000, [rng.randint(1, 2047) for _ in range(6000)], [1025] * 300 + [1023] * 299, [700, 683, 665] * 500):

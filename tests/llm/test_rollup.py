@@ -46,7 +46,7 @@ def test_random_batches_equal_recount(spark, tmp_path):
 def test_query_equals_recount(spark):
     folder = "/root/testdata/sf0.001"
     expected = Counter()
-    docs = [r for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r["doc_id"] % 2 or r["doc_id"] % 4 == 0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     counters = {"words-1": word_counter(), "bytes-bpe-50k": bpe_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)()}
     for name, count in counters.items():
         for r, n in zip(docs, count([r["text"] for r in docs])):
