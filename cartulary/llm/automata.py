@@ -4,12 +4,13 @@ A window of ``length`` words chooses an anchor: the least hash among its own run
 equals. Equal windows choose the same one, so windows only need to meet where their anchors agree. Neighbouring windows
 of one anchor form a segment; no window is in two segments.
 
-1. Anchors are counted by hash; segments of an anchor that occurs once are done.
-2. Equal segments become one reference, at its earliest place; all later places lose every window.
-3. References are dealt to shards by anchor. A shard's automaton holds the references of earlier places while the next
+1. Segments meet by anchor, as 64-bit hashes of their words: equal ones become one reference, at its earliest place;
+   all later places lose every window. An anchor with one reference is done.
+2. Other references get their words back from their texts.
+3. They are dealt to shards by anchor. A shard's automaton holds the references of earlier places while the next
    one streams through it for its matching statistics: a match of ``length`` words or more at a word ends a window that
-   starts earlier. Automata are sent to where references of the same anchors are, since a broadcast of all of them
-   would grow with the input and every document would meet every shard.
+   starts earlier. Automata are built where references of the same anchors are, since a broadcast of all of them would
+   grow with the input, and every document would meet every shard.
 4. An anchor with more than ``shard`` references, as around a passage in a third of all texts, is settled window by
    window: equal windows are counted with their earliest place, which combines before the shuffle.
 5. Maximal spans of matched words leave their documents.
@@ -24,16 +25,18 @@ first one counts as earlier; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.llm.neardup_sketch import WordHashes, mix64
+from cartulary.llm.neardup_sketch import mix64
 from cartulary.session import settle
 
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -44,7 +47,7 @@ class Windows:
     """``shard``: references a shard holds about, and an anchor at most; an automaton has two states a word."""
 
     length: int = 20
-    gram: int = 8
+    gram: int = 4
     shard: int = 2048
 
 
@@ -107,79 +110,119 @@ class SuffixAutomaton:
             yield length
 
 
-def segments(words: list[bytes], windows: Windows, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each segment of one text."""
-    total = len(words) - windows.length + 1
+class _Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as far as asked for."""
+
+    def __init__(self, base: int) -> None:
+        self.bases = base, pow(base, -1, 2**64)
+        self.known = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def upto(self, length: int) -> list[np.ndarray]:
+        while len(self.known[0]) < length:
+            for at, base in enumerate(self.bases):
+                own = self.known[at]
+                self.known[at] = np.concatenate([own, own * np.uint64(pow(base, len(own), 2**64))])
+        return self.known
+
+
+_BYTES, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xC2B2AE3D27D4EB4F)
+_VALUES = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SLAB = 1 << 22
+
+
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+    """Hash of ``values[start:end]`` for each span: differences of one polynomial, shifted to its start."""
+    up, down = powers.upto(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """64-bit hash of each word; texts beyond a few megabytes go through in slabs that end at white space."""
+    codes, at = [np.empty(0, np.uint64)], 0
+    while at < len(text):
+        end = min(at + _SLAB, len(text))
+        while end < len(text) and not _SPACE[text[end]]:
+            end += 1
+        data = np.frombuffer(text, np.uint8, end - at, at)
+        edges = np.flatnonzero(np.diff(~_SPACE[data], prepend=False, append=False))
+        codes.append(_spans(_VALUES[data], edges[::2], edges[1::2], _BYTES))
+        at = end
+    return np.concatenate(codes)
+
+
+def segments(codes: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, hash of the words, first window and number of windows of each segment of one text."""
+    total = len(codes) - windows.length + 1
     if total <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    one = mix64(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-    grams = np.full(len(words) - windows.gram + 1, np.uint64(windows.gram), np.uint64)
-    for step in range(windows.gram):
-        grams = mix64(grams) + one[step : step + len(grams)]
-    grams = mix64(grams)
+        return (np.empty(0, np.int64),) * 4
+    places = np.arange(len(codes) - windows.gram + 1)
+    grams = _spans(codes, places, places + windows.gram, _WORDS)
     # leftmost least of ``reach`` neighbours, by doubling
-    reach, best, width = windows.length - windows.gram + 1, np.arange(len(grams)), 1
+    reach, best, width = windows.length - windows.gram + 1, places, 1
     while width < reach:
         shift = min(width, reach - width)
         left, right = best[: len(best) - shift], best[shift:]
         best = np.where(grams[right] < grams[left], right, left)
         width += shift
-    starts = np.flatnonzero(np.diff(best, prepend=-1))
-    return grams[best[starts]].astype(np.int64), starts, np.diff(starts, append=total)
+    firsts = np.flatnonzero(np.diff(best, prepend=-1))
+    counts = np.diff(firsts, append=total)
+    contents = _spans(codes, firsts, firsts + counts + windows.length - 1, _WORDS)
+    return grams[best[firsts]].view(np.int64), contents.view(np.int64), firsts, counts
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, key, text): the text as bytes, a digest of it, and one of text and id together."""
+    """(doc_id, tag, text): the text as bytes and a digest of it."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.select("doc_id", F.xxhash64("text").alias("tag"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
+    return own.select("doc_id", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """Texts compressed, so that they move cheaply."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = pa.array([packer.compress(t.as_buffer()) for t in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tag"], packed], ["doc_id", "tag", "packed"])
+
+    return texts.mapInArrow(run, "doc_id long, tag long, packed binary")
+
+
+_FACTS = "doc_id long, tag long, n_words long, digest string, anchor array<long>, content array<long>, first array<long>, n array<long>"
 
 
 def _facts(texts: DataFrame, windows: Windows) -> DataFrame:
-    """Number of words, digest of all words and anchors of every text."""
+    """Number of words, digest of all words and segments of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                counts, digests, anchors = [], [], []
+                counts, digests, found = [], [], []
                 for text in part["text"]:
-                    words = text.as_py().split()
+                    text = text.as_py()
+                    words = text.split()
                     counts.append(len(words))
                     digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    anchors.append(segments(words, windows, hashes)[0])
-                columns = [part["doc_id"], part["tag"], part["key"], pa.array(counts, pa.int64()), pa.array(digests), _lists(anchors)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "key", "n_words", "digest", "anchors"])
+                    found.append(segments(word_codes(text), windows))
+                columns = [part["doc_id"], part["tag"], pa.array(counts, pa.int64()), pa.array(digests), *map(_lists, zip(*found))]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _FACTS.split(", ")])
 
-    return texts.mapInArrow(run, "doc_id long, tag long, key long, n_words long, digest string, anchors array<long>")
+    return texts.mapInArrow(run, _FACTS)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+def _lists(rows: tuple[np.ndarray, ...]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
-
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
 
-def _segments_of(wanted: DataFrame, windows: Windows) -> DataFrame:
-    """(anchor, content, doc_id, tag, first, n, words): the segments of the ``anchors`` beside each text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for at in range(batch.num_rows):
-                doc, tag = batch["doc_id"][at].as_py(), batch["tag"][at].as_py()
-                words = batch["text"][at].as_py().split()
-                anchors, firsts, counts = segments(words, windows, hashes)
-                chosen = np.isin(anchors, batch["anchors"][at].values.to_numpy())
-                for part in np.array_split(np.flatnonzero(chosen), max(1, int(chosen.sum()) // 5000)):
-                    pieces = [b" ".join(words[f : f + n + windows.length - 1]) for f, n in zip(firsts[part].tolist(), counts[part].tolist())]
-                    columns = [
-                        pa.array(anchors[part]), pa.array([xxhash.xxh3_128_digest(p) for p in pieces], pa.binary()), pa.array([doc] * len(part), pa.int64()),
-                        pa.array([tag] * len(part), pa.int64()), pa.array(firsts[part]), pa.array(counts[part]), pa.array(pieces, pa.binary()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "doc_id", "tag", "first", "n", "words"])
-
-    kind = "anchor long, content binary, doc_id long, tag long, first long, n long, words binary"
-    return wanted.select("doc_id", "tag", "text", "anchors").mapInArrow(run, kind)
+#: Anchors with more than this share of a sample's segments are counted before they are shuffled.
+_HOT_SHARE = 200
+_SAMPLED = 64
 
 
 def _place() -> Column:
@@ -187,27 +230,89 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tag", "first")
 
 
+def _judged(facts: DataFrame) -> DataFrame:
+    """(doc_id, tag, later, refs): per text, segments whose words start earlier, and earliest ones whose anchor has other words too.
+
+    Segments meet by anchor in one shuffle. Anchors that a sample shows to be hot (``_HOT_SHARE`` at most) take another
+    way to the same rows: counts that combine before the shuffle, and a join that adaptive execution splits.
+    """
+    spread = facts.select("doc_id", "tag", F.explode(F.arrays_zip("anchor", "content", "first", "n")).alias("s"))
+    every = spread.select("doc_id", "tag", "s.anchor", "s.content", "s.first", "s.n").withColumn("place", _place())
+    sample = facts.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(_SAMPLED)) == 0).select(F.explode("anchor").alias("anchor"))
+    total = sample.count()
+    hot = F.broadcast(sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") * _HOT_SHARE > max(total, 5 * _HOT_SHARE)).select("anchor"))
+
+    cold = every.join(hot, "anchor", "left_anti")
+    within = Window.partitionBy("anchor", "content").orderBy("place")
+    whole = Window.partitionBy("anchor").orderBy("content").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cold = cold.withColumn("rank", F.rank().over(within)).withColumn("several", F.first("content").over(whole) != F.last("content").over(whole))
+    cold = cold.select("doc_id", "tag", "anchor", "first", "n", (F.col("rank") > 1).alias("later"), "several")
+
+    warm = every.join(hot, "anchor", "left_semi")
+    earliest = warm.groupBy("anchor", "content").agg(F.min("place").alias("earliest"))
+    several = earliest.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
+    warm = warm.join(earliest.join(several, "anchor"), ["anchor", "content"])
+    warm = warm.select("doc_id", "tag", "anchor", "first", "n", (F.col("place") != F.col("earliest")).alias("later"), "several")
+
+    kept = cold.unionByName(warm).where("later or several")
+    return kept.groupBy("doc_id", "tag").agg(
+        F.collect_set(F.when(F.col("later"), F.struct("first", "n"))).alias("later"),
+        F.collect_set(F.when(~F.col("later"), F.struct("anchor", "first", "n"))).alias("refs"),
+    )
+
+
+def _same_text(left: str, right: str) -> Column:
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.tag") == F.col(f"{right}.tag"))
+
+
+_REFERENCE = "anchor long, doc_id long, tag long, first long, words binary"
+
+
+def _references(wanted: DataFrame, windows: Windows) -> DataFrame:
+    """The words of the ``refs`` beside each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for doc, tag, packed, refs in zip(*(batch[c] for c in ("doc_id", "tag", "packed", "refs"))):
+                words, refs = unpack.decompress(packed.as_py()).split(), refs.values
+                firsts, counts = (refs.field(c).to_pylist() for c in ("first", "n"))
+                pieces = [b" ".join(words[f : f + n + windows.length - 1]) for f, n in zip(firsts, counts)]
+                columns = [refs.field("anchor"), pa.array([doc.as_py()] * len(refs), pa.int64()), pa.array([tag.as_py()] * len(refs), pa.int64()), refs.field("first"), pa.array(pieces, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _REFERENCE.split(", ")])
+
+    return wanted.select("doc_id", "tag", "packed", "refs").mapInArrow(run, _REFERENCE)
+
+
+_MASK = "doc_id long, tag long, first long, mask long"
+
+
 def _streamed(references: DataFrame, windows: Windows) -> DataFrame:
-    """(anchor, content, mask): windows of each reference that an earlier reference of its shard holds."""
+    """Windows of each reference that an earlier reference of its shard holds, as a bitmap."""
 
     def run(table: pa.Table) -> pa.Table:
-        place = table["place"].combine_chunks()
-        order = sorted(range(table.num_rows), key=lambda i: tuple(x or 0 for x in place[i].as_py().values()))
-        automaton, masks, words = SuffixAutomaton(), [0] * table.num_rows, table["words"]
+        places = list(zip(*(table[c].to_pylist() for c in ("doc_id", "tag", "first"))))
+        order = sorted(range(len(places)), key=lambda i: (places[i][0] is None, places[i][0] or 0, *places[i][1:]))
+        automaton, words, before, out = SuffixAutomaton(), table["words"], None, []
         for row in order:
-            own = words[row].as_py().split(b" ")
+            if places[row] == before:  # the same row of a repeated text
+                continue
+            before, own, mask = places[row], words[row].as_py().split(b" "), 0
             for end, length in enumerate(automaton.matching(own)):
                 if length >= windows.length:
-                    masks[row] |= 1 << (end - windows.length + 1)
+                    mask |= 1 << (end - windows.length + 1)
             automaton.add(own)
-        out = table.select(["anchor", "content"]).append_column("mask", pa.array(masks, pa.int64()))
-        return out.filter(pa.array([m > 0 for m in masks], pa.bool_()))
+            if mask:
+                out.append((*before, mask))
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tag", "first", "mask"])
 
-    return references.groupBy("shard").applyInArrow(run, "anchor long, content binary, mask long")
+    return references.groupBy("shard").applyInArrow(run, _MASK)
 
 
 def _window_by_window(references: DataFrame, windows: Windows) -> DataFrame:
-    """The same masks for anchors of any number of references, from the earliest place of each window."""
+    """The same bitmaps for anchors of any number of references, from the earliest place of each window."""
+    kind = "doc_id long, tag long, base long, bit int, window binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,73 +323,65 @@ def _window_by_window(references: DataFrame, windows: Windows) -> DataFrame:
                     rows.append(row)
                     bits.append(bit)
                     digests.append(xxhash.xxh3_128_digest(b" ".join(words[bit : bit + windows.length])))
-            own = batch.select(["anchor", "content", "place"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(bits, pa.int64()), pa.array(digests, pa.binary())], [*own.schema.names, "bit", "window"])
-
-    place = references.schema["place"].dataType.simpleString()
-    kind = f"anchor long, content binary, place {place}, bit long, window binary"
-    every = settle(references.select("anchor", "content", "place", "words").mapInArrow(run, kind))
-    place = F.struct(F.col("place.late"), F.col("place.doc_id"), F.col("place.tag"), (F.col("place.first") + F.col("bit")).alias("first"))
-    every = every.withColumn("place", place)
+            own = batch.select(["doc_id", "tag", "first"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(bits, pa.int32()), pa.array(digests, pa.binary())], [f.split()[0] for f in kind.split(", ")])
+
+    every = settle(references.select("doc_id", "tag", "first", "words").mapInArrow(run, kind))
+    every = every.withColumn("first", F.col("base") + F.col("bit")).withColumn("place", _place())
     earliest = every.groupBy("window").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     later = every.join(earliest, "window").where(F.col("place") > F.col("earliest"))
-    return later.groupBy("anchor", "content").agg(F.sum(F.expr("shiftleft(1L, cast(bit AS int))")).alias("mask"))
+    return later.groupBy("doc_id", "tag", F.col("base").alias("first")).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
 
 
-def _masks(found: DataFrame, windows: Windows) -> DataFrame:
-    """(anchor, content, place, mask) for contents of which some window is removed somewhere."""
-    references = settle(
-        found.groupBy("anchor", "content").agg(F.min(_place()).alias("place"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
-    )
-    sizes = references.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    several = settle(references.join(sizes, "anchor").select("anchor", "content", "place", "words", "size"))
-    shards = max(1, several.where(F.col("size") <= windows.shard).count() // windows.shard)
-    dealt = several.where(F.col("size") <= windows.shard).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    masks = _streamed(dealt, windows).unionByName(_window_by_window(several.where(F.col("size") > windows.shard), windows))
-    joined = references.select("anchor", "content", "place", "copies").join(masks, ["anchor", "content"], "left")
-    return joined.where("copies > 1 or mask is not null").select("anchor", "content", "place", F.coalesce("mask", F.lit(0)).alias("mask"))
+def _masks(references: DataFrame, windows: Windows) -> DataFrame:
+    found = settle(references)
+    sizes = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"))
+    sized = found.join(sizes, "anchor")
+    shards = max(1, found.count() // windows.shard)
+    dealt = sized.where(F.col("size") <= windows.shard).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    return _streamed(dealt, windows).unionByName(_window_by_window(sized.where(F.col("size") > windows.shard), windows))
 
 
 def _without(hit: DataFrame, windows: Windows) -> DataFrame:
-    """(doc_id, tag, n_removed, kept): texts without the windows listed beside them."""
+    """(doc_id, tag, n_removed, kept): texts without the segments and windows listed beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             removed, kept = [], []
-            for text, found in zip(batch["text"], batch["found"]):
-                words = text.as_py().split()
+            for packed, later, masks in zip(batch["packed"], batch["later"], batch["masks"]):
+                words = unpack.decompress(packed.as_py()).split()
                 edges = np.zeros(len(words) + 1, np.int64)
-                first = np.fromiter((r["first"].as_py() for r in found), np.int64, len(found))
-                mask = np.fromiter((r["mask"].as_py() for r in found), np.int64, len(found))
-                for bit in range(windows.length - windows.gram + 1):
-                    starts = first[(mask >> bit) & 1 == 1] + bit
-                    np.add.at(edges, starts, 1)
-                    np.add.at(edges, starts + windows.length, -1)
+                firsts, counts = (later.values.field(c).to_numpy() for c in ("first", "n"))
+                np.add.at(edges, firsts, 1)
+                np.add.at(edges, firsts + counts + windows.length - 1, -1)
+                if masks.is_valid:
+                    firsts, bits = (masks.values.field(c).to_numpy() for c in ("first", "mask"))
+                    for bit in range(windows.length - windows.gram + 1):
+                        starts = firsts[(bits >> bit) & 1 == 1] + bit
+                        np.add.at(edges, starts, 1)
+                        np.add.at(edges, starts + windows.length, -1)
                 gone = np.cumsum(edges[:-1]) > 0
                 removed.append(int(gone.sum()))
-                kept.append(hashlib.sha256(b" ".join(words[i] for i in np.flatnonzero(~gone).tolist())).hexdigest())
+                kept.append(hashlib.sha256(b" ".join(itertools.compress(words, (~gone).tolist()))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tag"], pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "tag", "n_removed", "kept"])
 
-    return hit.select("doc_id", "tag", "text", "found").mapInArrow(run, "doc_id long, tag long, n_removed long, kept string")
+    return hit.select("doc_id", "tag", "packed", "later", "masks").mapInArrow(run, "doc_id long, tag long, n_removed long, kept string")
 
 
 def remove_repeated_windows(docs: DataFrame, windows: Windows = Windows()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of ``docs(doc_id, text)``."""
     texts = _texts(docs)
-    facts = settle(_facts(texts, windows))
-    anchors = facts.select("key", F.explode("anchors").alias("anchor"))
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.join(repeated, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    found = settle(_segments_of(texts.join(wanted, "key"), windows))
-    known = _masks(found, windows)
-    placed = found.select("anchor", "content", "doc_id", "tag", "first", "n", _place().alias("own")).join(known, ["anchor", "content"])
-    every = F.expr("shiftleft(1L, cast(n AS int)) - 1")
-    lost = placed.withColumn("mask", F.when(F.col("own") == F.col("place"), F.col("mask")).otherwise(every)).where("mask <> 0")
-    by_text = lost.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "mask")).alias("found"))
-    hit = texts.alias("t").join(by_text.alias("l"), F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("t.tag") == F.col("l.tag")))
-    changed = _without(hit.select("t.doc_id", "t.tag", "text", "found"), windows).dropDuplicates(["doc_id", "tag"])
+    facts, packed = settle(_facts(texts, windows)), _packed(texts)
+    judged = settle(_judged(facts))
+    asked = packed.alias("t").join(judged.where(F.size("refs") > 0).alias("j"), _same_text("t", "j"))
+    masks = _masks(_references(asked.select("t.doc_id", "t.tag", "packed", "refs"), windows), windows)
+    masks = masks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "mask")).alias("masks"))
+    lost = judged.alias("j").join(masks.alias("m"), _same_text("j", "m"), "left").where("size(later) > 0 or masks is not null")
+    hit = packed.alias("t").join(lost.select("j.doc_id", "j.tag", "later", "masks").alias("l"), _same_text("t", "l"))
+    changed = _without(hit.select("t.doc_id", "t.tag", "packed", "later", "masks"), windows).dropDuplicates(["doc_id", "tag"])
     once = facts.groupBy("doc_id", "tag").agg(F.first("n_words").alias("n_words"), F.first("digest").alias("digest"), F.count(F.lit(1)).alias("copies"))
-    first = once.alias("o").join(changed.alias("c"), F.col("o.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("o.tag") == F.col("c.tag")), "left").select(
+    first = once.alias("o").join(changed.alias("c"), _same_text("o", "c"), "left").select(
         "o.doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "digest").alias("kept_sha256")
     )
     more = once.where("copies > 1").select("doc_id", "n_words", "digest", F.explode(F.sequence(F.lit(2).cast("long"), "copies")))
