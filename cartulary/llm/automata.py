@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.llm.neardup_sketch import mix64
+from cartulary.llm.words import WORDS, span_hashes, word_codes
 from cartulary.session import settle
 
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -110,57 +110,13 @@ class SuffixAutomaton:
             yield length
 
 
-class _Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, as far as asked for."""
-
-    def __init__(self, base: int) -> None:
-        self.bases = base, pow(base, -1, 2**64)
-        self.known = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-    def upto(self, length: int) -> list[np.ndarray]:
-        while len(self.known[0]) < length:
-            for at, base in enumerate(self.bases):
-                own = self.known[at]
-                self.known[at] = np.concatenate([own, own * np.uint64(pow(base, len(own), 2**64))])
-        return self.known
-
-
-_BYTES, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xC2B2AE3D27D4EB4F)
-_VALUES = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_SLAB = 1 << 22
-
-
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each span: differences of one polynomial, shifted to its start."""
-    up, down = powers.upto(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def word_codes(text: bytes) -> np.ndarray:
-    """64-bit hash of each word; texts beyond a few megabytes go through in slabs that end at white space."""
-    codes, at = [np.empty(0, np.uint64)], 0
-    while at < len(text):
-        end = min(at + _SLAB, len(text))
-        while end < len(text) and not _SPACE[text[end]]:
-            end += 1
-        data = np.frombuffer(text, np.uint8, end - at, at)
-        edges = np.flatnonzero(np.diff(~_SPACE[data], prepend=False, append=False))
-        codes.append(_spans(_VALUES[data], edges[::2], edges[1::2], _BYTES))
-        at = end
-    return np.concatenate(codes)
-
-
 def segments(codes: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, hash of the words, first window and number of windows of each segment of one text."""
     total = len(codes) - windows.length + 1
     if total <= 0:
         return (np.empty(0, np.int64),) * 4
     places = np.arange(len(codes) - windows.gram + 1)
-    grams = _spans(codes, places, places + windows.gram, _WORDS)
+    grams = span_hashes(codes, places, places + windows.gram, WORDS)
     # leftmost least of ``reach`` neighbours, by doubling
     reach, best, width = windows.length - windows.gram + 1, places, 1
     while width < reach:
@@ -170,7 +126,7 @@ def segments(codes: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarra
         width += shift
     firsts = np.flatnonzero(np.diff(best, prepend=-1))
     counts = np.diff(firsts, append=total)
-    contents = _spans(codes, firsts, firsts + counts + windows.length - 1, _WORDS)
+    contents = span_hashes(codes, firsts, firsts + counts + windows.length - 1, WORDS)
     return grams[best[firsts]].view(np.int64), contents.view(np.int64), firsts, counts
 
 

@@ -37,7 +37,7 @@ _MARKS_AT_END = re.compile(r"(?<=[0-9A-Za-z])([!-/:-@\[-^`{-~]+)(?!\S)")
 _MARKS_AFTER_OTHERS = re.compile(r"([^\W_\x00-\x7f])([!-/:-@\[-^`{-~]+)(?!\S)")
 _TOGETHER = 200
 #: Words that the tokenizer gets at once, and characters of the texts that are split at once.
-_WORDS_AT_ONCE, _CHARACTERS_AT_ONCE = 4000, 1_000_000
+_WORDS_AT_ONCE, _CHARACTERS_AT_ONCE = 8000, 2_000_000
 
 
 @cache
@@ -60,7 +60,7 @@ class WordIds:
     separators that only Python calls white space, or that may hold a special token, are encoded whole.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 50_000) -> None:
+    def __init__(self, tokenizer_file: str, limit: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)

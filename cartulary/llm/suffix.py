@@ -5,7 +5,7 @@ A rolling hash over ``trigger`` bytes marks phrase starts: a position is a trigg
 choose, and equal strings choose it at the same place. The starts that share a trigger form one parse entry: the
 phrase before the trigger and the context behind it. Ordering entries by their phrase context brings all suffixes with
 equal prefixes together, which is what the merged suffix arrays of dictionary and parse are for; the order used here
-is that of 128-bit digests, since only equal prefixes matter and not which is smaller.
+is that of two 64-bit digests, since only equal prefixes matter and not which is smaller.
 
 1. Dictionary: entries are counted by trigger context (the bytes behind the trigger that all its strings share) and by
    whole content. Whole content seen twice: every start repeats. Trigger context seen once: none does.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from cartulary.llm.neardup_sketch import mix64
+from cartulary.llm.words import word_codes
 from cartulary.session import settle
 
 _PRIME = 0x100000001B3
@@ -43,16 +44,21 @@ SLAB = 1 << 20
 
 @dataclass(frozen=True)
 class Parsing:
-    """``length`` bytes must repeat. A trigger lies within ``reach`` bytes of a start, inside the string."""
+    """``length`` bytes must repeat, or as many words, which count by a 64-bit hash each and part at ASCII white space. A
+    trigger lies within ``reach`` of them of a start, inside the string."""
 
     length: int = 400
     trigger: int = 16
     step: int = 16
+    words: bool = False
 
     @property
     def reach(self) -> int:
         return min(256, (self.length - self.trigger) * 2 // 3)
 
+    def symbols(self, text: bytes) -> np.ndarray:
+        return word_codes(text) if self.words else np.frombuffer(text, np.uint8)
+
 
 def trigger_of_start(data: np.ndarray, parsing: Parsing) -> np.ndarray:
     """For each start of a string of ``length`` bytes in ``data``: the position of its trigger."""
@@ -80,9 +86,9 @@ def trigger_of_start(data: np.ndarray, parsing: Parsing) -> np.ndarray:
     return np.concatenate(out)
 
 
-def entries_of(text: bytes, parsing: Parsing) -> Iterator[tuple[int, int, int]]:
+def entries_of(symbols: np.ndarray, parsing: Parsing) -> Iterator[tuple[int, int, int]]:
     """(first start, last start, trigger) of each parse entry."""
-    triggers = trigger_of_start(np.frombuffer(text, np.uint8), parsing)
+    triggers = trigger_of_start(symbols, parsing)
     if len(triggers):
         edges = np.flatnonzero(np.diff(triggers)) + 1
         yield from zip(
@@ -92,8 +98,13 @@ def entries_of(text: bytes, parsing: Parsing) -> Iterator[tuple[int, int, int]]:
 
 
 _KEYED = StructType([StructField("row_key", LongType()), StructField("doc_id", LongType()), StructField("packed", BinaryType())])
-_ENTRY = "row_key long, first int, last int, at int, near binary, whole binary"
-_digest = xxhash.xxh3_128_digest
+_ENTRY = "row_key long, first int, last int, at int, near long, whole long"
+
+
+def _digest(run: np.ndarray, seed: int = 0) -> int:
+    """A signed 64-bit digest; entries are equal where the digests of context and of whole content both are."""
+    value = xxhash.xxh3_64_intdigest(run, seed)
+    return value - 2**64 if value >= 2**63 else value
 
 
 def _carried(docs: DataFrame, names: tuple[str, ...]) -> list[StructField]:
@@ -133,10 +144,10 @@ def _parse(packed: DataFrame, parsing: Parsing) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 block, rows = batch.slice(at, 500), []
                 for key, data in zip(block["row_key"].to_pylist(), block["packed"].to_pylist()):
-                    text = unpack.decompress(data)
-                    for first, last, trigger in entries_of(text, parsing):
-                        near = _digest(text[trigger : trigger + parsing.length - parsing.reach])
-                        rows.append((key, first, last, trigger, near, _digest(text[first : last + parsing.length])))
+                    run_of = parsing.symbols(unpack.decompress(data))
+                    for first, last, trigger in entries_of(run_of, parsing):
+                        near = _digest(run_of[trigger : trigger + parsing.length - parsing.reach], 1)
+                        rows.append((key, first, last, trigger, near, _digest(run_of[first : last + parsing.length])))
                 yield _arrow(rows, _ENTRY)
 
     return packed.select("row_key", "packed").mapInArrow(run, _ENTRY)
@@ -165,7 +176,7 @@ def _judge(entries: DataFrame) -> DataFrame:
     )
 
 
-_FINER = "row_key long, first int, last int, at int, near binary, whole binary, known boolean"
+_FINER = f"{_ENTRY}, known boolean"
 
 
 def _finer(packed: DataFrame, open_rows: DataFrame, parsing: Parsing, step: int) -> DataFrame:
@@ -177,15 +188,14 @@ def _finer(packed: DataFrame, open_rows: DataFrame, parsing: Parsing, step: int)
             for at in range(0, batch.num_rows, 200):
                 block, rows = batch.slice(at, 200), []
                 for key, data, pieces in zip(*(block[c].to_pylist() for c in ("row_key", "packed", "pieces"))):
-                    text = unpack.decompress(data)
+                    run_of = parsing.symbols(unpack.decompress(data))
                     for piece in pieces:
                         trigger, last = piece["at"], piece["last"]
                         while last >= piece["first"]:
                             distance = (trigger - last) // step * step  # of the group's nearest start
                             first = max(piece["first"], trigger - distance - step + 1)
-                            near = text[trigger - distance : trigger - distance - step + 1 + parsing.length]
-                            tag = distance.to_bytes(4, "little")
-                            rows.append((key, first, last, trigger, _digest(near + tag), _digest(text[first : last + parsing.length]), piece["state"] == 2))
+                            near = _digest(run_of[trigger - distance : trigger - distance - step + 1 + parsing.length], 2 + distance)
+                            rows.append((key, first, last, trigger, near, _digest(run_of[first : last + parsing.length]), piece["state"] == 2))
                             last = first - 1
                 kinds = _arrow([r[:-1] for r in rows], _ENTRY)
                 yield pa.RecordBatch.from_arrays([*kinds.columns, pa.array([r[-1] for r in rows], pa.bool_())], [f.split()[0] for f in _FINER.split(", ")])
@@ -206,7 +216,7 @@ def repeated_starts(packed: DataFrame, parsing: Parsing) -> DataFrame:
 
 
 def merged_spans(ranges: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal covered byte runs [from, to)."""
+    """Maximal covered runs [from, to)."""
     spans: list[list[int]] = []
     for piece in sorted(ranges, key=lambda r: r["first"]):
         end = piece["last"] + length
@@ -225,13 +235,15 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def n_words(run: bytes) -> int:
-    """Words of a byte run, parted by white space or by whatever is no letter or digit, whichever are more."""
-    text = run.decode("utf-8", "ignore")
-    return max(len(text.split()), len(re.findall(r"\w+", text)))
+def byte_spans(text: bytes, spans: list[tuple[int, int]], parsing: Parsing) -> list[tuple[int, int]]:
+    """The bytes of spans of symbols; of words, with the white space between them."""
+    if not parsing.words or not spans:
+        return spans
+    bounds = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    return [(bounds[first][0], bounds[end - 1][1]) for first, end in spans]
 
 
-def _cut(packed: DataFrame, ranges: DataFrame, parsing: Parsing, whole_characters: bool, schema: StructType, goes: Callable[[bytes], bool] | None = None) -> DataFrame:
+def _cut(packed: DataFrame, ranges: DataFrame, parsing: Parsing, whole_characters: bool, schema: StructType) -> DataFrame:
     """Rows with sizes, digest and the bytes that are left, and whatever else ``packed`` carries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +253,7 @@ def _cut(packed: DataFrame, ranges: DataFrame, parsing: Parsing, whole_character
                 block, rows = batch.slice(at, 1000), []
                 for data, ranges in zip(block["packed"].to_pylist(), block["ranges"].to_pylist()):
                     text = unpack.decompress(data)
-                    spans = [s for s in merged_spans(ranges or [], parsing.length) if goes is None or goes(text[slice(*s)])]
+                    spans = byte_spans(text, merged_spans(ranges or [], parsing.length), parsing)
                     if whole_characters:
                         spans = [_grown(text, s) for s in spans]
                     kept = cut_out(text, spans)
@@ -264,17 +276,15 @@ def remove_repeats(docs: DataFrame, parsing: Parsing = Parsing()) -> DataFrame:
     return _cut(packed, _grouped(packed, parsing), parsing, False, StructType([*counts, StructField("kept_sha256", StringType())]))
 
 
-def without_repeats(docs: DataFrame, parsing: Parsing, goes: Callable[[bytes], bool] | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, parsing: Parsing) -> DataFrame:
     """The rows of ``docs`` with the text that is left; a removed run grows to the characters that it touches.
 
-    ``goes`` decides which repeated runs are removed, else all.
-
     A null text stays null, other columns are unchanged.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     packed = settle(_packed(docs.withColumn("no_text", F.col("text").isNull()), (*others, "no_text")))
     fields = [StructField("doc_id", LongType()), StructField("kept", BinaryType())]
-    kept = _cut(packed, _grouped(packed, parsing), parsing, True, StructType([*fields, *(f for f in packed.schema if f.name.startswith("carried_"))]), goes)
+    kept = _cut(packed, _grouped(packed, parsing), parsing, True, StructType([*fields, *(f for f in packed.schema if f.name.startswith("carried_"))]))
     text = F.when(~F.col(f"carried_{len(others)}"), F.col("kept").cast("string")).alias("text")
     names = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"carried_{i}").alias(c) for i, c in enumerate(others)}
     return kept.select(*(names[c] for c in docs.columns))

@@ -54,3 +54,4 @@ def test_passage_of_51_short_words(spark):
     kept = {r["doc_id"]: r for r in corpus_pipeline.repeated_passages(spark, docs, FOLDER).collect()}
     assert all(letters not in kept[n]["text"] and kept[n]["n_chars"] == len(kept[n]["text"]) < len(texts[n]) - 100 for n in (0, 1))
     assert [kept[n]["text"] for n in (2, 3, 4)] == texts[2:]
+    assert kept[0]["text"].split() == texts[0].split()[:20] + texts[0].split()[71:]

@@ -47,3 +47,30 @@ def test_equals_brute_force(spark):
     again = Counter(r["text"][i : i + 200] for r in kept.collect() if r["text"] for i in range(len(r["text"]) - 199))
     assert sum(len(r["text"] or "") for r in kept.collect()) < sum(len(t or "") for _, t in rows) and again
     assert remove_repeats(frame.limit(0)).count() == without_repeats(frame.limit(0), Parsing()).count() == 0
+
+
+def test_repeated_words_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = lambda n: [rng.choice(("alpha", "bé", "g", "d", "e")) + str(rng.randint(0, 99)) for _ in range(n)]
+    shared = [words(rng.randint(8, 60)) for _ in range(6)]
+    texts = [None, "", "a " * 70, "a b " * 40, "\t one\n two  three\x0b"]
+    for _ in range(60):
+        parts = words(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(shared)
+            cut = rng.randint(0, len(own) // 3)
+            parts += own[cut : len(own) - rng.randint(0, len(own) // 3)] + words(rng.randint(0, 3))
+        texts.append("".join(w + rng.choice((" ", "  ", "\n")) for w in parts))
+    frame = spark.createDataFrame([(n, t, 1, 2) for n, t in enumerate(texts)], SCHEMA).repartition(4)
+    for length, trigger in ((12, 4), (5, 1)):
+        parsing = Parsing(length=length, trigger=trigger, step=4, words=True)
+        split = [(t or "").split() for t in texts]
+        counts = Counter(tuple(w[i : i + length]) for w in split for i in range(len(w) - length + 1))
+        found = {r["doc_id"]: r["text"] for r in without_repeats(frame, parsing).collect()}
+        for number, own in enumerate(split):
+            gone = [False] * len(own)
+            for i in range(len(own) - length + 1):
+                if counts[tuple(own[i : i + length])] > 1:
+                    gone[i : i + length] = [True] * length
+            assert (found[number] or "").split() == [w for w, g in zip(own, gone) if not g]
+        assert found[0] is None
