@@ -14,13 +14,11 @@ from cartulary.llm.decontam import clean_rows
 from cartulary.llm.neardup import NearDupSettings, keep_one
 from cartulary.llm.packing import pack
 from cartulary.llm.quality import keep_good, learn
-from cartulary.llm.suffix import Parsing, n_words, without_repeats
+from cartulary.llm.suffix import Parsing, without_repeats
 from cartulary.session import settle
 
-#: 51 words with what parts them have at least this many bytes.
-REPEAT_BYTES = 101
-#: Repeated runs of more words than this go, and those of fewer words from ``LONG_BYTES`` on.
-REPEAT_WORDS, LONG_BYTES = 50, 200
+#: Strings of this many words that occur elsewhere go: passages of over fifty words.
+REPEATS = Parsing(length=51, trigger=4, step=4, words=True)
 #: A link at 0.8 misses all 32 bands of 5 rows with a probability of 3e-6.
 NEAR = NearDupSettings(width=5, share=80, bands=32, rows=5)
 
@@ -40,8 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur elsewhere; ``n_chars`` follows the text."""
-    kept = without_repeats(docs, Parsing(length=REPEAT_BYTES), lambda run: len(run) >= LONG_BYTES or n_words(run) > REPEAT_WORDS)
+    """Documents without the passages of over fifty words that occur elsewhere; ``n_chars`` follows the text.
+
+    A null text stays null; a row that repeats another loses what both hold.
+    """
+    kept = without_repeats(docs, REPEATS)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
