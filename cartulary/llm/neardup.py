@@ -1,9 +1,10 @@
 """MinHash near-duplicate groups; odd sketches choose what is compared, whole texts decide.
 
 Texts with equal shingle sets form a class first. Classes that share a band meet at the bucket's least class, and
-the pairs are confirmed on the whole shingle sets. Buckets that still hold several groups are searched again with
-odd sketches: XOR population counts rank each member's partners, first a few, then all plausible ones, so links
-between texts that the first pivot does not resemble are found as well. Copies never become pairs.
+the pairs are confirmed on the whole shingle sets. Buckets that still hold several groups are searched in blocks with
+odd sketches: XOR population counts choose each member's plausible partners in other groups, whole sets confirm them in
+the same task, and only links that join groups leave it. So links between texts that the first pivot does not resemble
+are found as well, and neither copies nor members of a group become pairs.
 
 Defined cases: null and empty texts have an empty set and no links; a null ``doc_id`` is never linked and keeps a
 null component; rows that repeat a ``doc_id`` each get their class's component; other columns are ignored.
@@ -15,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -98,43 +98,78 @@ def _confirm(pairs: DataFrame, texts: DataFrame, settings: NearDupSettings) -> D
     return settle(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, linked boolean"))
 
 
-def _plausible(buckets: DataFrame, settings: NearDupSettings, first: int, last: int | None) -> DataFrame:
-    """Untied pairs of open buckets whose sketches allow a link, by each member's partner rank in [first, last).
+def plausible(x: int, others: np.ndarray, sizes: np.ndarray, marks: np.ndarray, bands: np.ndarray, settings: NearDupSettings, key: int) -> np.ndarray:
+    """Which of ``others`` may be linked with row ``x`` and share ``key`` as their first band, likely ones first.
 
-    Sets whose sizes alone forbid a link are no partners. Buckets are cut into blocks of about ``block`` members; a task
-    holds two blocks. ``buckets`` rows carry key, node, component, n_shingles, sketch, bands and the number of blocks.
+    Sets whose sizes forbid a link, and sketches that lie more than ``slack`` below the threshold, are no partners.
     """
-    floor = settings.share / 100.0 - settings.slack
-    samples, bits = settings.bands * settings.rows, settings.sketch_bits
-
-    def run(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, groups = rows["node"].to_numpy(), rows["component"].to_numpy()
-        own, met, sizes = rows["home"].to_numpy(), rows["other"].to_numpy(), rows["n_shingles"].to_numpy()
-        marks = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-        bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
-        left = np.flatnonzero(own <= met) if (own == met).all() else np.flatnonzero(own < met)
-        right = left if (own == met).all() else np.flatnonzero(own > met)
-        found: list[np.ndarray] = []
-        for x in left:
-            differing = np.bitwise_count(marks[right] ^ marks[x]).sum(axis=1)
-            close = sketch_similarity(differing, samples, bits)
-            order = np.argsort(-close, kind="stable")
-            order = order[(close[order] >= floor) & (nodes[right[order]] != nodes[x])]
-            order = right[order]
-            least, most = np.minimum(sizes[order], sizes[x]), np.maximum(sizes[order], sizes[x])
-            order = order[100 * least >= settings.share * most][first:last]
-            order = order[groups[order] != groups[x]]
-            if len(order):  # a pair that shares several bands is named in the first of them alone
-                first_shared = (bands[order] == bands[x]).argmax(axis=1)
-                order = order[bands[x][first_shared] == _key[0]]
-            found.append(np.stack([np.full(len(order), nodes[x]), nodes[order]], axis=1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=1, initial=2**63 - 1), "b": pairs.max(axis=1, initial=-(2**63))})
+    least, most = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+    others = others[100 * least >= settings.share * most]
+    differing = np.bitwise_count(marks[others] ^ marks[x]).sum(axis=1)
+    close = sketch_similarity(differing, settings.bands * settings.rows, settings.sketch_bits)
+    near = close >= settings.share / 100.0 - settings.slack
+    others, close = others[near], close[near]
+    if len(others):
+        first_shared = (bands[others] == bands[x]).argmax(axis=1)
+        own = bands[x][first_shared] == key
+        others, close = others[own], close[own]
+    return others[np.argsort(-close, kind="stable")]
+
+
+class _Sets:
+    """Shingle sets of packed texts; forgets all when they hold more than ``limit`` hashes."""
+
+    def __init__(self, packed: pa.Array, width: int, limit: int = 8_000_000) -> None:
+        self.packed, self.width, self.limit, self.held = packed, width, limit, 0
+        self.known: dict[int, np.ndarray] = {}
+        self.hashes, self.unpack = WordHashes(), zstandard.ZstdDecompressor()
+
+    def of(self, row: int) -> np.ndarray:
+        if row not in self.known:
+            found = shingles(self.unpack.decompress(self.packed[row].as_py()).split(b" "), self.width, self.hashes)
+            if self.held + len(found) > self.limit:
+                self.known.clear()
+                self.held = 0
+            self.known[row] = found
+            self.held += len(found)
+        return self.known[row]
+
+
+def _links(buckets: DataFrame, settings: NearDupSettings) -> DataFrame:
+    """Links (a, b) between rows of open buckets, as forests: no more than members of a pair of blocks.
+
+    Buckets are cut into blocks of about ``block`` members; a task holds two blocks with their whole texts, looks for
+    partners among rows of other components alone, and joins components as it confirms links on the whole sets. A link
+    inside a component that is already joined says nothing new and is not looked for. ``buckets`` rows carry key, node,
+    component, n_shingles, sketch, bands, packed and the number of blocks.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        own, met = table["home"].to_numpy(), table["other"].to_numpy()
+        nodes, sizes, key = table["node"].to_numpy(), table["n_shingles"].to_numpy(), table["key"][0].as_py()
+        alone = bool((own == met).all())
+        left = np.arange(len(nodes)) if alone else np.flatnonzero(own < met)
+        right = left if alone else np.flatnonzero(own > met)
+        marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(nodes), -1)
+        bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(nodes), -1)
+        sets = _Sets(table["packed"].combine_chunks(), settings.width)
+        groups = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        found: list[tuple[int, int]] = []
+        for x in left.tolist():
+            for y in plausible(x, right[groups[right] != groups[x]], sizes, marks, bands, settings, key).tolist():
+                if groups[x] == groups[y]:
+                    continue
+                common = len(np.intersect1d(sets.of(x), sets.of(y), assume_unique=True))
+                if 100 * common >= settings.share * (sizes[x] + sizes[y] - common):
+                    found.append((int(nodes[x]), int(nodes[y])))
+                    groups[groups == groups[y]] = groups[x]
+        columns = list(zip(*found)) or [()] * 2
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
     home = F.pmod(F.xxhash64("node"), F.col("blocks"))
     grid = buckets.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     grid = grid.withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other"))
-    return grid.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return grid.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings()) -> DataFrame:
@@ -155,22 +190,14 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
         buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts, settings
     )
     groups = components(tried.where("linked").select("a", "b"))
-    for first, last in ((0, 4), (4, 64), (64, None)):
-        placed = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = placed.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
-        ).where(F.col("low") < F.col("high")).where(F.col("size") > first + 1)
-        open_rows = placed.join(several.select("key", "size"), "key").join(texts.select("node", "n_shingles", "sketch", "bands"), "node")
-        blocks = F.ceil(F.col("size") / settings.block).cast("long")
-        fresh = _plausible(
-            open_rows.select("key", "node", "component", "n_shingles", "sketch", "bands", blocks.alias("blocks")), settings, first, last
-        ).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = settle(fresh)
-        if fresh.isEmpty():
-            continue
-        confirmed = _confirm(fresh, texts, settings)
-        tried = tried.unionByName(confirmed)
-        groups = merged(groups, confirmed.where("linked").select("a", "b"))
+    placed = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
+    ).where(F.col("low") < F.col("high"))
+    blocks = F.ceil(F.col("size") / settings.block).cast("long").alias("blocks")
+    open_rows = placed.join(several.select("key", blocks), "key").join(texts, "node")
+    links = settle(_links(open_rows.select("key", "node", "component", "n_shingles", "sketch", "bands", "packed", "blocks"), settings))
+    groups = merged(groups, links)
     named = classes.join(groups, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("class")).alias("class"))
     out = out.join(named, "class", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
@@ -178,7 +205,18 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
 
 
 def keep_one(docs: DataFrame, settings: NearDupSettings) -> DataFrame:
-    """The rows of ``docs`` that stay: one row per group, all its columns unchanged; a repeated row stays once."""
-    kept = near_duplicates(docs, settings).where("kept").select("doc_id").distinct()
-    without = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(without)
+    """The rows of ``docs`` that stay: one row per group, all its columns unchanged.
+
+    It is the one with the group's smallest ``doc_id``. Rows that repeat a ``doc_id`` with another text, or have none,
+    are documents of their own; of rows that repeat both, one stays. Texts without words are in no group and stay.
+    """
+    key = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = docs.select(key.alias("key"), F.col("doc_id").alias("own_id"), "text")
+    groups = near_duplicates(own.select(F.col("key").alias("doc_id"), "text"), settings).select(F.col("doc_id").alias("key"), "component_id")
+    named = groups.distinct().join(own.select("key", "own_id").distinct(), "key")
+    first = F.min(F.struct(F.col("own_id").isNull().alias("late"), "own_id", "key"))
+    chosen = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias(_KEY))
+    return docs.withColumn(_KEY, key).join(chosen, _KEY, "left_semi").dropDuplicates([_KEY]).select(*docs.columns)
+
+
+_KEY = "__neardup_key"
