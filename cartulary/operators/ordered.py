@@ -8,6 +8,7 @@ work per task is bounded by the block, and the summaries are smaller than the ro
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartulary.config import DEFAULTS
+from cartulary.session import settle
 
 _BLOCK = "__block"
 
@@ -96,3 +98,64 @@ def neighbour(
     box = Carry("__box", F.struct(value.alias("v")), "last")
     boxed = running(frame, key, index, [box], reverse=following)
     return boxed.select(*[F.col(c) for c in frame.columns], F.col("__box.v").alias(name))
+
+
+def composed(
+    frame: DataFrame,
+    key: list[str],
+    index: str,
+    effect: Column,
+    name: str,
+    compose: Callable[[Column, Column], Column],
+    identity: Column,
+    *,
+    block_rows: int = DEFAULTS.block_rows,
+    fan: int = 256,
+) -> DataFrame:
+    """Add ``name``: the composition of ``effect`` over the earlier rows of a key, in the order of ``index``.
+
+    ``compose(first, then)`` is any associative operation, ``identity`` its neutral value. Rows are taken together
+    ``fan`` at a time: a group of ``fan`` neighbours becomes a row with all its prefixes, whose last is one row of the
+    next level, until a level holds one group a key. So no row ever holds more than ``fan`` values, and the number of
+    levels grows with the logarithm of the longest key.
+    """
+    numbered = settle(running(frame, key, index, [Carry(_NUMBER, F.lit(1).cast("long"), "sum")], block_rows=block_rows))
+    values = numbered.select(*key, F.col(_NUMBER), effect.alias("__effect"))
+    last = values.agg(F.max(_NUMBER)).first()[0]
+    before = _before(values, key, 0 if last is None else last, compose, identity, fan)
+    return numbered.join(before, [*key, _NUMBER]).select(*frame.columns, F.col("__before").alias(name))
+
+
+_NUMBER = "__number"
+
+
+def _before(values: DataFrame, key: list[str], last: int, compose, identity: Column, fan: int) -> DataFrame:
+    """``(*key, __number, __before)`` for values numbered from 0 to at most ``last`` in every key."""
+    grouped = values.groupBy(*key, F.floor(F.col(_NUMBER) / F.lit(fan)).alias(_BLOCK)).agg(
+        F.sort_array(F.collect_list(F.struct(_NUMBER, "__effect"))).alias("__items")
+    )
+    scanned = grouped.select(*key, _BLOCK, F.transform("__items", lambda x: x["__effect"]).alias("__upto"))
+    reach = 1
+    while reach < min(fan, last + 1):  # each prefix takes in as many values again as it holds
+        scanned = scanned.withColumn("__upto", _doubled(reach, compose))
+        reach *= 2
+    if last < fan:
+        entered = scanned.withColumn("__entering", identity)
+    else:
+        scanned = settle(scanned)
+        totals = scanned.select(*key, F.col(_BLOCK).alias(_NUMBER), F.element_at("__upto", -1).alias("__effect"))
+        above = _before(totals, key, last // fan, compose, identity, fan)
+        entered = scanned.join(above.select(*key, F.col(_NUMBER).alias(_BLOCK), F.col("__before").alias("__entering")), [*key, _BLOCK])
+    exclusive = F.concat(F.array(identity), F.slice("__upto", F.lit(1), F.size("__upto") - 1))
+    spread = entered.select(*key, _BLOCK, "__entering", F.posexplode(exclusive).alias("__at", "__inside"))
+    return spread.select(
+        *key,
+        (F.col(_BLOCK) * fan + F.col("__at")).alias(_NUMBER),
+        compose(F.col("__entering"), F.col("__inside")).alias("__before"),
+    )
+
+
+def _doubled(reach: int, compose) -> Column:
+    return F.transform(
+        "__upto", lambda x, i: F.when(i >= reach, compose(F.get("__upto", i - reach), x)).otherwise(x)
+    )

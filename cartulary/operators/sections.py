@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartulary.functions import headings as H
-from cartulary.functions.text import collapse, explode_once, strip
+from cartulary.functions.text import collapse, strip
 from cartulary.operators import pages as P
-from cartulary.operators.ordered import Carry, neighbour, running
+from cartulary.operators.ordered import Carry, composed, neighbour, running
 from cartulary.session import settle
 
 # Thresholds and names that decide the result.
@@ -24,7 +24,7 @@ SOURCE_PAGES = "pages"
 _LINE_STEP = 10_000
 _PAGE_STEP = 10**12
 _LINE_BLOCK = _LINE_STEP * 8192
-_EVENT_BLOCK = 512
+_EVENT_BLOCK = 256
 DOC = ["document_id"]
 
 
@@ -60,74 +60,36 @@ def _table(rows: list[list[int]]) -> Column:
     return F.array(*[F.array(*[F.lit(v) for v in row]) for row in rows])
 
 
+def _after(effect: Column, state: Column | int) -> Column:
+    """State that an effect leads to; an effect holds three bits for each of the eight states."""
+    shift = F.lit(3 * state) if isinstance(state, int) else state * 3
+    return F.call_function("shiftright", effect, shift).bitwiseAND(7)
+
+
+def _one_after_other(first: Column, then: Column) -> Column:
+    kept = F.lit(0)
+    for state in range(8):
+        kept = kept.bitwiseOR(F.call_function("shiftleft", _after(then, _after(first, state)), F.lit(3 * state)))
+    return kept
+
+
 def repair_labels(events: DataFrame) -> DataFrame:
     """``(document_id, seq, repaired)`` for garbled label lines; ``repaired`` is null when no label is left.
 
     ``events``: document_id, seq, code. What a garbled label stands for depends on all labels since the last
-    heading. The eight possible states make that an automaton: every block of events is reduced to its
-    effect on each state, the effects are composed along the document, and each block is replayed from the
-    state in which it really starts.
+    heading. The eight possible states make that an automaton: an event's effect on all states is one number, and
+    effects are composed along the document in groups of bounded size.
     """
     after, repair = _label_automaton()
-    numbered = running(events, DOC, "seq", [Carry("n", F.lit(1), "sum")], block_rows=_LINE_BLOCK)
-    blocks = (
-        numbered.withColumn("block", F.floor(F.col("n") / F.lit(_EVENT_BLOCK)))
-        .groupBy("document_id", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "code"))).alias("events"))
-    )
-    step = lambda state, event: F.get(F.get(_table(after), event["code"]), state)
-    identity = F.array(*[F.lit(s) for s in range(8)])
-    effects = blocks.select(
-        "document_id",
-        "block",
-        F.aggregate("events", identity, lambda acc, e: F.transform(acc, lambda s: step(s, e))).alias("effect"),
-    )
-    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<block:bigint,state:int>>").alias("starts"))
-    chained = F.aggregate(
-        "effects",
-        start,
-        lambda acc, b: F.struct(
-            F.get(b["effect"], acc["state"]).alias("state"),
-            F.array_append(
-                acc["starts"], F.struct(b["block"].alias("block"), acc["state"].alias("state"))
-            ).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
-    per_document = effects.groupBy("document_id").agg(
-        F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("effects")
-    )
-    entries = explode_once(per_document, DOC, chained, "entry").select("document_id", "entry.block", "entry.state")
-    begin = F.struct(
-        F.col("state").alias("state"), F.array().cast("array<struct<seq:bigint,label:int>>").alias("out")
-    )
-    decided = F.aggregate(
-        "events",
-        begin,
-        lambda acc, e: F.struct(
-            step(acc["state"], e).alias("state"),
-            F.when(
-                e["code"] >= 4,
-                F.array_append(
-                    acc["out"],
-                    F.struct(
-                        e["seq"].alias("seq"),
-                        F.get(F.get(_table(repair), e["code"]), acc["state"]).alias("label"),
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    replayed = explode_once(blocks.join(entries, ["document_id", "block"]), DOC, decided, "o")
-    names = F.array(*[F.lit(label) for label in H.LABEL_SEQUENCE])
-    return replayed.select(
-        "document_id",
-        F.col("o.seq").alias("seq"),
-        F.when(F.col("o.label") >= 0, F.get(names, F.col("o.label"))).alias("repaired"),
+    effects = F.array(*[F.lit(sum(to << 3 * state for state, to in enumerate(row))) for row in after])
+    nothing = F.lit(sum(state << 3 * state for state in range(8)))
+    reached = composed(
+        events.select("document_id", "seq", "code"), DOC, "seq", F.get(effects, F.col("code")), "before", _one_after_other,
+        nothing, block_rows=_LINE_BLOCK, fan=_EVENT_BLOCK,
     )
+    names = F.array(*[F.lit(label) for label in H.LABEL_SEQUENCE])
+    label = F.get(F.get(_table(repair), F.col("code")), _after(F.col("before"), 0))
+    return reached.filter("code >= 4").select("document_id", "seq", F.when(label >= 0, F.get(names, label)).alias("repaired"))
 
 
 # ---------------------------------------------------------------- lines to sections
@@ -226,6 +188,15 @@ def _chapter_titles(lines: DataFrame) -> DataFrame:
     )
 
 
+def garbled_labels(lines: DataFrame) -> DataFrame:
+    """``(document_id, page_number, seq, text, repaired)`` of the lines whose label is garbled."""
+    read = settle(_classify(lines))
+    garbled = read.filter(F.col("noise").isNotNull() & F.col("label").isNull() & ~F.col("opens"))
+    return garbled.join(repair_labels(_label_events(read)), ["document_id", "seq"]).select(
+        "document_id", "page_number", "seq", "text", "repaired"
+    )
+
+
 def heading_sections(lines: DataFrame) -> DataFrame:
     """Sections cut at the lines that are headings; documents with fewer than two headings give none.
 

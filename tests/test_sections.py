@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartulary.config import Settings
 from cartulary.operators import pages as P
 from cartulary.operators import sections as S
+from cartulary.operators.ordered import composed
 
 LINE = "document_id string, page_number int, line_no int, text string, size double, from_ocr boolean"
 
@@ -173,4 +174,31 @@ def test_label_automaton_over_many_blocks(spark, monkeypatch):
             want[seq] = S.H.LABEL_SEQUENCE[label] if label >= 0 else None
         state = after[code][state]
     events = spark.createDataFrame([("d", seq, code) for seq, code in enumerate(codes)], "document_id string, seq long, code int")
-    assert {r["seq"]: r["repaired"] for r in S.repair_labels(events).collect()} == want
+    for fan in (2, 5, 256):
+        monkeypatch.setattr(S, "_EVENT_BLOCK", fan)
+        assert {r["seq"]: r["repaired"] for r in S.repair_labels(events).collect()} == want
+    assert S.repair_labels(events.limit(0)).count() == 0
+
+
+def test_labels_of_one_long_document_are_dealt_out(spark):
+    after, repair = S._label_automaton()
+    codes = spark.range(200_000).select(F.lit("d").alias("document_id"), F.col("id").alias("seq"), F.pmod(F.xxhash64("id"), F.lit(8)).cast("int").alias("code"))
+    state, want = 0, {None: 0, **{label: 0 for label in S.H.LABEL_SEQUENCE}}
+    for r in codes.orderBy("seq").collect():
+        if r["code"] >= 4:
+            label = repair[r["code"]][state]
+            want[S.H.LABEL_SEQUENCE[label] if label >= 0 else None] += 1
+        state = after[r["code"]][state]
+    repaired = S.repair_labels(codes)
+    assert {r["repaired"]: r["count"] for r in repaired.groupBy("repaired").count().collect()} == want
+
+
+def test_composition_of_texts(spark):
+    """Concatenation does not commute, so order shows."""
+    rows = [(k, n * 3, chr(97 + (n * 7 + len(k)) % 26)) for k in ("x", "yy") for n in range(40 + 30 * len(k))]
+    frame = spark.createDataFrame(rows, "k string, n long, c string").repartition(3)
+    for fan in (2, 3, 128):
+        found = composed(frame, ["k"], "n", F.col("c"), "before", lambda a, b: F.concat(a, b), F.lit(""), block_rows=20, fan=fan)
+        for k in ("x", "yy"):
+            own = [c for x, _, c in rows if x == k]
+            assert [r["before"] for r in found.where(F.col("k") == k).orderBy("n").collect()] == ["".join(own[:i]) for i in range(len(own))]
