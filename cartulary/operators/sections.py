@@ -95,6 +95,11 @@ def repair_labels(events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- lines to sections
 
 
+def line_number(seq: Column) -> Column:
+    """``line_no`` of a line's place in its document."""
+    return F.floor(seq % _PAGE_STEP / _LINE_STEP).cast("int")
+
+
 def _classify(lines: DataFrame) -> DataFrame:
     """Per line: opener flag, label split, garbled-label split and level.
 

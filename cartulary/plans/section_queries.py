@@ -114,6 +114,21 @@ def contents_pages(spark, folder):
     return P.contents_pages(_numbered_lines(spark, folder))
 
 
+_SQL_KEPT = f"""enough AS (SELECT document_id FROM cut GROUP BY document_id HAVING sum(head) >= 2),
+solid AS (SELECT b.* FROM built b SEMI JOIN enough USING (document_id) WHERE title <> '前言' OR length(text) >= 40),
+keyed AS (
+  SELECT *, CASE WHEN level = 1 THEN lower(regexp_replace(regexp_replace(regexp_replace(title, '[.·…]{{2,}}', '', 'g'),
+    '[-–—\\s]*[0-9]{{1,4}}\\s*[-–—]?\\s*$', ''), '[\\s–—_-]+', '', 'g')) ELSE CAST(s AS VARCHAR) END AS k FROM solid),
+chosen AS (
+  SELECT *, min(place) OVER (PARTITION BY document_id, level = 1, k) AS spot,
+    row_number() OVER (PARTITION BY document_id, level = 1, k ORDER BY length(text) DESC, place) AS r FROM keyed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY spot) - 1 AS idx FROM chosen WHERE r = 1),
+firsts AS (SELECT document_id, max(level) FILTER (idx = 1) AS second FROM numbered GROUP BY document_id)
+SELECT document_id, CAST(idx AS INTEGER) AS section_index, title,
+  CASE WHEN idx = 0 AND title = '前言' THEN greatest(level, coalesce(second, 0)) ELSE level END AS level, text
+FROM numbered JOIN firsts USING (document_id)"""
+
+
 @query(
     "heading_sections",
     f"""WITH {_SQL_CONTENTS},
@@ -127,19 +142,7 @@ built AS (
     coalesce(max(level) FILTER (head = 1), 1) AS level,
     trim(coalesce(string_agg(t, chr(10) ORDER BY line_no) FILTER (head = 0), ''), ' ' || chr(9) || chr(10) || chr(13)) AS text
   FROM cut GROUP BY document_id, s),
-enough AS (SELECT document_id FROM cut GROUP BY document_id HAVING sum(head) >= 2),
-solid AS (SELECT b.* FROM built b SEMI JOIN enough USING (document_id) WHERE title <> '前言' OR length(text) >= 40),
-keyed AS (
-  SELECT *, CASE WHEN level = 1 THEN lower(regexp_replace(regexp_replace(regexp_replace(title, '[.·…]{{2,}}', '', 'g'),
-    '[-–—\\s]*[0-9]{{1,4}}\\s*[-–—]?\\s*$', ''), '[\\s–—_-]+', '', 'g')) ELSE CAST(s AS VARCHAR) END AS k FROM solid),
-chosen AS (
-  SELECT *, min(place) OVER (PARTITION BY document_id, level = 1, k) AS spot,
-    row_number() OVER (PARTITION BY document_id, level = 1, k ORDER BY length(text) DESC, place) AS r FROM keyed),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY spot) - 1 AS idx FROM chosen WHERE r = 1),
-firsts AS (SELECT document_id, max(level) FILTER (idx = 1) AS second FROM numbered GROUP BY document_id)
-SELECT document_id, CAST(idx AS INTEGER) AS section_index, title,
-  CASE WHEN idx = 0 AND title = '前言' THEN greatest(level, coalesce(second, 0)) ELSE level END AS level, text
-FROM numbered JOIN firsts USING (document_id)""",
+{_SQL_KEPT}""",
 )
 def heading_sections(spark, folder):
     sections = S.number_sections(S.heading_sections(_numbered_lines(spark, folder)))
