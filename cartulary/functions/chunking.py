@@ -1,4 +1,8 @@
-"""Paragraph blocks and overlapping windows as array folds inside one row (no shuffle)."""
+"""Paragraph blocks and overlapping windows as array expressions inside one row (no shuffle).
+
+Nothing is appended in a fold: prefix sums and window chains are found by doubling, so the work of a text grows with its
+length times its logarithm.
+"""
 
 from __future__ import annotations
 
@@ -41,6 +45,24 @@ def _span(start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
+def _steps(size: Column) -> Column:
+    """0, 1, ... while ``2 ** step`` is below ``size``; one step at least."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(size.cast("double"))).cast("int") - 1, F.lit(0)))
+
+
+def _power(step: Column) -> Column:
+    return F.pow(F.lit(2.0), step).cast("int")
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers: after each step every sum reaches twice as far back."""
+
+    def doubled(sums: Column, step: Column) -> Column:
+        return F.transform(sums, lambda x, i: x + F.when(i >= _power(step), F.get(sums, i - _power(step))).otherwise(F.lit(0)))
+
+    return F.aggregate(_steps(F.size(numbers)), numbers, doubled)
+
+
 def block_spans(text: Column) -> Column:
     """Character spans of runs of non-blank lines: ``array<struct<start, end>>``."""
 
@@ -51,83 +73,73 @@ def block_spans(text: Column) -> Column:
             is_blank(line).alias("blank"),
         )
 
-    start = F.struct(
-        F.lit(0).alias("offset"),
-        F.lit(-1).alias("open"),
-        F.lit(0).alias("close"),
-        F.array().cast(f"array<{_SPAN}>").alias("blocks"),
-    )
+    def spans(read: Column) -> Column:
+        lines, ends = read["lines"], read["ends"]
+        edge = lambda i: F.coalesce(F.get(lines, i)["blank"], F.lit(True))
+        begun = lambda x, i: F.when(~x["blank"] & edge(i - 1), F.get(ends, i) - x["width"])
+        closed = lambda x, i: F.when(~x["blank"] & edge(i + 1), F.get(ends, i) - x["width"] + x["inked"])
+        starts = F.filter(F.transform(lines, begun), lambda x: x.isNotNull())
+        closes = F.filter(F.transform(lines, closed), lambda x: x.isNotNull())
+        return F.zip_with(starts, closes, _span)
 
-    def step(acc: Column, line: Column) -> Column:
-        closes = line["blank"] & (acc["open"] >= 0)
-        return F.struct(
-            (acc["offset"] + line["width"]).alias("offset"),
-            F.when(line["blank"], F.lit(-1))
-            .when(acc["open"] < 0, acc["offset"])
-            .otherwise(acc["open"])
-            .alias("open"),
-            F.when(line["blank"], acc["close"]).otherwise(acc["offset"] + line["inked"]).alias("close"),
-            F.when(closes, F.array_append(acc["blocks"], _span(acc["open"], acc["close"])))
-            .otherwise(acc["blocks"])
-            .alias("blocks"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.when(
-            acc["open"] >= 0, F.array_append(acc["blocks"], _span(acc["open"], acc["close"]))
-        ).otherwise(acc["blocks"])
+    def summed(lines: Column) -> Column:
+        ends = running_sums(F.transform(lines, lambda x: x["width"]))
+        return let(F.struct(lines.alias("lines"), ends.alias("ends")), spans)
 
-    return F.aggregate(F.transform(lines_keeping_ends(text), shape), start, step, finish)
+    return let(F.transform(lines_keeping_ends(text), shape), summed)
 
 
 def window_spans(blocks: Column, max_characters: int, overlap_characters: int) -> Column:
     """Pack blocks into windows of at most ``max_characters``.
 
     A block longer than a window is cut every ``max - overlap`` characters; only those cuts overlap. What is
-    left of it opens the next window.
+    left of it opens the next window. Where a window that opens at a block ends depends on that block alone, so the
+    windows are the chain of such pointers from the first block.
     """
     if max_characters <= 0:
         raise ValueError("max_characters must be positive")
     stride = max_characters - max(0, min(overlap_characters, max_characters - 1))
-
-    begin = F.struct(
-        F.lit(-1).alias("open"),
-        F.lit(0).alias("close"),
-        F.array().cast(f"array<{_SPAN}>").alias("spans"),
-    )
-
-    def flushed(acc: Column) -> Column:
-        return F.when(
-            acc["open"] >= 0, F.array_append(acc["spans"], _span(acc["open"], acc["close"]))
-        ).otherwise(acc["spans"])
-
-    def step(acc: Column, block: Column) -> Column:
-        size = block["end"] - block["start"]
-        cuts = F.ceil((size - max_characters) / F.lit(stride)).cast("int")
-        hard = F.transform(
-            F.sequence(F.lit(0), cuts - 1),
-            lambda i: _span(block["start"] + i * stride, block["start"] + i * stride + max_characters),
-        )
-        fits = (acc["open"] >= 0) & (block["end"] - acc["open"] <= max_characters)
-        return (
-            F.when(
-                size > max_characters,
-                F.struct(
-                    (block["start"] + cuts * stride).alias("open"),
-                    block["end"].alias("close"),
-                    F.concat(flushed(acc), hard).alias("spans"),
+    cuts = lambda b: F.greatest(F.ceil((b["end"] - b["start"] - max_characters) / F.lit(stride)).cast("int"), F.lit(0))
+    opens = lambda b: b["start"] + cuts(b) * stride
+
+    def following(block: Column) -> Column:
+        """Index of the first block that ends too late for a window opened at this one, by binary search."""
+        limit = opens(block) + max_characters
+
+        def nearer(found: Column, step: Column) -> Column:
+            further = found + _power(step)
+            return F.when(F.get(blocks, further - 1)["end"] <= limit, further).otherwise(found)
+
+        return F.aggregate(F.reverse(_steps(F.size(blocks) + 1)), F.lit(0), nearer)
+
+    def chained(pointers: Column) -> Column:
+        """Blocks that open a window: the chain is twice as long after each step, and pointers reach twice as far."""
+        start = F.struct(pointers.alias("jump"), F.array(F.lit(0)).alias("chain"))
+
+        def doubled(acc: Column, _: Column) -> Column:
+            onward = lambda i: F.get(acc["jump"], i)
+            further = F.filter(F.transform(acc["chain"], onward), lambda i: i < F.size(acc["jump"]))
+            jump = F.transform(acc["jump"], lambda i: F.coalesce(onward(i), F.size(acc["jump"])))
+            return F.struct(jump.alias("jump"), F.concat(acc["chain"], further).alias("chain"))
+
+        return F.aggregate(_steps(F.size(pointers) + 1), start, doubled, lambda acc: acc["chain"])
+
+    def windows(pointers: Column) -> Column:
+        def at(i: Column) -> Column:
+            block = F.get(blocks, i)
+            hard = F.when(
+                cuts(block) > 0,
+                F.transform(
+                    F.sequence(F.lit(0), cuts(block) - 1),
+                    lambda k: _span(block["start"] + k * stride, block["start"] + k * stride + max_characters),
                 ),
-            )
-            .when(
-                fits,
-                F.struct(acc["open"].alias("open"), block["end"].alias("close"), acc["spans"].alias("spans")),
-            )
-            .otherwise(
-                F.struct(block["start"].alias("open"), block["end"].alias("close"), flushed(acc).alias("spans"))
-            )
-        )
+            ).otherwise(F.array().cast(f"array<{_SPAN}>"))
+            return F.concat(hard, F.array(_span(opens(block), F.get(blocks, F.get(pointers, i) - 1)["end"])))
+
+        return F.flatten(F.transform(chained(pointers), at))
 
-    return F.aggregate(blocks, begin, step, flushed)
+    packed = let(F.transform(blocks, following), windows)
+    return F.when(F.size(blocks) > 0, packed).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def cut_spans(text: Column, spans: Column) -> Column:
@@ -166,7 +178,7 @@ def cut_spans(text: Column, spans: Column) -> Column:
 def split_text(text: Column, max_characters: int, overlap_characters: int) -> Column:
     """``array<struct<start, end, text>>`` of the windows of one section; empty for a blank one."""
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    windows = window_spans(block_spans(text), max_characters, overlap_characters)
+    windows = let(block_spans(text), lambda blocks: window_spans(blocks, max_characters, overlap_characters))
     return F.when(
         ~is_blank(text),
         let(windows, lambda spans: F.when(F.size(spans) > 0, cut_spans(text, spans)).otherwise(empty)),

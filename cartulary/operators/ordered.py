@@ -109,17 +109,20 @@ def composed(
     compose: Callable[[Column, Column], Column],
     identity: Column,
     *,
+    reverse: bool = False,
     block_rows: int = DEFAULTS.block_rows,
     fan: int = 256,
 ) -> DataFrame:
     """Add ``name``: the composition of ``effect`` over the earlier rows of a key, in the order of ``index``.
 
+    With ``reverse`` it is that of the later rows, the last one first.
+
     ``compose(first, then)`` is any associative operation, ``identity`` its neutral value. Rows are taken together
     ``fan`` at a time: a group of ``fan`` neighbours becomes a row with all its prefixes, whose last is one row of the
     next level, until a level holds one group a key. So no row ever holds more than ``fan`` values, and the number of
     levels grows with the logarithm of the longest key.
     """
-    numbered = settle(running(frame, key, index, [Carry(_NUMBER, F.lit(1).cast("long"), "sum")], block_rows=block_rows))
+    numbered = settle(running(frame, key, index, [Carry(_NUMBER, F.lit(1).cast("long"), "sum")], reverse=reverse, block_rows=block_rows))
     values = numbered.select(*key, F.col(_NUMBER), effect.alias("__effect"))
     last = values.agg(F.max(_NUMBER)).first()[0]
     before = _before(values, key, 0 if last is None else last, compose, identity, fan)

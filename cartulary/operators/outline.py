@@ -14,73 +14,51 @@ from cartulary.functions.digest import KEYWORD_SOURCE_CHARACTERS, has_content, s
 from cartulary.functions.ids import node_id
 from cartulary.functions.text import collapse, strip
 from cartulary.operators.digest import document_frequency, keywords
-from cartulary.operators.ordered import Carry, running
+from cartulary.operators.ordered import Carry, composed, running
 from cartulary.session import settle
 
 TITLE_CHARACTERS = 160
 KEY = ["document_id", "section_index"]
 
 
-def _leveled(sections: DataFrame) -> tuple[DataFrame, range]:
-    """Sections with ``__rank``, the number of their level among the document's levels, and all ranks there are.
+_STACK = "array<struct<level:int,at:int>>"
 
-    Only the order of levels matters for an outline, so levels may be of any size and have gaps.
+
+def _onto(first: Column, then: Column) -> Column:
+    """Sections of ``first`` that ``then`` leaves in sight, and those of ``then``; a section hides all of its level or deeper.
+
+    The sections in sight after some rows are in order and of rising levels, so what more rows do to them depends on the
+    smallest level of these alone, which stands first. That makes the stack of an outline an associative composition.
     """
-    leveled = sections.withColumn("level", F.greatest(F.lit(1), F.col("level")).cast("int"))
-    order = Window.partitionBy("document_id").orderBy("level")
-    kinds = leveled.select("document_id", "level").distinct().withColumn("__rank", F.dense_rank().over(order))
-    most = kinds.agg(F.max("__rank")).first()[0] or 1
-    return leveled.join(kinds, ["document_id", "level"]), range(1, most + 1)
+    seen = F.filter(first, lambda x: x["level"] < F.get(then, F.lit(0))["level"])
+    return F.when(F.size(then) == 0, first).otherwise(F.concat(seen, then))
 
 
-def _greatest(columns: list[Column]) -> Column:
-    return columns[0] if len(columns) == 1 else F.greatest(*columns)
+def _in_sight(sections: DataFrame, reverse: bool) -> DataFrame:
+    """Sections with ``__stack``: the earlier (later, if ``reverse``) ones in sight, the nearest last."""
+    leveled = sections.withColumn("level", F.greatest(F.lit(1), F.col("level")).cast("int"))
+    own = F.array(F.struct(F.col("level"), F.col("section_index").cast("int").alias("at"))).cast(_STACK)
+    return composed(leveled, ["document_id"], "section_index", own, "__stack", _onto, F.array().cast(_STACK), reverse=reverse)
 
 
 def outline_parents(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add ``parent_index`` and ``ancestors`` (section indexes, root first).
 
-    The parent is the nearest earlier section of a smaller level. One scan carries the last section of every
-    level; a level's last section is an ancestor when it is later than that of every smaller level.
+    The parent is the nearest earlier section of a smaller level, and the ancestors are all sections in sight that have
+    smaller levels. Levels may be of any size and number; the plan is the same.
     """
-    leveled, levels = _leveled(sections)
-    scanned = running(
-        leveled,
-        ["document_id"],
-        "section_index",
-        [Carry(f"__l{k}", F.when(F.col("__rank") == k, F.col("section_index")), "max") for k in levels],
-    )
-    seen = {k: F.when(F.col("__rank") > k, F.col(f"__l{k}")) for k in levels}
-    parent = _greatest([seen[k] for k in levels])
-
-    def on_path(k: int) -> Column:
-        if k == 1:
-            return seen[1]
-        above = _greatest([seen[j] for j in range(1, k)])
-        return F.when(seen[k] > F.coalesce(above, F.lit(-1)), seen[k])
-
-    return scanned.select(
-        *[F.col(c) for c in sections.columns if c != "level"],
-        "level",
-        parent.cast("int").alias("parent_index"),
-        F.array_compact(F.array(*[on_path(k).cast("int") for k in levels])).alias("ancestors"),
-    )
+    above = F.filter("__stack", lambda x: x["level"] < F.col("level"))
+    scanned = _in_sight(sections, False).withColumn("ancestors", F.transform(above, lambda x: x["at"]))
+    kept = [F.col(c) for c in sections.columns if c != "level"]
+    return scanned.select(*kept, "level", F.get("ancestors", F.size("ancestors") - 1).alias("parent_index"), "ancestors")
 
 
 def subtree_ends(sections: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add ``subtree_end``: index of the first later section that is not below this one, null at the end."""
-    leveled, levels = _leveled(sections)
-    scanned = running(
-        leveled,
-        ["document_id"],
-        "section_index",
-        [Carry(f"__e{k}", F.when(F.col("__rank") == k, F.col("section_index")), "min") for k in levels],
-        reverse=True,
-    )
-    ends = [F.when(F.col("__rank") >= k, F.col(f"__e{k}")) for k in levels]
-    return scanned.select(
-        *[F.col(c) for c in sections.columns if c != "level"], "level", (F.least(*ends) if len(ends) > 1 else ends[0]).cast("int").alias("subtree_end")
-    )
+    outside = F.filter("__stack", lambda x: x["level"] <= F.col("level"))
+    scanned = _in_sight(sections, True).withColumn("__outside", outside)
+    kept = [F.col(c) for c in sections.columns if c != "level"]
+    return scanned.select(*kept, "level", F.get("__outside", F.size("__outside") - 1)["at"].alias("subtree_end"))
 
 
 def _too_wide(outlined: DataFrame, settings: Settings) -> DataFrame:

@@ -1,6 +1,7 @@
 """Chunking against a plain sequential reading, ids, alignment and the block scans."""
 
 import random
+import time
 import uuid
 
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cartulary.config import Settings
-from cartulary.functions.chunking import block_spans, split_text
+from cartulary.functions.chunking import block_spans, split_text, window_spans
 from cartulary.functions.ids import CHUNK_NAMESPACE
 from cartulary.operators.chunks import chunk_sections, chunks_aligned, document_status
 from cartulary.operators.ordered import Carry, neighbour, running
@@ -86,3 +87,54 @@ def test_block_scans_equal_one_pass(spark):
     for key in "ab":
         ordered = sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
         assert [before[(key, r[1])] for r in ordered] == [None] + [r[2] for r in ordered[:-1]]
+
+
+def _packed(text, size, overlap):
+    """Spans of the windows by one pass over the blocks."""
+    blocks, offset, opened, closed = [], 0, None, 0
+    for line in text.splitlines(keepends=True):
+        if line.strip():
+            opened, closed = (offset if opened is None else opened), offset + len(line.rstrip("\r\n"))
+        elif opened is not None:
+            blocks.append((opened, closed))
+            opened = None
+        offset += len(line)
+    if opened is not None:
+        blocks.append((opened, closed))
+    spans, window = [], None
+    for start, end in blocks:
+        if window and end - window[0] <= size:
+            window = (window[0], end)
+            continue
+        if window:
+            spans.append(window)
+        while end - start > size:
+            spans.append((start, start + size))
+            start += size - overlap
+        window = (start, end)
+    return spans + [window] if window else spans
+
+
+def test_windows_equal_one_pass_over_blocks(spark):
+    rng = random.Random(4)
+    texts = ["", "\n\n", "x", "a" * 500]
+    for _ in range(120):
+        paragraphs = ["\n".join("w" * rng.randint(1, 40) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 60))]
+        texts.append("".join(p + rng.choice(["\n\n", "\n \n", "\n\n\n"]) for p in paragraphs))
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(4)
+    for size, overlap in ((30, 0), (50, 20), (200, 60)):
+        spans = window_spans(block_spans(F.col("text")), size, overlap)
+        for r in frame.select("n", spans.alias("spans")).collect():
+            assert [tuple(s) for s in r["spans"]] == _packed(texts[r["n"]], size, overlap)
+
+
+def test_work_grows_with_the_length(spark):
+    seconds = []
+    for count in (20_000, 80_000):
+        text = F.repeat(F.lit("a paragraph of some words\n\n"), count)
+        frame = spark.range(1).select(split_text(F.concat(text, F.col("id").cast("string")), 900, 150).alias("chunks"))
+        started = time.perf_counter()
+        assert frame.select(F.size("chunks")).first()[0] == len(_packed("a paragraph of some words\n\n" * count + "0", 900, 150))
+        seconds.append(time.perf_counter() - started)
+    assert seconds[1] < 12 * seconds[0]
+    print(seconds)

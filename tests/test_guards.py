@@ -1,5 +1,7 @@
 """Citations with missing lists, outlines deeper than nine levels, wide documents, and stores that run empty."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from cartulary.functions.answers import resolve_labels
@@ -45,3 +47,22 @@ def test_store_that_runs_empty(spark, tmp_path):
     assert read_store(spark, path).count() == 0
     replace_documents(rows, path)
     assert sorted(tuple(r) for r in read_store(spark, path).collect()) == [("a", 1), ("b", 2)]
+
+
+def test_outlines_of_any_levels_equal_a_stack(spark):
+    """Random levels, a chain of 1,000 levels and back, and levels in pairs."""
+    rng = random.Random(2)
+    documents = {"random": [rng.randint(-2, 12) for _ in range(700)], "deep": [*range(1, 1001), *range(999, 0, -3)], "pairs": [n // 2 % 7 for n in range(40)], "lone": [5]}
+    rows = [(name, 3 * n + 1, level) for name, levels in documents.items() for n, level in enumerate(levels)]
+    frame = spark.createDataFrame(rows, "document_id string, section_index int, level int").repartition(5)
+    parents = {(r["document_id"], r["section_index"]): r for r in outline_parents(frame).collect()}
+    ends = {(r["document_id"], r["section_index"]): r["subtree_end"] for r in subtree_ends(frame).collect()}
+    for name, levels in documents.items():
+        stack, want_ends = [], {}
+        for n, level in enumerate(max(1, x) for x in levels):
+            while stack and stack[-1][1] >= level:
+                want_ends[stack.pop()[0]] = 3 * n + 1
+            own = parents[(name, 3 * n + 1)]
+            assert own["ancestors"] == [at for at, _ in stack] and own["parent_index"] == (stack[-1][0] if stack else None)
+            stack.append((3 * n + 1, level))
+        assert all(ends[(name, 3 * n + 1)] == want_ends.get(3 * n + 1) for n in range(len(levels)))
