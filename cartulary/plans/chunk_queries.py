@@ -99,3 +99,45 @@ def chunk_alignment(spark, folder):
     reparsed = sections.filter(~F.col("title").startswith("system"))
     documents = sections.select("document_id").distinct()
     return chunks_aligned(documents, reparsed, chunk_sections(sections, single_section=True))
+
+
+@query(
+    "chunk_paragraphs",
+    """WITH RECURSIVE texts AS (
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, replace(text, chr(10), chr(10) || chr(10)) AS text, string_split(text, chr(10)) AS lines FROM documents),
+flat AS (
+  SELECT document_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM texts),
+placed AS (
+  SELECT *, sum(length(line) + 2) OVER (PARTITION BY document_id ORDER BY i) - length(line) - 2 AS begins FROM flat),
+blocks AS (
+  SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i) AS b, begins AS first, begins + length(rtrim(line, chr(13))) AS last
+  FROM placed WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+opened AS (
+  SELECT *, CAST(greatest(ceil((last - first - 900) / 750.0), 0) AS BIGINT) AS cuts, first + greatest(ceil((last - first - 900) / 750.0), 0) * 750 AS start FROM blocks),
+-- ends rise, so the first block that does not fit is the one after all that do
+pointed AS (
+  SELECT o.document_id, o.b, o.first, o.cuts, CAST(o.start AS BIGINT) AS start, o.last, max(n.b) + 1 AS following, max(n.last) AS close
+  FROM opened o JOIN blocks n ON n.document_id = o.document_id AND n.b >= o.b AND n.last <= o.start + 900 GROUP BY ALL),
+chain AS (
+  SELECT * FROM pointed WHERE b = 1
+  UNION ALL
+  SELECT p.* FROM chain c JOIN pointed p ON p.document_id = c.document_id AND p.b = c.following),
+spans AS (
+  SELECT document_id, first + k * 750 AS start, first + k * 750 + 900 AS close FROM chain, LATERAL (SELECT unnest(range(0, cuts)) AS k)
+  UNION ALL SELECT document_id, start, close FROM chain),
+cut AS (
+  SELECT document_id, start, close, trim(substr(text, CAST(start + 1 AS BIGINT), CAST(close - start AS BIGINT)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM spans JOIN texts USING (document_id))
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY start) - 1 AS INTEGER) AS chunk_index,
+  CAST(start AS INTEGER) AS char_start, CAST(close AS INTEGER) AS char_end, body AS text
+FROM cut WHERE body <> ''""",
+)
+def chunk_paragraphs(spark, folder):
+    """Every line a paragraph of its own, packed into windows; longer ones are cut."""
+    sections = read_table(spark, folder, "documents", heavy=True).select(
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.lit(0).alias("section_index"),
+        F.lit("text").alias("title"),
+        F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"),
+    )
+    return chunk_sections(sections, single_section=True).select("document_id", "chunk_index", "char_start", "char_end", "text")
