@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartulary.config import DEFAULTS, Settings
-from cartulary.functions.text import strip
+from cartulary.functions.text import explode_once, strip
 from cartulary.operators.evidence import node_sections
 from cartulary.operators.ordered import neighbour
+from cartulary.session import settle
 
 MAP_SCHEMA = "knowledge-map-v1"
 SEARCH_LIMIT = 20
@@ -161,14 +162,92 @@ def visible(nodes: DataFrame, expanded: DataFrame) -> DataFrame:
     return nodes.join(hidden, ["document_id", "node_id"], "left_anti")
 
 
-def search(nodes: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+def paths_from_parents(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``path``, ``depth`` and ``ancestors`` (node ids, root first) from parent links alone.
+
+    ``nodes``: document_id, node_id, parent_id (null for a root), position. Every node points at its parent; in each
+    round it takes over what the node it points at knows and points as far again, so a chain of 1,000 nodes needs ten
+    rounds. Nodes below a missing parent or in a circle have no path.
+    """
+    key = ["document_id", "node_id"]
+    own = F.when(F.col("parent_id").isNotNull(), F.array(F.col("position").cast("string"))).otherwise(F.array().cast("array<string>"))
+    above = F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(F.array().cast("array<string>"))
+    known = settle(nodes.select(*key, F.col("parent_id").alias("__up"), own.alias("__steps"), above.alias("__above")))
+    limit, reach = known.groupBy("document_id").count().agg(F.max("count")).first()[0] or 0, 1
+    while True:
+        waiting = known.filter(F.col("__up").isNotNull())
+        if reach > 2 * limit or waiting.isEmpty():
+            break
+        there = known.select(
+            "document_id", F.col("node_id").alias("__up"), F.col("__up").alias("__next"), F.col("__steps").alias("__more"), F.col("__above").alias("__higher")
+        )
+        moved = waiting.join(there, ["document_id", "__up"]).select(
+            *key,
+            F.col("__next").alias("__up"),
+            F.concat("__more", "__steps").alias("__steps"),
+            F.concat("__higher", "__above").alias("__above"),
+        )
+        known = settle(known.filter(F.col("__up").isNull()).unionByName(moved))
+        reach *= 2
+    placed = known.filter(F.col("__up").isNull()).select(
+        *key, F.array_join("__steps", ".").alias("path"), F.size("__steps").alias("depth"), F.col("__above").alias("ancestors")
+    )
+    return nodes.drop("path", "depth", "ancestors").join(placed, key)
+
+
+#: Runs of a query that are intersected.
+_PROBES = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    runs = F.transform(starts, lambda at: F.substring(text, at, F.lit(size)))
+    return F.when(F.length(text) >= size, runs).otherwise(F.array().cast("array<string>"))
+
+
+def search_index(nodes: DataFrame) -> DataFrame:
+    """``(document_id, gram, node_id)``: the runs of one to three characters in a node's title, summary and keywords."""
+    nothing = F.array().cast("array<string>")
+    fields = F.concat(F.array("title", "summary"), F.coalesce("keywords", nothing))
+    texts = F.transform(fields, lambda x: F.lower(F.coalesce(x, F.lit(""))))
+    grams = F.flatten(F.transform(texts, lambda x: F.concat(*[_grams(x, size) for size in (1, 2, 3)])))
+    return explode_once(nodes, ["document_id", "node_id"], F.array_distinct(grams), "gram").select("document_id", "gram", "node_id")
+
+
+def search(nodes: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT, index: DataFrame | None = None) -> DataFrame:
     """First ``limit`` nodes per query in preorder whose title, summary or a keyword contains the text.
 
-    ``queries``: (query_id, document_id, query). A blank query finds nothing.
+    ``queries``: (query_id, document_id, query). A blank query finds nothing. Nodes are looked up in ``index`` (see
+    ``search_index``): a query's rarest runs of characters are intersected, and only nodes that hold them all are read.
     """
+    index = settle(search_index(nodes)) if index is None else index
     needles = queries.select("query_id", "document_id", F.lower(strip(F.col("query"))).alias("needle")).filter(
         F.col("needle") != ""
     )
+    key = ["query_id", "document_id", "needle"]
+    size = F.least(F.length("needle"), F.lit(3))
+    runs = F.when(size == 1, _grams(F.col("needle"), 1)).when(size == 2, _grams(F.col("needle"), 2)).otherwise(_grams(F.col("needle"), 3))
+    asked = explode_once(needles, key, F.array_distinct(runs), "gram").select(*key, "gram")
+    # Only runs that are asked for are counted.
+    held = index.join(asked.select("document_id", "gram").distinct(), ["document_id", "gram"])
+    common = held.groupBy("document_id", "gram").agg(F.count(F.lit(1)).alias("holders"))
+    rarest = Window.partitionBy(*key).orderBy("holders", "gram")
+    probes = (
+        asked.join(common, ["document_id", "gram"], "left")
+        .withColumn("__nth", F.row_number().over(rarest))  # a run that no node holds has no count and comes first
+        .filter(F.col("__nth") <= _PROBES)
+    )
+    wanted = probes.groupBy(*key).agg(F.count(F.lit(1)).alias("wanted"))
+    candidates = (
+        probes.filter(F.col("holders").isNotNull())
+        .join(index, ["document_id", "gram"])
+        .groupBy(*key, "node_id")
+        .agg(F.count(F.lit(1)).alias("found"))
+        .join(wanted, key)
+        .filter(F.col("found") == F.col("wanted"))
+        .select(*key, "node_id")
+    )
     order = Window.partitionBy("query_id").orderBy("preorder")
     hit = (
         F.lower("title").contains(F.col("needle"))
@@ -176,7 +255,7 @@ def search(nodes: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT) -> D
         | F.exists("keywords", lambda k: F.lower(k).contains(F.col("needle")))
     )
     return (
-        nodes.join(needles, "document_id")
+        nodes.join(candidates, ["document_id", "node_id"])
         .filter(hit)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)

@@ -330,6 +330,23 @@ def node_search(spark, folder):
     return T.search(nodes, asked).select("document_id", "path", "rank")
 
 
+@query(
+    "edited_paths",
+    f"""WITH RECURSIVE {_SQL_PLACED}
+SELECT n.document_id, n.path, n.depth, CAST(list_sort(list(a.path) FILTER (a.path IS NOT NULL)) AS VARCHAR[]) AS above
+FROM node n LEFT JOIN node a ON a.document_id = n.document_id AND n.path <> '' AND a.path <> n.path AND (a.path = '' OR starts_with(n.path, a.path || '.'))
+GROUP BY ALL""",
+)
+def edited_paths(spark, folder):
+    """Paths and ancestors from parent links and positions alone, as an edited tree has them."""
+    nodes = conversation_tree(spark, folder).select("document_id", "node_id", "parent_id", "position")
+    placed = settle(T.paths_from_parents(nodes))
+    names = placed.select("document_id", F.col("node_id").alias("ancestor"), F.col("path").alias("ancestor_path"))
+    chain = placed.select("document_id", "node_id", F.explode("ancestors").alias("ancestor")).join(names, ["document_id", "ancestor"])
+    above = chain.groupBy("document_id", "node_id").agg(F.sort_array(F.collect_list("ancestor_path")).alias("above"))
+    return placed.join(above, ["document_id", "node_id"], "left").select("document_id", "path", "depth", "above")
+
+
 @query(
     "tree_order",
     f"""WITH RECURSIVE {_SQL_PLACED}

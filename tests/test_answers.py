@@ -1,6 +1,7 @@
 """Context selection, quotes, quiz, citation guards, views and the job path from sections to answers."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -155,3 +156,35 @@ def test_late_failures_do_not_overwrite_answers(spark):
 def test_parser_registry_rejects_duplicates():
     with pytest.raises(ValueError):
         register_parsers([(".pdf", "a"), ("PDF", "b")])
+
+
+def test_search_equals_a_scan(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcÄé知") for _ in range(rng.randint(1, 5)))
+    rows = [(f"d{n % 3}", f"n{n}", " ".join(word() for _ in range(3)), " ".join(word() for _ in range(8)) if n % 5 else None, [word() for _ in range(n % 3)] if n % 7 else None, n) for n in range(150)]
+    nodes = spark.createDataFrame(rows, "document_id string, node_id string, title string, summary string, keywords array<string>, preorder int")
+    asked = [(f"q{n}", f"d{n % 4}", rng.choice(["", " "]) + "".join(rng.choice("abcÄé知 ") for _ in range(rng.randint(0, 4)))) for n in range(80)]
+    queries = spark.createDataFrame(asked, "query_id string, document_id string, query string")
+    want = set()
+    for query, document, text in asked:
+        needle = text.strip().lower()
+        own = [r for r in rows if needle and r[0] == document and any(needle in (x or "").lower() for x in (r[2], r[3], *(r[4] or [])))]
+        want |= {(query, r[1], rank + 1) for rank, r in enumerate(sorted(own, key=lambda r: r[5])[:20])}
+    found = {(r["query_id"], r["node_id"], r["rank"]) for r in T.search(nodes, queries).collect()}
+    assert found == want and len(want) > 100
+
+
+def test_paths_from_parent_links(spark):
+    """A chain of 300 nodes, a wide tree, a circle and a missing parent."""
+    rng = random.Random(1)
+    parents = {"n0": None} | {f"n{i}": f"n{i - 1}" for i in range(1, 300)} | {f"w{i}": rng.choice(["n0", *(f"w{j}" for j in range(i))]) for i in range(100)}
+    rows = [("d", n, p, i % 50) for i, (n, p) in enumerate(parents.items())] + [("d", "x", "y", 0), ("d", "y", "x", 0), ("d", "lost", "none", 0), ("e", "n0", None, 3)]
+    nodes = spark.createDataFrame(rows, "document_id string, node_id string, parent_id string, position int").repartition(4)
+    found = {(r["document_id"], r["node_id"]): (r["path"], r["depth"], r["ancestors"]) for r in T.paths_from_parents(nodes).collect()}
+    position, want = {n: p for d, n, _, p in rows if d == "d"}, {("e", "n0"): ("", 0, [])}
+    for n in parents:
+        chain, at = [], n
+        while parents[at]:
+            chain, at = [at, *chain], parents[at]
+        want[("d", n)] = (".".join(str(position[x]) for x in chain), len(chain), (["n0", *chain])[:-1] if chain else [])
+    assert found == want
