@@ -21,7 +21,7 @@ from cartulary.operators.evidence import TARGET_ANSWER, TARGET_EDGE, TARGET_NODE
 from cartulary.operators.outline import build_tree, tree_status
 from cartulary.operators.tree import map_json
 from cartulary.session import settle
-from cartulary.sources.store import append_states, delete_documents, read_store, replace_documents
+from cartulary.sources.store import Transaction, append_states, read_store
 
 
 @dataclass(frozen=True)
@@ -41,9 +41,11 @@ def index_documents(
     """
     model = model_name(settings.embedding_dimensions)
     chunks = settle(chunk_sections(sections, settings, embedding_model=model))
-    replace_documents(chunks, store.path("chunks"), documents)
-    replace_documents(vector_records(chunks, settings, family=family).drop("text"), store.path("vectors"), documents)
-    delete_documents(documents.sparkSession, store.path("evidence"), documents)
+    change = Transaction(documents.sparkSession, store.root)
+    change.replace(chunks, "chunks", documents)
+    change.replace(vector_records(chunks, settings, family=family).drop("text"), "vectors", documents)
+    change.remove("evidence", documents)
+    change.commit()
     counted = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
     empty = F.col("chunk_count").isNull()
     return documents.select("document_id").join(counted, "document_id", "left").select(
@@ -86,16 +88,13 @@ def build_trees(
     chunks = read_store(spark, store.path("chunks")).join(documents, "document_id", "left_semi")
     edges, links = link_evidence(nodes, chunks, settings)
     links = settle(links)
-    replace_documents(nodes, store.path("nodes"), documents)
-    replace_documents(tree_status(titles, sections, settings), store.path("tree_status"), documents)
-    replace_documents(edges, store.path("edges"), documents)
-    replace_documents(
-        links,
-        store.path("evidence"),
-        documents,
-        where=F.col("target_type").isin(TARGET_NODE, TARGET_EDGE, TARGET_ANSWER),
-    )
-    replace_documents(map_json(nodes, links), store.path("maps"), documents)
+    change = Transaction(spark, store.root)
+    change.replace(nodes, "nodes", documents)
+    change.replace(tree_status(titles, sections, settings), "tree_status", documents)
+    change.replace(edges, "edges", documents)
+    change.replace(links, "evidence", documents, within=("target_type", (TARGET_NODE, TARGET_EDGE, TARGET_ANSWER)))
+    change.replace(map_json(nodes, links), "maps", documents)
+    change.commit()
     return nodes
 
 
@@ -118,11 +117,9 @@ def answer(
     )
     states = states.unionByName(unknown, allowMissingColumns=True)
     append_states(states.withColumn("at", F.current_timestamp()), store.path("question_states"))
-    answered = replies.select("document_id").distinct()
-    asked = settle(replies.select(F.col("question_id").alias("target_id")))
-    stored = links.filter(F.col("target_type") == TARGET_ANSWER).join(answered, "document_id", "left_semi")
-    kept = stored.join(asked, "target_id", "left_anti")
-    replace_documents(
-        kept.unionByName(answer_links), store.path("evidence"), answered, where=F.col("target_type") == TARGET_ANSWER
-    )
+    # What an earlier run of the same questions cited goes; links are keyed by their target.
+    asked = replies.select("document_id", F.col("question_id").alias("target_id"))
+    change = Transaction(spark, store.root)
+    change.replace_targets(answer_links, "evidence", asked)
+    change.commit()
     return replies

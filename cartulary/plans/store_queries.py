@@ -96,10 +96,10 @@ def stored_chunks(spark, folder):
     path = _fresh(spark, "chunks")
     chunks = chunk_sections(conversation_sections(spark, folder)).select("document_id", "chunk_id", "chunk_index", "text")
     number = F.col("document_id").cast("bigint")
-    S.replace_documents(chunks, path, buckets=8)
+    S.replace_documents(chunks, path)
     for _ in range(2):
-        S.replace_documents(chunks.filter((number % 2 == 0) & (F.col("chunk_index") == 0)), path, buckets=8)
-    S.delete_documents(spark, path, chunks.filter(number % 5 == 0), buckets=8)
+        S.replace_documents(chunks.filter((number % 2 == 0) & (F.col("chunk_index") == 0)), path)
+    S.delete_documents(spark, path, chunks.filter(number % 5 == 0))
     return S.read_store(spark, path).drop("chunk_index")
 
 
@@ -118,9 +118,9 @@ def stored_vectors(spark, folder):
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
     zeros = F.transform("embedding", lambda x: F.lit(0.0))
-    S.upsert(vectors, path, "vec_id", buckets=8)
-    S.upsert(vectors.filter("vec_id % 2 = 0").withColumn("embedding", zeros), path, "vec_id", buckets=8)
-    S.delete_documents(spark, path, vectors.filter("document_id = 3"), buckets=8)
+    S.upsert(vectors, path, "vec_id")
+    S.upsert(vectors.filter("vec_id % 2 = 0").withColumn("embedding", zeros), path, "vec_id")
+    S.delete_documents(spark, path, vectors.filter("document_id = 3"))
     millionths = F.transform("embedding", lambda x: F.floor(x * 1000000).cast("string"))
     return S.read_store(spark, path).select("document_id", "vec_id", F.array_join(millionths, ",").alias("millionths"))
 

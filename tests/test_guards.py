@@ -1,12 +1,14 @@
 """Citations with missing lists, outlines deeper than nine levels, wide documents, and stores that run empty."""
 
 import random
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartulary.functions.answers import resolve_labels
 from cartulary.operators.outline import outline_parents, subtree_ends, tree_status
-from cartulary.sources.store import delete_documents, read_store, replace_documents
+from cartulary.sources.store import Conflict, Transaction, compact, delete_documents, read_store, replace_documents, upsert
 
 EVIDENCE = "labels array<string>, evidence array<struct<label:string,chunk_id:string>>"
 
@@ -66,3 +68,50 @@ def test_outlines_of_any_levels_equal_a_stack(spark):
             assert own["ancestors"] == [at for at, _ in stack] and own["parent_index"] == (stack[-1][0] if stack else None)
             stack.append((3 * n + 1, level))
         assert all(ends[(name, 3 * n + 1)] == want_ends.get(3 * n + 1) for n in range(len(levels)))
+
+
+def _rows(spark, path):
+    return sorted(tuple(r) for r in read_store(spark, path).collect())
+
+
+def test_commits_over_several_tables(spark, tmp_path):
+    root = str(tmp_path / "root")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "document_id string, n int")
+    first = Transaction(spark, root)
+    first.replace(frame(("a", 1), ("a", 2), ("b", 1)), "left")
+    first.replace(frame(("a", 10)), "right")
+    first.commit()
+    broken = Transaction(spark, root)  # stops between its tables
+    broken.replace(frame(("a", 3)), "left")
+    broken.remove("right", frame(("a", 0)))
+    assert _rows(spark, f"{root}/left") == [("a", 1), ("a", 2), ("b", 1)] and _rows(spark, f"{root}/right") == [("a", 10)]
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "root" / "left").rglob("*.parquet")}
+    second = Transaction(spark, root)
+    second.replace(frame(("a", 4)), "left")
+    second.remove("right", frame(("a", 0)))
+    with pytest.raises(ValueError):
+        second.replace(frame(("a", 5)), "left")
+    assert second.commit() == 2
+    assert _rows(spark, f"{root}/left") == [("a", 4), ("b", 1)] and _rows(spark, f"{root}/right") == []
+    assert all(Path(p).stat().st_mtime_ns == at for p, at in before.items())  # no other document is rewritten
+    late = Transaction(spark, root)
+    late.replace(frame(("b", 7)), "left")
+    with pytest.raises(Conflict):
+        late.commit(after=1)
+    assert late.commit() == 3
+    compact(spark, f"{root}/left")
+    assert _rows(spark, f"{root}/left") == [("a", 4), ("b", 7)] and _rows(spark, f"{root}/right") == []
+    delete_documents(spark, f"{root}/left", frame(("a", 0)))
+    replace_documents(frame(("a", 8)), f"{root}/left")
+    assert _rows(spark, f"{root}/left") == [("a", 8), ("b", 7)]
+
+
+def test_replaced_kinds_and_keys(spark, tmp_path):
+    path = str(tmp_path / "evidence")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "document_id string, kind string, n int")
+    replace_documents(frame(("a", "node", 1), ("a", "edge", 2), ("a", None, 3), ("b", "node", 4)), path)
+    replace_documents(frame(("a", "node", 5)), path, within=("kind", ("node", "answer")))
+    assert sorted(read_store(spark, path).collect(), key=str) == sorted(frame(("a", "node", 5), ("a", "edge", 2), ("a", None, 3), ("b", "node", 4)).collect(), key=str)
+    upsert(frame(("b", "x", 4), ("b", "y", 9)), path, "n")
+    upsert(frame(("b", "z", 9)), path, "n")
+    assert {tuple(r) for r in read_store(spark, path).where("document_id = 'b'").collect()} == {("b", "x", 4), ("b", "z", 9)}
