@@ -30,22 +30,29 @@ def _fresh(spark, name: str) -> str:
 _SMALL = Settings(max_upload_size_bytes=9000)
 
 
+def _directory(name: bytes) -> bytes:
+    """Central directory of an archive with one empty member, and its end record."""
+    entry = b"PK\x01\x02" + bytes(24) + len(name).to_bytes(2, "little") + bytes(16) + name
+    return entry + b"PK\x05\x06" + bytes(4) + (1).to_bytes(2, "little") * 2 + len(entry).to_bytes(4, "little") + bytes(6)
+
+
 @query(
     "upload_validation",
     """WITH f AS (
   SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'dir/a' || page_id || '.pdf' WHEN 1 THEN 'b' || page_id || '.docx'
       WHEN 2 THEN 'C:\\dir\\c' || page_id || '.PDF' WHEN 3 THEN 'd' || page_id || '.txt' WHEN 4 THEN '..' ELSE '' END AS filename,
-    CASE WHEN page_id % 24 = 0 THEN '' WHEN page_id % 6 = 0 THEN '%PDF-' || html WHEN page_id % 12 = 1 THEN html || 'word/document.xml' ELSE html END AS body
+    CASE WHEN page_id % 24 = 0 THEN '' WHEN page_id % 6 = 0 THEN '%PDF-' || html WHEN page_id % 6 = 1 THEN html || 'word/document.xml' ELSE html END AS body,
+    CASE WHEN page_id % 24 = 13 THEN 82 WHEN page_id % 12 = 1 THEN 85 ELSE 0 END AS directory
   FROM pages),
-n AS (SELECT *, regexp_extract(replace(filename, '\\', '/'), '([^/]*)/*$', 1) AS original_filename, octet_length(encode(body)) AS size_bytes FROM f)
+n AS (SELECT *, regexp_extract(replace(filename, '\\', '/'), '([^/]*)/*$', 1) AS original_filename, octet_length(encode(body)) + directory AS size_bytes FROM f)
 SELECT page_id, original_filename, CAST(size_bytes AS INTEGER) AS size_bytes,
   CASE page_id % 6 WHEN 5 THEN 422 WHEN 4 THEN 422 WHEN 3 THEN 415 ELSE
     CASE WHEN size_bytes > 9000 THEN 413 WHEN size_bytes = 0 THEN 422 WHEN page_id % 6 = 2 THEN 422
-         WHEN page_id % 12 = 7 THEN 422 END END AS reject_code
+         WHEN page_id % 12 = 7 OR page_id % 24 = 13 THEN 422 END END AS reject_code
 FROM n""",
 )
 def upload_validation(spark, folder):
-    """Web pages under good and bad names, some with the marks of the two accepted formats."""
+    """Web pages under good and bad names; some only mention the part that a DOCX file must list, and some archives lack it."""
     kind = F.col("page_id") % 6
     number = F.col("page_id").cast("string")
     name = (
@@ -59,11 +66,12 @@ def upload_validation(spark, folder):
     body = (
         F.when(F.col("page_id") % 24 == 0, F.lit(""))
         .when(kind == 0, F.concat(F.lit("%PDF-"), F.col("html")))
-        .when(F.col("page_id") % 12 == 1, F.concat(F.col("html"), F.lit("word/document.xml")))
+        .when(kind == 1, F.concat(F.col("html"), F.lit("word/document.xml")))
         .otherwise(F.col("html"))
     )
+    listed = F.when(F.col("page_id") % 24 == 13, F.lit(_directory(b"word/style.xml"))).when(F.col("page_id") % 12 == 1, F.lit(_directory(b"word/document.xml")))
     files = read_table(spark, folder, "pages", heavy=True).select(
-        "page_id", name.alias("filename"), F.encode(body, "UTF-8").alias("content")
+        "page_id", name.alias("filename"), F.concat(F.encode(body, "UTF-8"), F.coalesce(listed, F.lit(b""))).alias("content")
     )
     return U.validate_uploads(files, _SMALL).select("page_id", "original_filename", "size_bytes", "reject_code")
 

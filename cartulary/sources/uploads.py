@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.config import DEFAULTS, Settings
+from cartulary.functions.archives import has_zip_member
 
 # Accepted types and the messages of rejections.
 MEDIA_TYPES = {
@@ -17,16 +18,20 @@ PDF_MAGIC = b"%PDF-"
 DOCX_MEMBER = b"word/document.xml"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(filename, content)`` of every file under ``path``."""
+def read_files(spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> DataFrame:
+    """``(filename, size_bytes, content)`` of every file under ``path``; those beyond the size limit are never loaded."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("filename"), "content")
+    named = lambda part, content: part.select(F.col("path").alias("filename"), F.col("length").alias("size_bytes"), content)
+    limit = F.lit(settings.max_upload_size_bytes)
+    small, large = files.filter(F.col("length") <= limit), files.filter(F.col("length") > limit)
+    return named(small, F.col("content")).unionByName(named(large, F.lit(None).cast("binary").alias("content")))
 
 
 def validate_uploads(files: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Add safe name, extension, media type, size and, for bad files, ``reject_code`` and ``reject_reason``.
 
-    Checks run in order: name, type, size, content. The size limit is inclusive.
+    Checks run in order: name, type, size, content. The size limit is inclusive. The size is ``size_bytes`` where
+    ``files`` has it, else that of the content. A DOCX file is a ZIP archive that lists the document's part.
     """
     safe = F.regexp_extract(
         F.regexp_replace(F.coalesce("filename", F.lit("")), r"\\", "/"), "([^/]*)/*$", 1
@@ -38,10 +43,11 @@ def validate_uploads(files: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     for extension, media_type in MEDIA_TYPES.items():
         hit = F.col("extension") == extension
         media = F.when(hit, media_type) if media is None else media.when(hit, media_type)
-    sized = named.withColumn("media_type", media).withColumn("size_bytes", F.coalesce(F.length("content"), F.lit(0)))
+    size = F.coalesce("size_bytes", F.octet_length("content")) if "size_bytes" in files.columns else F.octet_length("content")
+    sized = named.withColumn("media_type", media).withColumn("size_bytes", F.coalesce(size, F.lit(0)))
     limit = settings.max_upload_size_bytes
     bad_pdf = (F.col("extension") == "pdf") & (F.substring("content", 1, 5) != F.lit(PDF_MAGIC))
-    bad_docx = (F.col("extension") == "docx") & ~F.contains("content", F.lit(DOCX_MEMBER))
+    bad_docx = (F.col("extension") == "docx") & ~has_zip_member(F.col("content"), DOCX_MEMBER)
     fail = lambda code, reason: F.struct(F.lit(code).alias("code"), F.lit(reason).alias("reason"))
     problem = (
         F.when(F.coalesce("filename", F.lit("")) == "", fail(422, "A filename is required."))
