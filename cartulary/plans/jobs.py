@@ -102,10 +102,27 @@ def answer(
     questions: DataFrame, store: Store, drafts: DataFrame | None = None, settings: Settings = DEFAULTS,
     *, family: str = "blake2b", model: str | None = None,
 ) -> DataFrame:
-    """Context, reply, citations and final state of every question; returns the replies.
+    """Context, reply, citations and states of every question; returns the replies.
 
-    A question on a node that does not exist gets the state ``failed``.
+    The log of states says queued, running, and answered, insufficient_evidence or failed; a question on a node that
+    does not exist fails, and so do all questions of a job that raises.
     """
+    asked = settle(questions)
+    _log(asked, "queued", store)
+    try:
+        _log(asked, "running", store)
+        return _answered(asked, store, drafts, settings, family, model)
+    except Exception as error:
+        _log(asked, "failed", store, f"{type(error).__name__}: {error}"[:500])
+        raise
+
+
+def _log(questions: DataFrame, status: str, store: Store, reason: str | None = None) -> None:
+    states = questions.select("question_id", "node_id", "question", "intent", F.lit(status).alias("status"), F.lit(reason).cast("string").alias("refusal_reason"))
+    append_states(states.withColumn("at", F.current_timestamp()), store.path("question_states"))
+
+
+def _answered(questions: DataFrame, store: Store, drafts: DataFrame | None, settings: Settings, family: str, model: str | None) -> DataFrame:
     spark: SparkSession = questions.sparkSession
     nodes, links = read_store(spark, store.path("nodes")), read_store(spark, store.path("evidence"))
     chunks, vectors = read_store(spark, store.path("chunks")), read_store(spark, store.path("vectors"))

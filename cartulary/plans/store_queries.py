@@ -240,9 +240,19 @@ def reap_counts(spark, folder):
 # Streams
 
 
+_ARRIVALS = 4
+
+
 def _event_stream(spark, folder):
-    schema = read_table(spark, folder, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    """All events, arriving in the order of their times over several batches: a trigger admits one file."""
+    events = read_table(spark, folder, "events")
+    landing = _fresh(spark, "events")
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    span = max(1, -(-((last or 0) - (first or 0) + 1) // _ARRIVALS))
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first or 0)) / F.lit(span))
+    for number in range(_ARRIVALS):
+        events.filter(part == number).coalesce(1).write.mode("append").parquet(landing)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     return source.select(
         F.col("user_id").cast("string").alias("job_id"),
         F.col("event_type").alias("status"),
@@ -292,6 +302,24 @@ def stream_expired(spark, folder):
     return table.groupBy("job_id", "last_status").agg(F.count("*").alias("expirations"))
 
 
+@query(
+    "stream_states",
+    f"""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS job_id, ts, {_SQL_STATUS} AS status FROM events)
+SELECT job_id, status, ts AS since FROM s
+QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY
+  CASE WHEN status IN ('answered', 'failed') THEN 0 ELSE 1 END, CASE WHEN status IN ('answered', 'failed') THEN ts END, ts DESC) = 1""",
+)
+def stream_states(spark, folder):
+    """Queued, running, answered and failed questions; the first end of a question stands against later events."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    events = _event_stream(spark, folder).withColumn("status", _status(F.col("status")))
+    changes = _run_to_table(T.job_states(events, S.TERMINAL, kept_seconds=400 * 86400), spark, "states", "update")
+    return changes.groupBy("job_id").agg(F.max_by(F.struct("status", "ts"), "batch").alias("s")).select("job_id", "s.status", F.col("s.ts").alias("since"))
+
+
 @query(
     "stream_index",
     f"""WITH {SQL_CONVERSATION_SECTIONS}, {sql_spans("conv_sections")}

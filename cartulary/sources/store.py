@@ -198,6 +198,11 @@ def append_states(states: DataFrame, path: str) -> None:
     states.write.mode("append").parquet(path)
 
 
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log; states of different kinds have different columns."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 TERMINAL = ("answered", "insufficient_evidence", "failed")
 
 

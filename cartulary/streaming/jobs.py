@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.window import Window
 
 from cartulary.config import DEFAULTS, Settings
 from cartulary.plans.jobs import Store, index_documents
@@ -19,7 +20,8 @@ OUTCOME_SCHEMA = "job_id string, last_status string, last_ts timestamp_ntz, expi
 
 
 def index_stream(
-    sections: DataFrame, store: Store, checkpoint: str, settings: Settings = DEFAULTS, *, family: str = "blake2b"
+    sections: DataFrame, store: Store, checkpoint: str, settings: Settings = DEFAULTS, *, family: str = "blake2b",
+    newest_by: str | None = None,
 ) -> StreamingQuery:
     """Index the documents of every micro-batch.
 
@@ -31,7 +33,11 @@ def index_stream(
     def index(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         key = F.concat_ws("/", F.col("document_id").cast("string"), F.col("section_index").cast("string"))
-        arrived = settle(batch.withColumn("section_key", key).dropDuplicates(["section_key"]))
+        keyed = batch.withColumn("section_key", key)
+        # Of two versions in one batch the newest stays; without a column that tells, the one whose text sorts last.
+        newest = [F.desc(newest_by)] if newest_by else []
+        nth = F.row_number().over(Window.partitionBy("section_key").orderBy(*newest, F.desc("title"), F.desc("text")))
+        arrived = settle(keyed.withColumn("__nth", nth).filter("__nth = 1").drop("__nth"))
         upsert(arrived, store.path("sections"), "section_key")
         documents = arrived.select("document_id").distinct()
         whole = read_store(spark, store.path("sections")).join(documents, "document_id", "left_semi").drop("section_key")
@@ -46,17 +52,42 @@ def index_stream(
     )
 
 
+class _Outlines(dict):
+    """First time, last time and last status of each stretch of ``limit`` microseconds in which events came.
+
+    Two events of a stretch are never ``limit`` apart, so only its rim can border on a silence. A job's batch is kept as
+    these stretches, however many events it has, and each frame of it is reduced by columns.
+    """
+
+    def __init__(self, limit: int, since: int | None) -> None:
+        super().__init__()
+        self.limit, self.since = limit, since
+
+    def take(self, frame: pd.DataFrame) -> None:
+        own = frame if self.since is None else frame[frame["at"] >= self.since]
+        own = own.sort_values("at", kind="stable")
+        grouped = own.groupby(own["at"] // self.limit).agg(first=("at", "first"), last=("at", "last"), status=("status", "last"))
+        for stretch, first, last, status in grouped.itertuples():
+            known = self.get(stretch)
+            if known is None:
+                self[stretch] = (first, last, status)
+            else:
+                newer = (last, status) if last >= known[1] else known[1:]
+                self[stretch] = (min(first, known[0]), *newer)
+
+
 def expiry_processor(timeout_seconds: int, terminal: tuple[str, ...]) -> StatefulProcessor:
     """State per job: its newest event. A terminal event forgets the job; silence beyond the timeout expires it.
 
     Silence shows either as a gap before the next event or, when nothing follows, through the timer, so the
-    outcome does not depend on how events are cut into batches. A batch holds what one trigger admits.
+    outcome does not depend on how events are cut into batches or frames.
     """
-    limit = pd.Timedelta(seconds=timeout_seconds)
+    limit = timeout_seconds * 1_000_000
 
-    def row(job: str, status: str, at: pd.Timestamp) -> pd.DataFrame:
+    def rows(job: str, found: list[tuple[str, int]]) -> pd.DataFrame:
+        stamps = pd.to_datetime(pd.Series([at for _, at in found], dtype="int64"), unit="us")
         return pd.DataFrame(
-            {"job_id": [job], "last_status": [status], "last_ts": [at], "expired_at": [at + limit]}
+            {"job_id": job, "last_status": [s for s, _ in found], "last_ts": stamps, "expired_at": stamps + pd.Timedelta(seconds=timeout_seconds)}
         )
 
     class Expire(StatefulProcessor):
@@ -65,34 +96,32 @@ def expiry_processor(timeout_seconds: int, terminal: tuple[str, ...]) -> Statefu
             # The event time is kept in microseconds, which no time zone can shift.
             self.last = handle.getValueState("last", "status string, at bigint")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            current = None
-            if self.last.exists():
-                status, at = self.last.get()
-                current = (pd.Timestamp(at, unit="us"), status)
-            arrived = pd.concat([frame[["at", "status"]] for frame in rows]).sort_values("at", kind="stable")
-            for at, status in zip(arrived["at"], arrived["status"], strict=True):
-                stamp = pd.Timestamp(int(at), unit="us")
-                if current is not None:
-                    if stamp < current[0]:
-                        continue
-                    if stamp - current[0] > limit:
-                        yield row(key[0], current[1], current[0])
-                current = None if status in terminal else (stamp, status)
+        def handleInputRows(self, key, frames: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            current = tuple(self.last.get()) if self.last.exists() else None
+            outlines = _Outlines(limit, current[1] if current else None)
+            for frame in frames:
+                outlines.take(frame)
+            expired = []
+            for stretch in sorted(outlines):
+                first, last, status = outlines[stretch]
+                if current is not None and first - current[1] > limit:
+                    expired.append(current)
+                current = None if status in terminal else (status, int(last))
+            if expired:
+                yield rows(key[0], expired)
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if current is None:
                 self.last.clear()
             else:
-                micros = current[0].value // 1000
-                self.last.update((current[1], micros))
-                self.handle.registerTimer(micros // 1000 + timeout_seconds * 1000)
+                self.last.update(current)
+                self.handle.registerTimer(current[1] // 1000 + timeout_seconds * 1000)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             if self.last.exists():
-                status, at = self.last.get()
+                current = tuple(self.last.get())
                 self.last.clear()
-                yield row(key[0], status, pd.Timestamp(at, unit="us"))
+                yield rows(key[0], [current])
 
         def close(self) -> None:
             pass
@@ -100,6 +129,67 @@ def expiry_processor(timeout_seconds: int, terminal: tuple[str, ...]) -> Statefu
     return Expire()
 
 
+def state_processor(terminal: tuple[str, ...], kept_seconds: int) -> StatefulProcessor:
+    """State per job: its current status. The first terminal status stands, and what comes later is ignored.
+
+    The state goes ``kept_seconds`` after the job's last event in event time: a job that ended is held that long to
+    turn late events away, one that never ends does not stay for ever.
+    """
+
+    class Latch(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("state", "status string, at bigint")
+
+        def handleInputRows(self, key, frames: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            held = tuple(self.state.get()) if self.state.exists() else None
+            current = held
+            for frame in frames:
+                if held is not None and held[0] in terminal:
+                    return
+                ended = frame[frame["status"].isin(terminal)]
+                if len(ended):  # the first end of the batch
+                    row = ended.loc[ended["at"].idxmin()]
+                    if current is None or current[0] not in terminal or row["at"] < current[1]:
+                        current = (row["status"], int(row["at"]))
+                elif current is None or current[0] not in terminal:
+                    newest = frame[frame["at"] == frame["at"].max()].iloc[-1]
+                    if current is None or newest["at"] >= current[1]:
+                        current = (newest["status"], int(newest["at"]))
+            if current == held:
+                return
+            self.state.update(current)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(current[1] // 1000 + kept_seconds * 1000)
+            yield pd.DataFrame({"job_id": [key[0]], "status": [current[0]], "ts": pd.to_datetime([current[1]], unit="us")})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            self.state.clear()
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    return Latch()
+
+
+def job_states(
+    events: DataFrame, terminal: tuple[str, ...], settings: Settings = DEFAULTS, *, lateness: str = "5 minutes", kept_seconds: int | None = None
+) -> DataFrame:
+    """Changes of each job's status: (job_id, status, ts). The newest row of a job is its state.
+
+    ``events``: job_id string, status string, ts timestamp. Needs the RocksDB state store.
+    """
+    timed = events.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
+    return timed.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=state_processor(terminal, settings.stale_job_timeout_seconds if kept_seconds is None else kept_seconds),
+        outputStructType="job_id string, status string, ts timestamp_ntz",
+        outputMode="update",
+        timeMode="EventTime",
+    )
+
+
 def expired_jobs(
     events: DataFrame, terminal: tuple[str, ...], settings: Settings = DEFAULTS, *, lateness: str = "5 minutes"
 ) -> DataFrame:
@@ -121,7 +211,7 @@ def expired_jobs(
 
 
 def current_status(events: DataFrame) -> DataFrame:
-    """Running latest status per job; use the update output mode."""
+    """Running latest status per job; use the update output mode. Its state has no end: ``job_states`` is for open streams."""
     return events.groupBy("job_id").agg(
         F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts")
     )

@@ -15,7 +15,7 @@ from cartulary.operators import maintenance as M
 from cartulary.operators import outline as O
 from cartulary.operators import tree as T
 from cartulary.plans.jobs import Store, answer, build_trees, index_documents
-from cartulary.sources.store import current_states, read_store
+from cartulary.sources.store import current_states, read_states, read_store
 from cartulary.sources.uploads import register_parsers
 
 ITEM = "array<struct<label:string,chunk_id:string,text:string,location:string,section_title:string,score:double>>"
@@ -103,7 +103,7 @@ def test_jobs_from_sections_to_answers(spark, tmp_path):
     answer(questions, store)
     links = read_store(spark, store.path("evidence")).filter("target_type = 'answer'")
     assert links.filter("target_id = 'q1'").count() == len(replies["q1"]["citations"])
-    states = current_states(spark.read.parquet(store.path("question_states")))
+    states = current_states(read_states(spark, store.path("question_states")))
     assert {r["question_id"]: r["status"] for r in states.collect()} == {"q1": "answered", "q2": "answered"}
     views = A.answer_views(states.drop("at"), links, read_store(spark, store.path("chunks")))
     view = views.filter("question_id = 'q2'").first()
