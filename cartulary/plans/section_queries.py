@@ -28,10 +28,9 @@ def _raw_lines(spark, folder):
 
 def _numbered_lines(spark, folder):
     numeral = F.substring(F.lit(_DIGITS), F.floor(F.col("i") / 6).cast("int") % 9 + 1, F.lit(1))
-    head = F.substring("raw", 1, 20)
     text = (
-        F.when(F.col("i") % 6 == 0, F.concat(F.lit("第"), numeral, F.lit("章 "), head))
-        .when(F.col("i") % 6 == 2, F.concat(F.lit("（"), numeral, F.lit("）"), head))
+        F.when(F.col("i") % 6 == 0, F.concat(F.lit("第"), numeral, F.lit("章 "), "raw"))
+        .when(F.col("i") % 6 == 2, F.concat(F.lit("（"), numeral, F.lit("）"), "raw"))
         .otherwise(F.col("raw"))
     )
     listed = (F.col("document_id").cast("bigint") % 3 == 0) & (F.col("i") < 8)
@@ -53,8 +52,8 @@ raw AS (
   LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
 lines AS (
   SELECT document_id, i // 8 + 1 AS page_number, i AS line_no, raw,
-    CASE WHEN i % 6 = 0 THEN '第' || substr('{_DIGITS}', CAST(i // 6 % 9 + 1 AS BIGINT), 1) || '章 ' || substr(raw, 1, 20)
-         WHEN i % 6 = 2 THEN '（' || substr('{_DIGITS}', CAST(i // 6 % 9 + 1 AS BIGINT), 1) || '）' || substr(raw, 1, 20)
+    CASE WHEN i % 6 = 0 THEN '第' || substr('{_DIGITS}', CAST(i // 6 % 9 + 1 AS BIGINT), 1) || '章 ' || raw
+         WHEN i % 6 = 2 THEN '（' || substr('{_DIGITS}', CAST(i // 6 % 9 + 1 AS BIGINT), 1) || '）' || raw
          ELSE raw END ||
     CASE WHEN CAST(document_id AS BIGINT) % 3 = 0 AND i < 8 THEN ' …… ' || CAST(i AS VARCHAR) ELSE '' END AS text
   FROM raw)"""
@@ -376,7 +375,7 @@ def page_sections(spark, folder):
     """WITH p AS (
   SELECT CAST(conv_id AS VARCHAR) AS document_id, turn, role,
     CASE WHEN role = 'assistant' THEN 'Section ' || CAST(turn AS VARCHAR) || ' reply'
-         ELSE 'Turn text ' || trim(substr(translate(text, ':;' || chr(10), ',, '), 1, 60)) END AS line FROM conversations),
+         ELSE 'Turn text ' || trim(translate(text, ':;' || chr(10), ',, ')) END AS line FROM conversations),
 f AS (
   SELECT document_id, count(*) AS turns, bool_or(role = 'system') AS marked,
     count(*) FILTER (role = 'assistant') AS replies, min(turn) FILTER (role = 'assistant') AS first FROM p GROUP BY document_id),
@@ -402,7 +401,7 @@ def structure_choice(spark, folder):
     )
     turn = (F.col("page_number") - 1).cast("string")
     line = F.when(F.col("role") == "assistant", F.concat(F.lit("Section "), turn, F.lit(" reply"))).otherwise(
-        F.concat(F.lit("Turn text "), F.trim(F.substring(F.translate("text", ":;\n", ",, "), 1, 60)))
+        F.concat(F.lit("Turn text "), F.trim(F.translate("text", ":;\n", ",, ")))
     )
     lines = pages.select(
         "document_id",
@@ -476,7 +475,7 @@ def fold_misstyled(spark, folder):
 
 def _paragraphs(spark, folder):
     style = F.when(F.col("i") % 5 == 0, "Heading 1").when(F.col("i") % 5 == 3, "heading 3").otherwise("Normal")
-    text = F.when(F.col("i") % 5 == 0, F.substring("raw", 1, 25)).otherwise(F.col("raw"))
+    text = F.col("raw")
     return _raw_lines(spark, folder).select(
         "document_id",
         F.col("i").alias("paragraph_index"),
@@ -488,7 +487,7 @@ def _paragraphs(spark, folder):
 
 _SQL_PARAGRAPHS = f"""{_SQL_LINES},
 para AS (
-  SELECT document_id, line_no AS i, trim(CASE WHEN line_no % 5 = 0 THEN substr(raw, 1, 25) ELSE raw END, ' ' || chr(9) || chr(13)) AS body FROM lines),
+  SELECT document_id, line_no AS i, trim(raw, ' ' || chr(9) || chr(13)) AS body FROM lines),
 level AS (
   SELECT document_id, i, body, regexp_replace(body, '\\s+', ' ', 'g') AS line,
     coalesce({_sql_level("body")}, CASE WHEN length(regexp_replace(body, '\\s+', ' ', 'g')) <= 80
