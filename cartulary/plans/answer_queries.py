@@ -171,13 +171,13 @@ def assistant_prompts(spark, folder):
     )
 
 
-# Contexts whose evidence is simply the first three chunks of a conversation, in order.
+# Contexts whose evidence is simply the chunks of a conversation, in order.
 
 _SQL_FIRST = f"""{SQL_CONVERSATION_SECTIONS}, {sql_spans("conv_sections")},
 item AS (
   SELECT document_id, chunk_index, title, text, {_CHUNK_ID} AS chunk_id,
     'c' || CAST(chunk_index + 1 AS VARCHAR) AS label, 1.0 / (chunk_index + 2) AS score
-  FROM chunked WHERE chunk_index < 3)"""
+  FROM chunked)"""
 
 
 def _first_contexts(spark, folder):
@@ -192,8 +192,7 @@ def _first_contexts(spark, folder):
         (1.0 / (F.col("chunk_index") + 2)).alias("score"),
     )
     evidence = (
-        chunks.filter("chunk_index < 3")
-        .groupBy("document_id")
+        chunks.groupBy("document_id")
         .agg(F.sort_array(F.collect_list(F.struct("chunk_index", item.alias("item")))).alias("l"))
     )
     turn = sections.filter("level = 3").select("document_id", "section_index", "title")
@@ -255,7 +254,7 @@ def outline_quiz(spark, folder):
     "extractive_answer",
     f"""WITH RECURSIVE doc_sections AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, 0 AS section_index, '' AS title, text FROM documents),
 {sql_spans("doc_sections")},
-item AS (SELECT document_id, chunk_index AS i, {sql_collapse("text")} AS clean FROM chunked WHERE chunk_index < 3),
+item AS (SELECT document_id, chunk_index AS i, {sql_collapse("text")} AS clean FROM chunked),
 pieces AS (
   SELECT document_id, i, clean, list_filter(list_transform(regexp_extract_all(clean, '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$'), lambda p: ltrim(p)), lambda p: p <> '') AS p FROM item),
 sums AS (SELECT *, list_transform(range(1, len(p) + 1), lambda j: list_sum(list_transform(p[1:j], lambda x: length(x)))) AS c FROM pieces),
@@ -272,8 +271,8 @@ SELECT document_id, array_to_string(quotes, chr(10) || chr(10)) AS answer, CAST(
 FROM fold QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY i DESC) = 1""",
 )
 def extractive_answer(spark, folder):
-    """Quotes from the first three chunks of every document."""
-    chunks = chunk_sections(document_sections(spark, folder), single_section=True).filter("chunk_index < 3")
+    """Quotes from the chunks of every document, until the budget is spent."""
+    chunks = chunk_sections(document_sections(spark, folder), single_section=True)
     item = F.struct(
         F.lit("c").alias("label"), "chunk_id", "text", F.lit("source").alias("location"), "section_title", F.lit(0.7).alias("score")
     )
@@ -293,7 +292,7 @@ q AS (SELECT DISTINCT document_id, CAST(document_id AS BIGINT) AS n FROM item),
 cites AS (
   SELECT document_id, min(pos) AS pos, chunk_id FROM (
     SELECT q.document_id, u.pos, i.chunk_id FROM q,
-      LATERAL (SELECT * FROM (VALUES (1, 'c2'), (2, CASE WHEN n % 3 = 0 THEN 'c9' ELSE 'c1' END), (3, 'c2')) AS v(pos, label)) u
+      LATERAL (SELECT * FROM (VALUES (1, 'c2'), (2, CASE WHEN n % 3 = 0 THEN 'c0' ELSE 'c1' END), (3, 'c2')) AS v(pos, label)) u
     JOIN item i ON i.document_id = q.document_id AND i.label = u.label WHERE n % 4 <> 1)
   GROUP BY document_id, chunk_id),
 cited AS (SELECT document_id, string_agg(chunk_id, '|' ORDER BY pos) AS ids FROM cites GROUP BY document_id),
@@ -307,13 +306,13 @@ state AS (
 
 def _drafts(contexts):
     number = F.col("question_id").cast("bigint")
-    labels = F.when(number % 4 == 1, F.array(F.lit("c7"))).otherwise(
-        F.array(F.lit(" C2 "), F.when(number % 3 == 0, "c9").otherwise("c1"), F.lit("c2"))
+    labels = F.when(number % 4 == 1, F.array(F.lit("c0"))).otherwise(
+        F.array(F.lit(" C2 "), F.when(number % 3 == 0, "c0").otherwise("c1"), F.lit("c2"))
     )
     item = lambda q, a, label: F.struct(
         F.lit(q).alias("question"), F.lit(a).alias("answer"), F.array(F.lit(label)).alias("cited_evidence_ids")
     )
-    quiz = F.array(item(" q1 ", "a1", "c1"), item("q2", "a2", "c8"))
+    quiz = F.array(item(" q1 ", "a1", "c1"), item("q2", "a2", "c0"))
     return contexts.select(
         "question_id",
         F.concat(F.lit(" draft "), F.col("question_id")).alias("answer"),
