@@ -19,18 +19,21 @@ _SIZES = ((CLASSES, WIDTH), (CLASSES, WIDTH), (CONTEXT * WIDTH, WIDTH), (CLASSES
 PARAMETERS = sum(int(np.prod(s)) for s in _SIZES)
 
 
-class WordShapes(dict):
-    """Shared class of a word; forgets all beyond ``limit`` words."""
-
-    def __init__(self, limit: int = 400_000) -> None:
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = OWN + zlib.crc32(word[-2:]) % SHAPES
-        return value
+def shape_of(ending: bytes) -> int:
+    """Shared class of the words that end in these bytes."""
+    return OWN + zlib.crc32(ending[-2:]) % SHAPES
+
+
+class WordShapes:
+    """Shared classes by the last two bytes, or the only one, of a word."""
+
+    def __init__(self) -> None:
+        self.one = np.array([shape_of(bytes([x])) for x in range(256)], np.uint8)
+        self.two = np.array([shape_of(bytes(divmod(x, 256))) for x in range(65_536)], np.uint8)
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        last = data[ends - 1].astype(np.int64)
+        return np.where(ends - starts > 1, self.two[data[np.maximum(ends - 2, 0)].astype(np.int64) << 8 | last], self.one[last])
 
 
 @dataclass(frozen=True)

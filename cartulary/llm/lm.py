@@ -21,14 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.lbl import CLASSES, OWN, PARAMETERS, SHAPES, Trainer, WordShapes, log10_table, start
-from cartulary.llm.neardup_sketch import WordHashes, words_of
+from cartulary.llm.lbl import CLASSES, OWN, PARAMETERS, Trainer, WordShapes, log10_table, shape_of, start
+from cartulary.llm.words import words_in
 from cartulary.session import settle
 
 HEAD = 65_536
 SMOOTHING = 0.1
 WARM_BATCHES = 60
-END = b""
 
 
 @dataclass(frozen=True)
@@ -44,20 +43,30 @@ class Counts:
     shares: np.ndarray
 
 
+#: Digest and shared class of the end that follows a text's words.
+END, END_SHAPE = 0, shape_of(b"")
+
+
 class Reader:
-    """Digests and shared classes of the tokens of texts."""
+    """Digests and shared classes of the tokens of texts, many texts at once."""
 
     def __init__(self) -> None:
-        self.hashes, self.shapes = WordHashes(), WordShapes()
+        self.shapes = WordShapes()
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(digests, shapes, tokens of each text), texts one after the other."""
-        lists = [[*words_of(t), END] for t in texts]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(sizes.sum())
-        digests = np.fromiter((h for words in lists for h in map(self.hashes.__getitem__, words)), np.uint64, total)
-        shapes = np.fromiter((s for words in lists for s in map(self.shapes.__getitem__, words)), np.uint8, total)
-        return digests.view(np.int64), shapes, sizes
+        parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        joined = b" ".join(parts)
+        codes, starts, ends = words_in(joined)
+        before = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+        sizes = np.diff(before) + 1
+        ending = np.cumsum(sizes) - 1
+        inside = np.ones(len(codes) + len(parts), bool)
+        inside[ending] = False
+        digests, shapes = np.full(len(inside), END, np.int64), np.full(len(inside), END_SHAPE, np.uint8)
+        digests[inside] = codes.view(np.int64)
+        shapes[inside] = self.shapes.of(np.frombuffer(joined, np.uint8), starts, ends)
+        return digests, shapes, sizes
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -133,9 +142,8 @@ def _contexts(classes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndar
     return first, second
 
 
-def _end_class(counts: Counts, reader: Reader) -> int:
-    digest = np.array([reader.hashes[END]], np.uint64).view(np.int64)
-    return int(_classes(counts, digest, np.array([reader.shapes[END]], np.uint8))[0][0])
+def _end_class(counts: Counts) -> int:
+    return int(_classes(counts, np.array([END], np.int64), np.array([END_SHAPE], np.uint8))[0][0])
 
 
 def train(training: DataFrame, counts: Counts) -> np.ndarray:
@@ -148,7 +156,7 @@ def train(training: DataFrame, counts: Counts) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], flat=flat, whole=whole) -> Iterator[pa.RecordBatch]:
             reader, seen = Reader(), 0
             trainer = Trainer(flat, counts.shares, part=TaskContext.get().partitionId())
-            end = _end_class(counts, reader)
+            end = _end_class(counts)
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     if not whole and trainer.turn >= WARM_BATCHES:
@@ -192,7 +200,7 @@ def _read(own: DataFrame, counts: Counts, flat: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, nth, part = Reader(), 0, TaskContext.get().partitionId()
-        table, end = _table(flat), _end_class(counts, reader)
+        table, end = _table(flat), _end_class(counts)
         logs = np.log10(counts.counts + SMOOTHING) if len(counts.counts) else np.zeros(1)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

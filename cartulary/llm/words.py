@@ -37,15 +37,19 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_codes(text: bytes) -> np.ndarray:
-    """64-bit hash of each word; texts beyond a few megabytes go through in slabs that end at white space."""
-    codes, at = [np.empty(0, np.uint64)], 0
+def words_in(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and end of each word; beyond a few megabytes a text goes through in slabs that end at white space."""
+    parts, at = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))], 0
     while at < len(text):
         end = min(at + _SLAB, len(text))
         while end < len(text) and not _SPACE[text[end]]:
             end += 1
         data = np.frombuffer(text, np.uint8, end - at, at)
         edges = np.flatnonzero(np.diff(~_SPACE[data], prepend=False, append=False))
-        codes.append(span_hashes(_VALUES[data], edges[::2], edges[1::2], BYTES))
+        parts.append((span_hashes(_VALUES[data], edges[::2], edges[1::2], BYTES), edges[::2] + at, edges[1::2] + at))
         at = end
-    return np.concatenate(codes)
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    return words_in(text)[0]
