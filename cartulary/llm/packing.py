@@ -34,33 +34,30 @@ KEPT_GAPS = (2048, 32, 16, 8, 4, 2, 1)
 CLOSING_ID = (0).to_bytes(4, "little")
 _UNUSUAL_SPACE = re.compile("[\x1c-\x1f]")
 _MARKS_AT_END = re.compile(r"(?<=[0-9A-Za-z])([!-/:-@\[-^`{-~]+)(?!\S)")
-_MARKS_AFTER_OTHERS = re.compile(r"([^\W_\x00-\x7f])([!-/:-@\[-^`{-~]+)(?!\S)")
+_MARKS_AT_ANY_END = re.compile(r"(?<=[^\W_])([!-/:-@\[-^`{-~]+)(?!\S)")
 _TOGETHER = 200
 #: Words that the tokenizer gets at once, and characters of the texts that are split at once.
 _WORDS_AT_ONCE, _CHARACTERS_AT_ONCE = 8000, 2_000_000
 
 
 @cache
-def _stays_letter(character: str) -> bool:
-    """Whether a letter or digit still ends in one after the tokenizer's NFC and lower-casing; else marks join its end."""
-    return unicodedata.category(unicodedata.normalize("NFC", character).lower()[-1])[0] in "LN"
-
-
-def _parted(found: re.Match) -> str:
-    return f"{found[1]} {found[2]}" if _stays_letter(found[1]) else found[0]
+def _ending_in_marks() -> re.Pattern:
+    """Letters and digits that no longer end in one after the tokenizer's NFC and lower-casing; ASCII marks join their end."""
+    ends = lambda c: unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0]
+    return re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and ends(c) not in "LN") + "]")
 
 
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer ends every token at white space, and between a letter or digit and ASCII marks that end a word (unless
-    its normal form ends in a combining mark), so such words and marks are encoded once and kept; an ASCII text is lower-cased first, as the tokenizer does. The
+    The tokenizer ends every token at white space, and between a letter or digit and ASCII marks that end a word (in
+    texts with letters whose normal form ends in a combining mark, only after ASCII ones), so such words and marks are encoded once and kept; an ASCII text is lower-cased first, as the tokenizer does. The
     first ``limit`` words met are kept, which hold the frequent ones; others are encoded again in each block. Words of
     letters alone are encoded many at a time and told apart by the tokens that end a word. Texts with the four
     separators that only Python calls white space, or that may hold a special token, are encoded whole.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 200_000) -> None:
+    def __init__(self, tokenizer_file: str, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -93,8 +90,10 @@ class WordIds:
     def _words(self, text: str) -> list[str] | None:
         if _UNUSUAL_SPACE.search(text) or ("<|" in text and "|>" in text):
             return None
-        split = _MARKS_AT_END.sub(r" \1", text)
-        return (split.lower() if split.isascii() else _MARKS_AFTER_OTHERS.sub(_parted, split)).split()
+        if text.isascii():
+            return _MARKS_AT_END.sub(r" \1", text).lower().split()
+        marks = _MARKS_AT_END if _ending_in_marks().search(text) else _MARKS_AT_ANY_END
+        return marks.sub(r" \1", text).split()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; as many texts are split at once as their characters allow."""
