@@ -9,8 +9,9 @@ A host with few pages says nothing about repetition, so the elements that HTML i
 class and id words that authors use for them, are of no importance on any host. Where a page marks its article or
 main part, only that part is read, and its headings, paragraphs and lists stay, however often a host repeats them.
 
-Equal pages count once in a tree. Trees are grouped sums by host and path; the removable paths of a host meet its
-pages by a join on the host and one of ``SHARES`` shares of its pages, so that a host with many pages is split.
+Equal pages count once in a tree. Trees are grouped sums by host and path. The hosts' removable paths are a small table
+that is written before it meets the pages, so that its size decides how they are joined; page contents are shuffled only
+where it is too large to be sent to them.
 
 Defined cases: a null or empty page has an empty text; markup that is never closed ends with the page; a url without a
 host belongs to the host ''; repeated rows are extracted each; other columns are ignored.
@@ -35,7 +36,6 @@ from cartulary.session import settle
 
 LEAST_PAGES = 5
 LEAST_IMPORTANCE = 0.35
-SHARES = 32
 
 # Element names of HTML, and words of class and id attributes that name surroundings.
 RAW = {"script", "style", "noscript", "template", "textarea", "select", "svg", "iframe", "object", "title", "math", "canvas", "video", "audio"}
@@ -266,10 +266,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     parsed = settle(parse(pages))
     low = importance(parsed).where((F.col("pages") >= LEAST_PAGES) & (F.greatest("presentation", "content") < LEAST_IMPORTANCE))
-    removed = low.groupBy("site").agg(F.collect_list("path").alias("removed"))
-    # a host's pages are dealt over several tasks, each with a copy of the host's few removable paths
-    removed = removed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    dealt = parsed.select("page_id", "url", "site", "packed", F.pmod(F.xxhash64("page_id", "url"), F.lit(SHARES)).cast("int").alias("share"))
-    return dealt.join(removed, ["site", "share"], "left").select("page_id", "url", "packed", "removed").mapInArrow(
+    removed = settle(low.groupBy("site").agg(F.collect_list("path").alias("removed")))
+    return parsed.select("page_id", "url", "site", "packed").join(removed, "site", "left").select("page_id", "url", "packed", "removed").mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
