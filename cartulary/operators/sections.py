@@ -202,6 +202,13 @@ def garbled_labels(lines: DataFrame) -> DataFrame:
     )
 
 
+def opener_titles(lines: DataFrame) -> DataFrame:
+    """``(document_id, seq, chapter_title)`` of the lines that open a chapter without a label."""
+    read = _classify(lines)
+    kind = F.when(F.col("opens"), "opener").when(F.col("level").isNotNull(), "heading")
+    return _chapter_titles(settle(read.withColumn("kind", kind)))
+
+
 def heading_sections(lines: DataFrame) -> DataFrame:
     """Sections cut at the lines that are headings; documents with fewer than two headings give none.
 

@@ -196,3 +196,97 @@ def label_sections(spark, folder):
     """Sections of lines with chapters, labels, garbled labels and list items, which count as headings below a label."""
     sections = S.number_sections(S.heading_sections(_labelled_lines(spark, folder)))
     return sections.select("document_id", "section_index", "title", "level", "text")
+
+
+_CHAPTERS = ("七", "九", "十", "十二", "十九", "三十", "九十八")
+
+
+def _opened_lines(spark, folder):
+    """Pages of eight lines: a short line over numbered sections on each, and a numbered chapter at the end of every fifth."""
+    turn = F.col("i") % 8
+    chapter = F.get(F.array(*[F.lit(x) for x in _CHAPTERS]), (F.floor(F.col("i") / 40) % len(_CHAPTERS)).cast("int"))
+    front = (
+        F.when(F.col("i") % 40 == 39, F.concat(F.lit("第"), chapter, F.lit("章 ")))
+        .when(turn == 0, F.lit("AB 论 "))
+        .when(turn == 1, F.lit("一、"))
+        .when(turn == 3, F.lit("(=) "))
+        .when(turn == 4, F.lit("二、"))
+        .otherwise("")
+    )
+    return _raw_lines(spark, folder).select(
+        "document_id",
+        (F.floor(F.col("i") / 8) + 1).cast("int").alias("page_number"),
+        F.col("i").alias("line_no"),
+        F.concat(front, "raw").alias("text"),
+        F.lit(None).cast("double").alias("size"),
+        F.lit(False).alias("from_ocr"),
+    )
+
+
+_SQL_OPENED = f"""
+raw AS (
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, i - 1 AS i, l[i] AS raw
+  FROM (SELECT doc_id, string_split(translate(text, ':;', ',,'), chr(10)) AS l FROM documents),
+  LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+fronted AS (
+  SELECT document_id, i // 8 + 1 AS page_number, i AS line_no, CASE
+    WHEN i % 40 = 39 THEN '第' || ['{"', '".join(_CHAPTERS)}'][CAST(i // 40 % {len(_CHAPTERS)} + 1 AS BIGINT)] || '章 '
+    WHEN i % 8 = 0 THEN 'AB 论 ' WHEN i % 8 = 1 THEN '一、' WHEN i % 8 = 3 THEN '(=) ' WHEN i % 8 = 4 THEN '二、' ELSE '' END || raw AS text
+  FROM raw),
+leveled AS (SELECT *, {_T} AS t, {_sql_level("text")} AS level FROM fronted WHERE {_T} <> ''),
+marked AS (
+  SELECT *, regexp_matches(t, '[.·…]{{2,}}') OR (regexp_matches(t, '[0-9]\\s*[-–—]?\\s*$') AND level IS NOT NULL) AS entry FROM leveled),
+contents AS (
+  SELECT document_id, page_number FROM marked WHERE length(t) >= 3
+  GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (entry) / count(*) >= 0.5),
+kept AS (SELECT m.* FROM marked m ANTI JOIN contents c USING (document_id, page_number)),
+seen AS (
+  SELECT *, row_number() OVER p AS n, lead(numbered) OVER p AS next, sum(numbered) OVER (p ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS ahead
+  FROM (SELECT *, CAST(regexp_matches(t, '^[一二三四五六七八九十百千万零〇两]{{1,3}}[、.．]\\s*\\S') AS INTEGER) AS numbered FROM kept)
+  WINDOW p AS (PARTITION BY document_id, page_number ORDER BY line_no)),
+opener AS (
+  SELECT document_id, page_number, arg_min(t, n) AS opener FROM seen
+  WHERE n <= 8 AND next = 1 AND ahead >= 2 AND level IS NULL AND length(t) <= 40 AND right(t, 1) NOT IN ('。', '；', '，', ';', ',', ':', '：')
+  GROUP BY ALL),
+events AS (
+  SELECT k.*, t = opener AS opens, NOT coalesce(t = opener, false) AND level = 1 AS heads
+  FROM kept k LEFT JOIN opener o USING (document_id, page_number) WHERE t = opener OR level = 1),
+based AS (
+  SELECT *, max(CASE WHEN heads THEN line_no END) OVER (PARTITION BY document_id ORDER BY line_no) AS base FROM events),
+counted AS (
+  SELECT o.*, h.t AS head, count(*) OVER (PARTITION BY o.document_id, o.base ORDER BY o.line_no) AS nth
+  FROM based o LEFT JOIN based h ON h.document_id = o.document_id AND h.line_no = o.base WHERE o.opens),
+numbered AS (
+  SELECT *, [7, 9, 10, 12, 19, 30, 98][list_position(['{"', '".join(_CHAPTERS)}'], regexp_extract(head, '^第([一二三四五六七八九十]+)章', 1))] + nth AS number,
+    trim(regexp_replace(t, '^AB\\s+', '')) AS title FROM counted)"""
+
+
+@query(
+    "chapter_openers",
+    f"""WITH {_SQL_OPENED}
+SELECT document_id, CAST(page_number AS INTEGER) AS page_number, CAST(line_no AS INTEGER) AS line_no,
+  CASE WHEN number <= 99 THEN '第' || CASE WHEN number < 10 THEN substr('零一二三四五六七八九', number + 1, 1)
+      ELSE CASE WHEN number < 20 THEN '' ELSE substr('零一二三四五六七八九', number // 10 + 1, 1) END || '十' ||
+        CASE WHEN number % 10 = 0 THEN '' ELSE substr('零一二三四五六七八九', number % 10 + 1, 1) END END || '章 ' || title
+    ELSE title END AS chapter_title
+FROM numbered""",
+)
+def chapter_openers(spark, folder):
+    """Short lines over numbered sections, numbered on from the chapter before them."""
+    titles = S.opener_titles(_opened_lines(spark, folder))
+    line = S.line_number(F.col("seq"))
+    return titles.select("document_id", (F.floor(line / 8) + 1).cast("int").alias("page_number"), line.alias("line_no"), "chapter_title")
+
+
+@query(
+    "repaired_numerals",
+    f"""WITH {_SQL_OPENED}
+SELECT document_id, CAST(line_no AS INTEGER) AS line_no, substr(regexp_replace(regexp_replace(t, '\\s+', ' ', 'g'), '^\\(=\\)', '(二)'), 1, 160) AS title
+FROM leveled WHERE level IS NOT NULL""",
+)
+def repaired_numerals(spark, folder):
+    """Headings as titles: one numeral in brackets that scans misread is put right."""
+    lines = _opened_lines(spark, folder)
+    return lines.filter(H.heading_level(F.col("text")).isNotNull()).select(
+        "document_id", F.col("line_no").cast("int").alias("line_no"), H.normalize_heading(F.col("text")).alias("title")
+    )
