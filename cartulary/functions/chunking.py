@@ -12,7 +12,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartulary.functions.text import is_blank, let, strip
+from cartulary.functions.text import doublings, is_blank, let, power_of_two, strip
 
 # Line boundaries as str.splitlines sees them.
 _BREAK = r"\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
@@ -45,22 +45,13 @@ def _span(start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
-def _steps(size: Column) -> Column:
-    """0, 1, ... while ``2 ** step`` is below ``size``; one step at least."""
-    return F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(size.cast("double"))).cast("int") - 1, F.lit(0)))
-
-
-def _power(step: Column) -> Column:
-    return F.pow(F.lit(2.0), step).cast("int")
-
-
 def running_sums(numbers: Column) -> Column:
     """Sums of the first 1, 2, ... numbers: after each step every sum reaches twice as far back."""
 
     def doubled(sums: Column, step: Column) -> Column:
-        return F.transform(sums, lambda x, i: x + F.when(i >= _power(step), F.get(sums, i - _power(step))).otherwise(F.lit(0)))
+        return F.transform(sums, lambda x, i: x + F.when(i >= power_of_two(step), F.get(sums, i - power_of_two(step))).otherwise(F.lit(0)))
 
-    return F.aggregate(_steps(F.size(numbers)), numbers, doubled)
+    return F.aggregate(doublings(F.size(numbers)), numbers, doubled)
 
 
 def block_spans(text: Column) -> Column:
@@ -107,10 +98,10 @@ def window_spans(blocks: Column, max_characters: int, overlap_characters: int) -
         limit = opens(block) + max_characters
 
         def nearer(found: Column, step: Column) -> Column:
-            further = found + _power(step)
+            further = found + power_of_two(step)
             return F.when(F.get(blocks, further - 1)["end"] <= limit, further).otherwise(found)
 
-        return F.aggregate(F.reverse(_steps(F.size(blocks) + 1)), F.lit(0), nearer)
+        return F.aggregate(F.reverse(doublings(F.size(blocks) + 1)), F.lit(0), nearer)
 
     def chained(pointers: Column) -> Column:
         """Blocks that open a window: the chain is twice as long after each step, and pointers reach twice as far."""
@@ -122,7 +113,7 @@ def window_spans(blocks: Column, max_characters: int, overlap_characters: int) -
             jump = F.transform(acc["jump"], lambda i: F.coalesce(onward(i), F.size(acc["jump"])))
             return F.struct(jump.alias("jump"), F.concat(acc["chain"], further).alias("chain"))
 
-        return F.aggregate(_steps(F.size(pointers) + 1), start, doubled, lambda acc: acc["chain"])
+        return F.aggregate(doublings(F.size(pointers) + 1), start, doubled, lambda acc: acc["chain"])
 
     def windows(pointers: Column) -> Column:
         def at(i: Column) -> Column:

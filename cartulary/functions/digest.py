@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartulary.functions.text import collapse, let, shorten
+from cartulary.functions.text import collapse, doublings, let, power_of_two, shorten
 
 # Word lists, patterns and limits that decide the result.
 LATIN_WORD = r"[A-Za-z][A-Za-z0-9\-]{1,}"
@@ -111,23 +111,36 @@ def length_penalty(term: Column) -> Column:
 
 
 def term_counts(words: Column) -> Column:
-    """``map<term, count>`` of a term array, from run boundaries in its sorted copy."""
+    """``struct<terms, counts>`` of a term array, terms in order, from run boundaries in its sorted copy."""
 
     def runs(ordered: Column) -> Column:
-        def widths(distinct: Column) -> Column:
-            starts = F.transform(distinct, lambda d: F.array_position(ordered, d))
+        begins = lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), begins)
+
+        def counted(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(ordered)))
+            return F.struct(
+                F.transform(at, lambda i: F.get(ordered, i)).alias("terms"),
+                F.zip_with(ends, at, lambda e, s: (e - s).cast("bigint")).alias("counts"),
+            )
 
-            def gaps(at: Column) -> Column:
-                ends = F.slice(
-                    F.array_append(at, F.size(ordered).cast("bigint") + 1), F.lit(2), F.size(distinct)
-                )
-                return F.map_from_arrays(distinct, F.zip_with(ends, at, lambda e, s: e - s))
+        none = F.struct(F.array().cast(_STRING_ARRAY).alias("terms"), F.array().cast("array<bigint>").alias("counts"))
+        return F.when(F.size(ordered) > 0, let(starts, counted)).otherwise(none)
 
-            return let(starts, gaps)
+    return let(F.sort_array(words), runs)
 
-        return let(F.array_distinct(ordered), widths)
 
-    return let(F.sort_array(words), runs)
+def count_of(counts: Column, term: Column) -> Column:
+    """A term's count, 0 for one that is not there, by binary search."""
+
+    def nearer(below: Column, step: Column) -> Column:
+        further = below + power_of_two(step)
+        return F.when(F.get(counts["terms"], further - 1) < term, further).otherwise(below)
+
+    def at(place: Column) -> Column:
+        return F.when(F.get(counts["terms"], place) == term, F.get(counts["counts"], place)).otherwise(F.lit(0).cast("bigint"))
+
+    return let(F.aggregate(F.reverse(doublings(F.size(counts["terms"]) + 1)), F.lit(0), nearer), at)
 
 
 def summarize(text: Column, limit: int = SUMMARY_CHARACTERS) -> Column:
@@ -140,7 +153,7 @@ def summarize(text: Column, limit: int = SUMMARY_CHARACTERS) -> Column:
             def score(sentence: Column, position: Column) -> Column:
                 def total(words: Column) -> Column:
                     hits = F.aggregate(
-                        words, F.lit(0).cast("bigint"), lambda acc, w: acc + F.coalesce(F.try_element_at(counts, w), F.lit(0))
+                        words, F.lit(0).cast("bigint"), lambda acc, w: acc + count_of(counts, w)
                     )
                     weight = hits / F.sqrt(F.size(words).cast("double"))
                     early = weight * (1.0 - position * POSITION_DISCOUNT)

@@ -36,6 +36,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def doublings(size: Column) -> Column:
+    """0, 1, ... while ``2 ** step`` is below ``size``; one step at least."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(size.cast("double"))).cast("int") - 1, F.lit(0)))
+
+
+def power_of_two(step: Column) -> Column:
+    return F.pow(F.lit(2.0), step).cast("int")
+
+
 def explode_once(frame: DataFrame, keep: list, array: Column, name: str, position: str | None = None) -> DataFrame:
     """One row per array element, where ``array`` is costly to compute and its elements are not null.
 
