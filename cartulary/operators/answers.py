@@ -206,6 +206,34 @@ def outline_quiz(context: Column) -> Column:
     return _result(answer, F.array(first), F.lit(QUIZ_CONFIDENCE), F.lit(None), items)
 
 
+# Limits of a draft.
+MAX_LABELS, MAX_QUIZ_ITEMS, MAX_QUIZ_LABELS = 8, 8, 6
+
+
+def draft_problem(draft: Column) -> Column:
+    """Why a model's draft is no answer at all, null for a usable one; over-long texts are trimmed and no problem."""
+    items = F.coalesce(draft["quiz_items"], _none("array<struct<question:string,answer:string,cited_evidence_ids:array<string>>>"))
+    missing = lambda text: F.coalesce(F.length(text), F.lit(0)) == 0
+    outside = ~F.coalesce(draft["confidence"].between(0.0, 1.0), F.lit(False))
+    listed = lambda labels: F.coalesce(F.size(F.coalesce(labels, _none(_STRINGS))), F.lit(0))
+    return (
+        F.when(missing(draft["answer"]), "The draft has no answer.")
+        .when(outside, "The draft's confidence is not between 0 and 1.")
+        .when(listed(draft["cited_evidence_ids"]) > MAX_LABELS, "The draft cites too many blocks.")
+        .when(F.size(items) > MAX_QUIZ_ITEMS, "The draft has too many quiz items.")
+        .when(
+            F.exists(items, lambda q: missing(q["question"]) | missing(q["answer"]) | (listed(q["cited_evidence_ids"]) > MAX_QUIZ_LABELS)),
+            "A quiz item is incomplete or cites too many blocks.",
+        )
+    )
+
+
+def rejected_drafts(drafts: DataFrame) -> DataFrame:
+    """``(question_id, problem)`` of the drafts that are no answers."""
+    draft = F.struct(*[c for c in drafts.columns if c != "question_id"])
+    return drafts.select("question_id", draft_problem(draft).alias("problem")).filter(F.col("problem").isNotNull())
+
+
 def validated_draft(draft: Column, context: Column, intent: Column) -> Column:
     """Keep only what cites evidence of the context; refuse otherwise.
 

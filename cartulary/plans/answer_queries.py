@@ -502,3 +502,35 @@ def apply_enrichment(spark, folder):
         F.when(F.col("taken"), F.col("summary")).alias("summary"),
         F.when(F.col("taken"), F.array_join("keywords", "|")).alias("keywords"),
     )
+
+
+@query(
+    "draft_problems",
+    """WITH d AS (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS answer,
+    CASE doc_id % 7 WHEN 0 THEN 1.5 WHEN 1 THEN NULL WHEN 2 THEN -0.1 ELSE 0.5 END AS confidence, doc_id % 12 AS labels, doc_id % 11 AS items,
+    CASE WHEN doc_id % 13 = 4 THEN 7 ELSE 1 END AS item_labels, CASE WHEN doc_id % 17 = 5 THEN '' ELSE 'a' END AS reply FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS question_id, CASE WHEN coalesce(length(answer), 0) = 0 THEN 'The draft has no answer.'
+    WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'The draft''s confidence is not between 0 and 1.'
+    WHEN labels > 8 THEN 'The draft cites too many blocks.' WHEN items > 8 THEN 'The draft has too many quiz items.'
+    WHEN items > 0 AND (reply = '' OR item_labels > 6) THEN 'A quiz item is incomplete or cites too many blocks.' END AS problem
+FROM d WHERE problem IS NOT NULL""",
+)
+def draft_problems(spark, folder):
+    """Whole texts as drafts, some without an answer, with a wrong confidence or too many labels or quiz items."""
+    number = F.col("doc_id")
+    label = F.lit("c1")
+    item = F.struct(
+        F.lit("q").alias("question"),
+        F.when(number % 17 == 5, "").otherwise("a").alias("answer"),
+        F.array_repeat(label, F.when(number % 13 == 4, 7).otherwise(1)).alias("cited_evidence_ids"),
+    )
+    drafts = read_table(spark, folder, "documents", heavy=True).select(
+        number.cast("string").alias("question_id"),
+        F.when(number % 5 == 0, "").otherwise(F.col("text")).alias("answer"),
+        F.array_repeat(label, (number % 12).cast("int")).alias("cited_evidence_ids"),
+        F.when(number % 7 == 0, 1.5).when(number % 7 == 2, -0.1).when(number % 7 != 1, 0.5).alias("confidence"),
+        F.lit(False).alias("insufficient_evidence"),
+        F.array_repeat(item, (number % 11).cast("int")).alias("quiz_items"),
+    )
+    return A.rejected_drafts(drafts)

@@ -126,6 +126,12 @@ def _answered(questions: DataFrame, store: Store, drafts: DataFrame | None, sett
     spark: SparkSession = questions.sparkSession
     nodes, links = read_store(spark, store.path("nodes")), read_store(spark, store.path("evidence"))
     chunks, vectors = read_store(spark, store.path("chunks")), read_store(spark, store.path("vectors"))
+    if drafts is not None:  # a draft that is no answer fails its question
+        rejected = settle(A.rejected_drafts(drafts))
+        failed = questions.join(rejected, "question_id").select("question_id", "node_id", "question", "intent", F.lit("failed").alias("status"), F.col("problem").alias("refusal_reason"))
+        append_states(failed.withColumn("at", F.current_timestamp()), store.path("question_states"))
+        questions = questions.join(rejected, "question_id", "left_anti")
+        drafts = drafts.join(rejected, "question_id", "left_anti")
     contexts = settle(A.node_contexts(questions, nodes, links, chunks, vectors, settings, family=family))
     replies = settle(A.answer_questions(contexts, drafts, settings))
     states, answer_links = A.persist_answers(replies, model)

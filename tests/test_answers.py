@@ -188,3 +188,16 @@ def test_paths_from_parent_links(spark):
             chain, at = [at, *chain], parents[at]
         want[("d", n)] = (".".join(str(position[x]) for x in chain), len(chain), (["n0", *chain])[:-1] if chain else [])
     assert found == want
+
+
+def test_drafts_that_are_no_answers(spark):
+    item = lambda q="q", a="a", n=1: (q, a, ["c1"] * n)
+    rows = [
+        ("fine", " ", ["c1"] * 8, 1.0, False, [item(n=6)] * 8), ("bare", "x", None, 0.0, None, None), ("long", "x" * 9000, [], 0.5, False, []),
+        ("no answer", "", [], 0.5, False, []), ("null answer", None, [], 0.5, False, []), ("high", "x", [], 1.01, False, []), ("nan", "x", [], float("nan"), False, []),
+        ("unsure", "x", [], None, False, []), ("labels", "x", ["c"] * 9, 0.5, False, []), ("items", "x", [], 0.5, False, [item()] * 9),
+        ("question", "x", [], 0.5, False, [item(), item(q=None)]), ("reply", "x", [], 0.5, False, [item(a="")]), ("quoted", "x", [], 0.5, False, [item(n=7)]),
+    ]
+    kind = "question_id string, answer string, cited_evidence_ids array<string>, confidence double, insufficient_evidence boolean, quiz_items array<struct<question:string,answer:string,cited_evidence_ids:array<string>>>"
+    found = {r["question_id"] for r in A.rejected_drafts(spark.createDataFrame(rows, kind)).collect()}
+    assert found == {r[0] for r in rows[3:]}
