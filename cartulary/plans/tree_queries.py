@@ -129,9 +129,7 @@ def outline_nodes(spark, folder):
     )
 
 
-@query(
-    "node_digests",
-    f"""WITH RECURSIVE {_SQL_PLACED}, {sql_best_sentences("branch", "document_id, section_index")},
+_SQL_DIGESTS = f"""{sql_best_sentences("branch", "document_id, section_index")},
 own AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]+')) >= 3 AS rich FROM branch),
 below AS (
   SELECT document_id, parent_index AS section_index, count(*) AS n,
@@ -142,14 +140,20 @@ sources AS (
          CASE WHEN o.rich THEN substring({sql_collapse("o.text")}, 1, 600)
               WHEN b.n > 0 THEN b.borrowed ELSE o.title END AS text
   FROM own o LEFT JOIN below b USING (document_id, section_index)),
-{sql_keywords("conv_sections", "sources")}
+{sql_keywords("conv_sections", "sources")},
+digested AS (
 SELECT o.document_id, o.path,
        CASE WHEN o.rich THEN d.summary
             WHEN b.n > 0 THEN '该章节下含 ' || CAST(b.n AS VARCHAR) || ' 个小节，内容见子节点。'
             ELSE o.title END AS summary,
        coalesce(p.keywords, '') AS keywords
 FROM own o JOIN digest d USING (document_id, section_index)
-LEFT JOIN below b USING (document_id, section_index) LEFT JOIN picked p USING (document_id, section_index)""",
+LEFT JOIN below b USING (document_id, section_index) LEFT JOIN picked p USING (document_id, section_index))"""
+
+
+@query(
+    "node_digests",
+    f"""WITH RECURSIVE {_SQL_PLACED}, {_SQL_DIGESTS} SELECT * FROM digested""",
 )
 def node_digests(spark, folder):
     nodes = conversation_tree(spark, folder).filter("depth > 0")
@@ -498,14 +502,55 @@ def nested_tree(spark, folder):
     return T.nested_json(conversation_tree(spark, folder), ["path", "title"])
 
 
-@query("map_json")
+_SQL_TOLD = f"""{_SQL_NODE_LINKS}, {_SQL_DIGESTS},
+told AS (
+  SELECT n.document_id, n.node_id, n.path, n.title, CAST(n.depth AS INTEGER) AS depth, n.preorder, CAST(n.child_count AS INTEGER) AS child_count,
+    CASE WHEN n.depth = 0 THEN n.title ELSE d.summary END AS summary,
+    CASE WHEN coalesce(d.keywords, '') = '' THEN [] ELSE string_split(d.keywords, '|') END AS keywords,
+    coalesce((SELECT list(DISTINCT CAST(l.section_index AS INTEGER) ORDER BY CAST(l.section_index AS INTEGER)) FROM node_link l
+      WHERE l.document_id = n.document_id AND l.path = n.path), []) AS evidence
+  FROM (SELECT *, {_NODE} AS node_id FROM node) n LEFT JOIN digested d ON d.document_id = n.document_id AND d.path = n.path)"""
+
+
+def _sql_nested(fields: str) -> str:
+    """Nested JSON of ``told``: openings in preorder, each with as many closings as the next node's depth asks for."""
+    return f"""
+parts AS (
+  SELECT document_id, preorder, depth, lead(depth) OVER (PARTITION BY document_id ORDER BY preorder) AS next,
+    CAST(to_json({{{fields}}}) AS VARCHAR) AS flat FROM told),
+nested AS (
+  SELECT document_id, string_agg(substr(flat, 1, length(flat) - 1) || ',"children":[' || CASE WHEN next IS NULL THEN repeat(']}}', depth + 1)
+    ELSE repeat(']}}', greatest(depth - next + 1, 0)) || CASE WHEN depth >= next THEN ',' ELSE '' END END, '' ORDER BY preorder) AS tree
+  FROM parts GROUP BY document_id)"""
+
+
+@query(
+    "map_json",
+    f"""WITH RECURSIVE {_SQL_TOLD},
+{_sql_nested("node_id: node_id, path: path, title: title, depth: depth, child_count: child_count, keyword_count: CAST(len(keywords) AS INTEGER), evidence_sections: evidence")},
+edges AS (
+  SELECT document_id, list({{source: CASE WHEN contains(path, '.') THEN regexp_replace(path, '\\.[0-9]+$', '') ELSE '' END, target: path}} ORDER BY preorder) AS edges
+  FROM told WHERE depth > 0 GROUP BY document_id),
+heads AS (
+  SELECT document_id, max(title) FILTER (depth = 0) AS title, count(*) AS node_count, max(depth) AS max_depth, count(*) FILTER (depth = 1) AS chapter_count,
+    count(*) FILTER (len(evidence) = 0) AS bare FROM told GROUP BY document_id),
+told_heads AS (
+  SELECT document_id, CAST(to_json({{schema_version: 'knowledge-map-v1', document_id: document_id, title: title, edges: coalesce(edges, []), node_count: node_count,
+    max_depth: max_depth, chapter_count: chapter_count, nodes_without_evidence: bare}}) AS VARCHAR) AS head
+  FROM heads LEFT JOIN edges USING (document_id))
+SELECT document_id, substr(head, 1, length(head) - 1) || ',"root":' || tree || '}}' AS map_model FROM told_heads JOIN nested USING (document_id)""",
+)
 def map_json(spark, folder):
-    """The parts of this JSON have equivalents of their own: map_nodes, map_edges, map_summary, nested_tree."""
     nodes, _, _, links = _linked(spark, folder)
     return T.map_json(nodes, links)
 
 
-@query("tree_json")
+@query(
+    "tree_json",
+    f"""WITH RECURSIVE {_SQL_TOLD},
+{_sql_nested("node_id: node_id, title: title, summary: summary, keywords: keywords, source_section_indexes: evidence, depth: depth")}
+SELECT document_id, tree FROM nested""",
+)
 def tree_json(spark, folder):
     nodes, _, _, links = _linked(spark, folder)
     return T.tree_json(nodes, links)
