@@ -42,9 +42,12 @@ _WORDS_AT_ONCE, _CHARACTERS_AT_ONCE = 8000, 2_000_000
 
 @cache
 def _ending_in_marks() -> re.Pattern:
-    """Letters and digits that no longer end in one after the tokenizer's NFC and lower-casing; ASCII marks join their end."""
+    """Letters and digits that no longer end in one after the tokenizer's NFC and lower-casing; ASCII marks join their end.
+
+    The planes beyond the second hold ideographs alone, which have no such form.
+    """
     ends = lambda c: unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0]
-    return re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and ends(c) not in "LN") + "]")
+    return re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and ends(c) not in "LN") + "]")
 
 
 class WordIds:
@@ -107,18 +110,17 @@ class WordIds:
             at = end
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        split, known = [self._words(t) for t in texts], self.known
-        missing = {w for words in split if words for w in words if w not in known}
-        if missing:
-            listed, fresh = list(missing), {}
-            for at in range(0, len(listed), _WORDS_AT_ONCE):
-                fresh |= self._encoded(listed[at : at + _WORDS_AT_ONCE])
-            if len(known) + len(fresh) <= self.limit:
-                known.update(fresh)
-            else:
-                fetch = fresh.get
-                return [self._whole(t) if words is None else b"".join([known[w] if w in known else fetch(w) for w in words]) for t, words in zip(texts, split)]
-        return [self._whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
+        split, known, fresh = [self._words(t) for t in texts], self.known, {}
+        missing = list(set().union(*(words for words in split if words)).difference(known))
+        for at in range(0, len(missing), _WORDS_AT_ONCE):
+            fresh |= self._encoded(missing[at : at + _WORDS_AT_ONCE])
+        stays = len(known) + len(fresh) <= self.limit
+        known.update(fresh)
+        found = [self._whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
+        if not stays:
+            for word in fresh:
+                del known[word]
+        return found
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
