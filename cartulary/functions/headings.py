@@ -231,7 +231,7 @@ def chinese_to_int(numeral: Column) -> Column:
 
     def place(part: Column, absent: int) -> Column:
         at = F.instr(F.lit(DIGITS), part)
-        return F.when(at > 0, at - 1).otherwise(F.lit(absent))
+        return F.when((part != "") & (at > 0), at - 1).otherwise(F.lit(absent))
 
     tens, ones = F.substring_index(numeral, "十", 1), F.regexp_replace(numeral, "^[^十]*十", "")
     return (

@@ -72,6 +72,10 @@ def test_numerals_and_chapter_numbers(spark):
     assert apply(spark, ["第五章 建设", "第 三 章", "五、建设"], H.chapter_number) == [5, 3, None]
 
 
+def test_teens_have_a_ten(spark):
+    assert apply(spark, ["十一", "十二", "十九", "九十八"], H.chinese_to_int) == [11, 12, 19, 98]
+
+
 def test_normalising(spark):
     assert apply(spark, ["(=) 数据  路径", "（I）甲", "（二）甲"], H.normalize_heading) == ["(二) 数据 路径", "（一）甲", "（二）甲"]
     assert apply(spark, ["第一章 总论 …… 3", "第一章  总论"], H.dedupe_key) == ["第一章总论", "第一章总论"]
