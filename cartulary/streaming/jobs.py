@@ -77,7 +77,9 @@ class _Outlines(dict):
 
 
 def expiry_processor(timeout_seconds: int, terminal: tuple[str, ...]) -> StatefulProcessor:
-    """State per job: its newest event. A terminal event forgets the job; silence beyond the timeout expires it.
+    """The rule of ``expired_jobs`` for streams that keep further state of a job beside it.
+
+    State per job: its newest event. A terminal event forgets the job; silence beyond the timeout expires it.
 
     Silence shows either as a gap before the next event or, when nothing follows, through the timer, so the
     outcome does not depend on how events are cut into batches or frames.
@@ -195,18 +197,21 @@ def expired_jobs(
 ) -> DataFrame:
     """Jobs whose last event is older than the timeout in event time.
 
-    ``events``: job_id string, status string, ts timestamp. State is one row per open job, ended by a terminal
-    event or by the timer. Needs the RocksDB state store.
+    ``events``: job_id string, status string, ts timestamp. A job's events up to a silence are a session, whose last
+    event tells whether the job had ended. State is one row per open session, ended by the watermark.
     """
-    timed = events.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
-    return (
-        timed.groupBy("job_id")
-        .transformWithStateInPandas(
-            statefulProcessor=expiry_processor(settings.stale_job_timeout_seconds, terminal),
-            outputStructType=OUTCOME_SCHEMA,
-            outputMode="append",
-            timeMode="EventTime",
-        )
+    seconds = settings.stale_job_timeout_seconds
+    # Sessions that touch are merged: a silence of just the timeout does not expire a job.
+    sessions = (
+        events.withWatermark("ts", lateness)
+        .groupBy("job_id", F.session_window("ts", f"{seconds} seconds"))
+        .agg(F.max_by("status", "ts").alias("last_status"), F.max("ts").alias("last_ts"))
+    )
+    # Without a time zone, as its microseconds are counted.
+    since = F.make_dt_interval(secs=F.unix_micros("last_ts").cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
+    stamp = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+    return sessions.filter(~F.coalesce(F.col("last_status").isin(*terminal), F.lit(False))).select(
+        "job_id", "last_status", stamp.alias("last_ts"), (stamp + F.make_dt_interval(secs=F.lit(seconds))).alias("expired_at")
     )
 
 

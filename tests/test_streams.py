@@ -4,9 +4,10 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cartulary.plans import load_queries
-from cartulary.streaming.jobs import expiry_processor, state_processor
+from cartulary.streaming.jobs import expired_jobs, expiry_processor, state_processor
 
 MINUTE = 60_000_000
 
@@ -107,3 +108,22 @@ def test_stream_index_reads_files_and_folders(spark, tmp_path):
     found = load_queries()["stream_index"].run(spark, f"{tmp_path}/parts")
     assert sorted((r["document_id"], r["chunk_index"], r["text"]) for r in found.collect()) == want
     assert load_queries()["stream_index"].run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_expiry_is_a_session_of_events_in_spark(spark, tmp_path):
+    """No Python state per job, and silences of the timeout and one microsecond more are told apart."""
+    micros = [("a", "view", 0), ("a", "click", 30 * MINUTE), ("a", "view", 60 * MINUTE + 1), ("a", "error", 61 * MINUTE)]
+    micros += [("b", "view", 5 * MINUTE), ("end", "view", 600 * MINUTE)]
+    rows = spark.createDataFrame(micros, "job_id string, status string, at long")
+    rows.select("job_id", "status", F.timestamp_micros("at").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema("job_id string, status string, ts timestamp").parquet(f"{tmp_path}/events")
+    expired = expired_jobs(stream, ("error",))
+    assert "transformwithstate" not in expired._jdf.queryExecution().logical().toString().lower()
+    query = expired.writeStream.format("memory").queryName("expired_sessions").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = [(r["job_id"], r["last_status"], r["last_ts"], r["expired_at"]) for r in spark.table("expired_sessions").orderBy("job_id").collect()]
+    epoch = pd.Timestamp(0)
+    assert found == [
+        ("a", "click", epoch + pd.Timedelta(minutes=30), epoch + pd.Timedelta(minutes=60)),
+        ("b", "view", epoch + pd.Timedelta(minutes=5), epoch + pd.Timedelta(minutes=35)),
+    ]
