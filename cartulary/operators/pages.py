@@ -113,18 +113,20 @@ def body_sizes(lines: DataFrame, order: str = "line_no") -> DataFrame:
 def chapter_openers(lines: DataFrame, order: str, level: Column | None = None) -> DataFrame:
     """``(document_id, page_number, opener)``: a short line before numbered sections near the page's top.
 
-    Eight candidates and six lines after each can matter, so only the first lines of a page are windowed.
+    Eight candidates and six lines after each can matter, so only the first lines of a page are windowed, and only
+    candidates keep their text.
     """
     top = Window.partitionBy(*PAGE).orderBy(order)
     level = H.heading_level(F.col("text")) if level is None else level
-    head = lines.select(*PAGE, order, "text", level.alias("__level")).withColumn("__n", F.row_number().over(top)).filter(F.col("__n") <= 15)
     numbered = F.when(H.is_numbered_section(F.col("text")), 1).otherwise(0)
-    seen = head.withColumn("__next", F.lead(numbered).over(top)).withColumn(
-        "__ahead", F.sum(numbered).over(top.rowsBetween(1, 6))
+    brief = lines.select(
+        *PAGE, order, F.when(H.could_open_chapter(F.col("text"), level), F.col("text")).alias("text"), numbered.alias("__numbered")
     )
-    fit = (
-        (F.col("__n") <= 8) & (F.col("__next") == 1) & (F.col("__ahead") >= 2) & H.could_open_chapter(F.col("text"), F.col("__level"))
+    head = brief.withColumn("__n", F.row_number().over(top)).filter(F.col("__n") <= 15)
+    seen = head.withColumn("__next", F.lead("__numbered").over(top)).withColumn(
+        "__ahead", F.sum("__numbered").over(top.rowsBetween(1, 6))
     )
+    fit = (F.col("__n") <= 8) & (F.col("__next") == 1) & (F.col("__ahead") >= 2) & F.col("text").isNotNull()
     return seen.filter(fit).groupBy(*PAGE).agg(F.min_by("text", "__n").alias("opener"))
 
 

@@ -117,9 +117,12 @@ def _classify(lines: DataFrame) -> DataFrame:
         ).filter(F.col("text") != "")
     )
     level = F.col("numbered")
-    content = numbered.join(P.contents_pages(numbered, level).select(*P.PAGE), P.PAGE, "left_anti")
-    sized = content.join(P.body_sizes(content, "seq"), DOC, "left")
-    opened = sized.join(P.chapter_openers(content, "seq", level), P.PAGE, "left")
+    # What lines learn of their page and document is put together by page, so that their texts move once.
+    contents = P.contents_pages(numbered, level).select(*P.PAGE)
+    sizes = P.body_sizes(numbered.select(*P.PAGE, "seq", "size").join(contents, P.PAGE, "left_anti"), "seq")
+    pages = numbered.select(*P.PAGE).distinct().join(contents, P.PAGE, "left_anti")
+    pages = pages.join(P.chapter_openers(numbered, "seq", level), P.PAGE, "left").join(sizes, DOC, "left")
+    opened = numbered.join(pages, P.PAGE)
     body = F.when(~F.col("from_ocr"), F.col("body_size"))
     return opened.select(
         *P.PAGE,
@@ -132,7 +135,7 @@ def _classify(lines: DataFrame) -> DataFrame:
     )
 
 
-def _label_events(lines: DataFrame) -> DataFrame:
+def _label_code() -> Column:
     known = F.array_position(F.array(*[F.lit(x) for x in H.LABEL_SEQUENCE]), F.col("label.label")).cast("int")
     heads = F.coalesce(F.col("level") <= 2, F.lit(False))
     garbled = (
@@ -140,13 +143,17 @@ def _label_events(lines: DataFrame) -> DataFrame:
         + F.when(H.reads_like_outcome(F.col("noise.rest")), 1).otherwise(0)
         + F.when(heads, 2).otherwise(0)
     )
-    code = (
+    return (
         F.when(F.col("opens"), 0)
         .when(F.col("label").isNotNull(), F.when(known > 0, known))
         .when(F.col("noise").isNotNull(), garbled)
         .when(heads, 0)
     )
-    events = lines.select("document_id", "seq", code.alias("code"), F.col("noise").isNotNull().alias("garbled"))
+
+
+def _label_events(lines: DataFrame) -> DataFrame:
+    """Coded lines of the documents that have a garbled label. ``lines``: document_id, seq, code, garbled."""
+    events = lines.select("document_id", "seq", "code", "garbled")
     affected = events.filter(F.col("garbled")).select("document_id").distinct()
     return events.filter(F.col("code").isNotNull()).drop("garbled").join(affected, DOC, "left_semi")
 
@@ -197,7 +204,8 @@ def garbled_labels(lines: DataFrame) -> DataFrame:
     """``(document_id, page_number, seq, text, repaired)`` of the lines whose label is garbled."""
     read = settle(_classify(lines))
     garbled = read.filter(F.col("noise").isNotNull() & F.col("label").isNull() & ~F.col("opens"))
-    return garbled.join(repair_labels(_label_events(read)), ["document_id", "seq"]).select(
+    coded = read.withColumn("code", _label_code()).withColumn("garbled", F.col("noise").isNotNull())
+    return garbled.join(repair_labels(_label_events(coded)), ["document_id", "seq"]).select(
         "document_id", "page_number", "seq", "text", "repaired"
     )
 
@@ -214,17 +222,30 @@ def heading_sections(lines: DataFrame) -> DataFrame:
 
     ``lines``: document_id, page_number, line_no, text, size, from_ocr and optionally part.
     """
-    read = settle(_classify(lines))
+    read = settle(
+        _classify(lines).select(
+            *P.PAGE,
+            "seq",
+            "text",
+            "opens",
+            "level",
+            F.col("label").isNotNull().alias("labelled"),
+            F.col("noise").isNotNull().alias("garbled"),
+            _label_code().alias("code"),
+        )
+    )
+    # Everything up to the cut is decided without the texts, which are joined once afterwards.
+    decided = read.drop("text")
     # Garbled labels and unlabelled chapter openers are rare; their work is planned only where they occur.
-    if read.filter(F.col("noise").isNotNull()).isEmpty():
-        repaired = read.withColumn("repaired", F.lit(None).cast("string"))
+    if read.filter("garbled").isEmpty():
+        repaired = decided.withColumn("repaired", F.lit(None).cast("string"))
     else:
-        repaired = read.join(repair_labels(_label_events(read)), ["document_id", "seq"], "left")
+        repaired = decided.join(repair_labels(_label_events(decided)), ["document_id", "seq"], "left")
     known = settle(
         repaired.withColumn(
             "kind",
             F.when(F.col("opens"), "opener")
-            .when(F.col("label").isNotNull() | F.col("repaired").isNotNull(), "label")
+            .when(F.col("labelled") | F.col("repaired").isNotNull(), "label")
             .when(F.col("level").isNotNull(), "heading"),
         )
     )
@@ -234,7 +255,6 @@ def heading_sections(lines: DataFrame) -> DataFrame:
         .when(F.col("kind") == "opener", False)
         .when((F.col("kind") == "heading") & (F.col("level") < H.ITEM_LEVEL), False)
     )
-    # Both scans read keys only; the text of the lines is joined once afterwards.
     lean = known.select("document_id", "seq", "kind", "level")
     staged = running(lean, DOC, "seq", [Carry("in_block", active, "last")], block_rows=_LINE_BLOCK)
     item = F.coalesce((F.col("kind") == "heading") & (F.col("level") == H.ITEM_LEVEL), F.lit(False))
@@ -243,15 +263,26 @@ def heading_sections(lines: DataFrame) -> DataFrame:
     counted = running(
         staged, DOC, "seq", [Carry("section_no", F.col("heads"), "sum")], inclusive=True, block_rows=_LINE_BLOCK
     )
-    cut = settle(
+    places = settle(
         known.drop("kind").join(
             counted.select("document_id", "seq", "kind", "heads", "section_no"), ["document_id", "seq"]
         )
     )
-    if cut.filter(F.col("kind") == "opener").isEmpty():
-        titled = cut.withColumn("chapter_title", F.lit(None).cast("string"))
+    enough = (
+        places.groupBy("document_id").agg(F.sum("heads").alias("n")).filter(F.col("n") >= MIN_HEADINGS).select("document_id")
+    )
+    cut = places.join(enough, DOC, "left_semi")
+    texts = read.select("document_id", "seq", "text")
+    if places.filter(F.col("kind") == "opener").isEmpty():
+        cut = cut.withColumn("chapter_title", F.lit(None).cast("string"))
     else:
-        titled = cut.join(_chapter_titles(cut), ["document_id", "seq"], "left")
+        tops = read.filter(F.col("opens") | (F.col("level") == 1)).select("document_id", "seq", "text")
+        cut = cut.join(_chapter_titles(cut.join(tops, ["document_id", "seq"])), ["document_id", "seq"], "left")
+    titled = (
+        texts.join(cut, ["document_id", "seq"])
+        .withColumn("label", F.when(F.col("labelled"), H.split_label(F.col("text"))))
+        .withColumn("noise", F.when(F.col("repaired").isNotNull(), H.split_noise_label(F.col("text"))))
+    )
 
     point = H.numbered_item(F.col("text"))
     is_item = (F.col("kind") == "heading") & (F.col("level") == H.ITEM_LEVEL)
@@ -281,10 +312,7 @@ def heading_sections(lines: DataFrame) -> DataFrame:
             F.collect_list(F.when(strip(F.col("piece")) != "", F.struct("seq", "piece")))
         ).alias("pieces"),
     )
-    enough = (
-        cut.groupBy("document_id").agg(F.sum("heads").alias("n")).filter(F.col("n") >= MIN_HEADINGS).select("document_id")
-    )
-    built = grouped.join(enough, DOC, "left_semi").select(
+    built = grouped.select(
         "document_id",
         "order",
         H.normalize_heading(F.coalesce("title", F.lit(H.PREAMBLE_TITLE))).alias("title"),
@@ -502,19 +530,21 @@ def paragraph_sections(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
     section adds a source location. Opening paragraphs that repeat the document title are skipped.
     """
     read = (
-        paragraphs.withColumn("body", strip(F.col("text")))
-        .filter(F.col("body") != "")
-        .withColumn("line", collapse(F.col("body")))
+        paragraphs.filter(strip(F.col("text")) != "")
         .join(titles.select("document_id", collapse(F.col("title")).alias("__title")), DOC, "left")
+        .withColumn("body", strip(F.col("text")))
+        .withColumn("line", collapse(F.col("body")))
+        .withColumn("level", H.paragraph_level(F.col("line"), F.col("style_name"), F.col("outline_level")))
     )
+    # A heading is read as a line, any other paragraph as a body: one text each.
     same = F.coalesce((F.col("line") == F.col("__title")) & (F.col("__title") != ""), F.lit(False))
     staged = settle(
         read.select(
             "document_id",
             "paragraph_index",
-            "body",
-            "line",
-            H.paragraph_level(F.col("line"), F.col("style_name"), F.col("outline_level")).alias("level"),
+            F.when(F.col("level").isNull(), F.col("body")).alias("body"),
+            F.when(F.col("level").isNotNull(), F.col("line")).alias("line"),
+            "level",
             same.alias("__same"),
         )
     )

@@ -202,3 +202,16 @@ def test_composition_of_texts(spark):
         for k in ("x", "yy"):
             own = [c for x, _, c in rows if x == k]
             assert [r["before"] for r in found.where(F.col("k") == k).orderBy("n").collect()] == ["".join(own[:i]) for i in range(len(own))]
+
+
+def test_texts_are_written_once_a_step(spark, monkeypatch):
+    seen, write = [], S.settle
+    monkeypatch.setattr(S, "settle", lambda frame: seen.append(write(frame)) or seen[-1])
+    S.heading_sections(lines_of(spark, [["第一章 总论", "正文", "第二章 方法", "又一行"]])).collect()
+    assert sum("text" in frame.columns for frame in seen) == 3
+    seen.clear()
+    rows = [("d", 0, "一、背景", "Normal", None), ("d", 1, "正文", "Normal", None)]
+    paragraphs = spark.createDataFrame(rows, "document_id string, paragraph_index int, text string, style_name string, outline_level int")
+    titles = spark.createDataFrame([("d", "t")], "document_id string, title string")
+    S.paragraph_sections(paragraphs, titles).collect()
+    assert [frame.filter("body IS NOT NULL AND line IS NOT NULL").count() for frame in seen] == [0]
