@@ -32,6 +32,13 @@ def embedding_tokens(text: Column) -> Column:
     return F.when(text.rlike(CJK_CHARACTER), F.concat(latin, characters, bigrams)).otherwise(latin)
 
 
+def md5_buckets(tokens: Column, dimensions: int) -> Column:
+    """Distinct cells that ``tokens`` hit under the md5 family, also those whose weights cancel."""
+    return F.array_distinct(
+        F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dimensions)
+    )
+
+
 def model_name(dimensions: int) -> str:
     return f"deterministic-hashing-{dimensions}"
 

@@ -156,12 +156,14 @@ def retrieve(
     top_k: int | None = None,
     min_score: float | None = None,
     boost: float | None = None,
+    undefined: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked hits per question.
 
     ``questions``: question_id, document_id, embedding (and node_id when ``node_evidence`` is given).
     ``node_evidence``: (node_id, chunk_id). The candidate cut and the threshold use the plain score; the boost
-    only re-orders what is left. Hits whose chunk row is gone are dropped.
+    only re-orders what is left. Hits whose chunk row is gone are dropped. ``undefined`` (question_id,
+    document_id, chunk_id, chunk_index): pairs whose score is to count as NaN, which ranks before all numbers.
     """
     k = top_k or settings.retrieval_top_k
     floor = settings.retrieval_min_score if min_score is None else min_score
@@ -169,7 +171,11 @@ def retrieve(
     cut = k * settings.retrieval_candidate_multiplier if k > 0 else 0
     # A few rows per question. Written down, their true size lets the planner broadcast them to the chunk and
     # evidence tables instead of shuffling those.
-    candidates = settle(scoped_candidates(questions, vectors, settings, limit=cut, floor=floor).drop("rank"))
+    best = scoped_candidates(questions, vectors, settings, limit=cut, floor=floor).drop("rank")
+    if undefined is not None:
+        best = best.unionByName(undefined.withColumn("score", F.lit(float("nan"))))
+        best = _top(best, cut, [F.col("score").desc(), F.col("chunk_index").asc()]).drop("rank")
+    candidates = settle(best)
     live = candidates.drop("chunk_index", "document_id").join(
         chunks.select(
             "chunk_id",
