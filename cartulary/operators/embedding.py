@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.config import DEFAULTS, Settings
-from cartulary.functions.text import explode_once
+from cartulary.functions.digest import term_counts
+from cartulary.functions.text import explode_once, let
 from cartulary.functions.vectors import embedding_tokens, hash_vector, model_name
+from cartulary.session import settle
 
 
 def token_weights(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """``(key, token, occurrences, weight)`` with weight ``1 + ln(occurrences)``."""
-    return (
-        explode_once(texts, key, embedding_tokens(F.col(text)), "token")
-        .groupBy(*key, "token")
-        .agg(F.count("*").alias("occurrences"))
-        .withColumn("weight", 1.0 + F.log("occurrences"))
-    )
+    """``(key, token, occurrences, weight)`` with weight ``1 + ln(occurrences)``.
+
+    Tokens are counted inside their row. Only rows that share their key are grouped, so no task holds the tokens of
+    all its texts, and those of a text whose key is its own are not shuffled.
+    """
+    shared = settle(texts.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1").select(*key))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        pairs = let(term_counts(embedding_tokens(F.col(text))), lambda c: F.arrays_zip(c["terms"], c["counts"]))
+        found = explode_once(rows, key, pairs, "found")
+        return found.select(*key, F.col("found.terms").alias("token"), F.col("found.counts").alias("occurrences"))
+
+    if shared.isEmpty():
+        counts = counted(texts)
+    else:
+        # Null keys are equal here, as they are in a grouping.
+        same = reduce(and_, [texts[k].eqNullSafe(shared[k]) for k in key])
+        together = counted(texts.join(shared, same, "left_semi")).groupBy(*key, "token")
+        counts = counted(texts.join(shared, same, "left_anti")).unionByName(together.agg(F.sum("occurrences").alias("occurrences")))
+    return counts.withColumn("weight", 1.0 + F.log("occurrences"))
 
 
 def embed(
