@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -141,6 +141,11 @@ def scoped_candidates(
     return _top(scored, limit, [F.col("score").desc(), F.col("chunk_index").asc()])
 
 
+def _rounded(score: Column) -> Column:
+    """Six digits, half away from zero in floating point as in the SQL; ``F.round`` goes by the decimal notation."""
+    return F.signum(score) * F.floor(F.abs(score) * 1e6 + 0.5) / 1e6
+
+
 def _top(frame: DataFrame, limit: int, order: list, rank: str = "rank") -> DataFrame:
     window = Window.partitionBy("question_id").orderBy(*order)
     return frame.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= limit)
@@ -215,7 +220,7 @@ def retrieve(
         "text",
         "page_number",
         "paragraph_index",
-        F.round(F.col("score") + F.when(F.col("__in_scope"), F.lit(lift)).otherwise(F.lit(0.0)), 6).alias("score"),
+        _rounded(F.col("score") + F.when(F.col("__in_scope"), F.lit(lift)).otherwise(F.lit(0.0))).alias("score"),
         F.when(F.col("__in_scope"), SCOPE_NODE_EVIDENCE).otherwise(SCOPE_DOCUMENT).alias("scope"),
         location_label(F.col("page_number"), F.col("paragraph_index")).alias("location"),
     )
