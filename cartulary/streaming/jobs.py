@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -192,27 +192,58 @@ def job_states(
     )
 
 
+def _sessions(events: DataFrame, seconds: int) -> DataFrame:
+    """Each job's events up to a silence, with the last of them; a silence of just ``seconds`` ends no session."""
+    # Sessions that touch are merged.
+    return events.groupBy("job_id", F.session_window("ts", f"{seconds} seconds")).agg(
+        F.max_by("status", "ts").alias("last_status"), F.max("ts").alias("last_ts")
+    )
+
+
+def moment(micros: Column) -> Column:
+    """Microseconds since 1970 as a timestamp without a time zone."""
+    since = F.make_dt_interval(secs=micros.cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+
+
+def _outcomes(sessions: DataFrame, terminal: tuple[str, ...], seconds: int) -> DataFrame:
+    # Without a time zone, as its microseconds are counted.
+    stamp = moment(F.unix_micros("last_ts"))
+    return sessions.filter(~F.coalesce(F.col("last_status").isin(*terminal), F.lit(False))).select(
+        "job_id", "last_status", stamp.alias("last_ts"), (stamp + F.make_dt_interval(secs=F.lit(seconds))).alias("expired_at")
+    )
+
+
 def expired_jobs(
     events: DataFrame, terminal: tuple[str, ...], settings: Settings = DEFAULTS, *, lateness: str = "5 minutes"
 ) -> DataFrame:
     """Jobs whose last event is older than the timeout in event time.
 
     ``events``: job_id string, status string, ts timestamp. A job's events up to a silence are a session, whose last
-    event tells whether the job had ended. State is one row per open session, ended by the watermark.
+    event tells whether the job had ended. State is one row per open session, ended by the watermark; a session that
+    the watermark has not passed where the stream ends is left to ``last_silences``.
     """
     seconds = settings.stale_job_timeout_seconds
-    # Sessions that touch are merged: a silence of just the timeout does not expire a job.
-    sessions = (
-        events.withWatermark("ts", lateness)
-        .groupBy("job_id", F.session_window("ts", f"{seconds} seconds"))
-        .agg(F.max_by("status", "ts").alias("last_status"), F.max("ts").alias("last_ts"))
-    )
-    # Without a time zone, as its microseconds are counted.
-    since = F.make_dt_interval(secs=F.unix_micros("last_ts").cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
-    stamp = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
-    return sessions.filter(~F.coalesce(F.col("last_status").isin(*terminal), F.lit(False))).select(
-        "job_id", "last_status", stamp.alias("last_ts"), (stamp + F.make_dt_interval(secs=F.lit(seconds))).alias("expired_at")
+    return _outcomes(_sessions(events.withWatermark("ts", lateness), seconds), terminal, seconds)
+
+
+def last_silences(
+    events: DataFrame, terminal: tuple[str, ...], after: int, until: int, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Outcomes of a stream that ended, of the sessions whose timeout fell after ``after``.
+
+    ``events``: all that arrived; ``after`` and ``until`` are microseconds of event time. Such a session expired if a
+    later event of its job shows the silence, or, where nothing follows, if its timeout fell at ``until`` or before.
+    Only the events that can belong to such sessions are read.
+    """
+    seconds = settings.stale_job_timeout_seconds
+    limit = seconds * 1_000_000
+    sessions = _sessions(events.filter(F.col("ts") > F.timestamp_micros(F.lit(after - limit))), seconds)
+    following = F.lead("last_ts").over(Window.partitionBy("job_id").orderBy("last_ts"))
+    shown = sessions.withColumn("__next", following).filter(
+        F.col("__next").isNotNull() | (F.unix_micros("last_ts") + F.lit(limit) <= F.lit(until))
     )
+    return _outcomes(shown, terminal, seconds)
 
 
 def current_status(events: DataFrame) -> DataFrame:
