@@ -31,6 +31,7 @@ INTENT_INSTRUCTIONS = {
     "ask": "Answer the user's question using only the context.",
 }
 PROMPT_VERSION = "node-assistant-v1"
+NAMED_CHILDREN = 6
 SENTENCE_BREAK = r"(?<=[.!?。！？])\s*"
 EVIDENCE_OVERHEAD = 40
 REFUSED_NO_MATCH = "No content block in this document matched the request closely enough."
@@ -62,7 +63,7 @@ def retrieval_query(
     title: Column, summary: Column, intent: Column, question: Column, child_titles: Column, limit: int
 ) -> Column:
     """Non-empty parts on lines of their own; a deep dive also names the first six children."""
-    named = F.when(intent == "deep_dive", F.slice(child_titles, 1, 6)).otherwise(F.array().cast("array<string>"))
+    named = F.when(intent == "deep_dive", F.slice(child_titles, 1, NAMED_CHILDREN)).otherwise(F.array().cast("array<string>"))
     parts = F.concat(F.array(title, summary, query_hint(intent), question), named)
     filled = F.filter(parts, lambda p: p.isNotNull() & (p != ""))
     return F.substring(strip(F.array_join(filled, "\n")), 1, limit)

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,21 +69,26 @@ def node_contexts(
     *,
     family: str = "blake2b",
     documents: DataFrame | None = None,
+    undefined: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One bounded context per question: node, surroundings and retrieved evidence within the budget.
 
-    A question whose node does not exist disappears here, as it has no document to ask.
+    A question whose node does not exist disappears here, as it has no document to ask. ``undefined`` gets the
+    questions (question_id, document_id, query, embedding) and gives the pairs that ``retrieve`` is to count as NaN.
     """
     asked_nodes = questions.select("node_id").distinct()
     # Everything about the surroundings is limited to the documents that are asked.
     involved = nodes.join(asked_nodes, "node_id", "left_semi").select("document_id").distinct()
     local = settle(nodes.join(involved, "document_id", "left_semi"))
-    below = T.children(local).select(
+    # Only those that are shown or asked with are listed, however many a node has.
+    below = T.children(local, max(settings.context_children, A.NAMED_CHILDREN)).select(
         "node_id", F.transform("children", lambda c: F.struct(c["title"].alias("title"), c["summary"].alias("summary"))).alias("children")
     )
+    counted = local.groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).cast("int").alias("__below"))
     facts = settle(
         questions.join(local.select("node_id", "document_id", "title", "summary", "keywords"), "node_id")
         .join(below, "node_id", "left")
+        .join(counted, "node_id", "left")
         .withColumn("children", F.coalesce("children", _none(_CHILDREN)))
         .withColumn(
             "query",
@@ -101,7 +108,8 @@ def node_contexts(
         .select(F.col("target_id").alias("node_id"), "chunk_id")
         .join(asked_nodes, "node_id", "left_semi")
     )
-    hits = retrieve(vectored.drop("query"), vectors, chunks, evidence, settings)
+    void = None if undefined is None else undefined(vectored)
+    hits = retrieve(vectored.drop("query"), vectors, chunks, evidence, settings, undefined=void)
     item = F.struct(
         "rank",
         F.struct(
@@ -115,7 +123,7 @@ def node_contexts(
     )
     found = hits.groupBy("question_id").agg(F.sort_array(F.collect_list(item)).alias("__hits"))
     root = T.roots(local).select("document_id", F.col("title").alias("document_title"))
-    near = T.siblings(local).select(
+    near = T.siblings(local, settings.context_siblings).select(
         "node_id", F.transform("siblings", lambda s: s["title"]).alias("siblings")
     ).join(asked_nodes, "node_id", "left_semi")
     above = T.ancestors(local, settings).select("node_id", F.col("ancestors").alias("breadcrumb")).join(
@@ -136,7 +144,7 @@ def node_contexts(
     chosen = titled.withColumn(
         "__evidence", A.select_evidence(F.coalesce(F.transform("__hits", lambda h: h["item"]), _none(_EVIDENCE)), fixed, settings)
     )
-    dropped_children = F.greatest(F.size("children") - settings.context_children, F.lit(0))
+    dropped_children = F.greatest(F.coalesce("__below", F.lit(0)) - settings.context_children, F.lit(0))
     return chosen.select(
         "question_id",
         "document_id",
